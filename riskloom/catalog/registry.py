@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from riskloom.catalog import tabular
+from riskloom.catalog import tabular, watch
 
-MODULES = [tabular]
+MODULES = [tabular, watch]
 
 
 def entries() -> dict:
