@@ -60,9 +60,9 @@ _KS_SELECT = """SELECT col AS "column", n_ref, n_cur, round(ks, 9) AS ks, round(
 
 
 def ks_orders(spark: SparkSession, sf: str) -> DataFrame:
-    """Line-item prices and quantities shipped before 1995 against those after."""
+    """Line-item prices and quantities shipped before mid-1998 against those after."""
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_shipdate", "l_quantity", "l_extendedprice")
-    cut = F.lit("1995-01-01").cast("timestamp_ntz")
+    cut = F.lit("1998-05-24").cast("timestamp_ntz")
     out = drift.ks_test(
         lines.filter(F.col("l_shipdate") < cut), lines.filter(F.col("l_shipdate") >= cut), ["l_quantity", "l_extendedprice"]
     )
@@ -70,8 +70,8 @@ def ks_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _KS_LINES = """WITH long AS (
-  SELECT 'l_quantity' AS col, CAST(l_quantity AS DOUBLE) AS v, CAST(l_shipdate >= DATE '1995-01-01' AS INT) AS cur FROM lineitem
-  UNION ALL SELECT 'l_extendedprice', CAST(l_extendedprice AS DOUBLE), CAST(l_shipdate >= DATE '1995-01-01' AS INT) FROM lineitem),
+  SELECT 'l_quantity' AS col, CAST(l_quantity AS DOUBLE) AS v, CAST(l_shipdate >= DATE '1998-05-24' AS INT) AS cur FROM lineitem
+  UNION ALL SELECT 'l_extendedprice', CAST(l_extendedprice AS DOUBLE), CAST(l_shipdate >= DATE '1998-05-24' AS INT) FROM lineitem),
 g AS (SELECT col, v, count(*) FILTER (cur = 0) AS r, count(*) FILTER (cur = 1) AS c FROM long GROUP BY 1, 2),
 w AS (SELECT col, sum(r) OVER (PARTITION BY col ORDER BY v) AS rr, sum(c) OVER (PARTITION BY col ORDER BY v) AS cc,
   sum(r) OVER (PARTITION BY col) AS rn, sum(c) OVER (PARTITION BY col) AS cn FROM g),
