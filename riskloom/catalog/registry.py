@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from riskloom.catalog import tabular, watch
+from riskloom.catalog import models, streams, tabular, text, watch
 
-MODULES = [tabular, watch]
+MODULES = [tabular, watch, text, streams, models]
 
 
 def entries() -> dict:

@@ -23,6 +23,12 @@ def wall_micros(ts: Column) -> Column:
     return seconds * MICROS_PER_SECOND + (F.date_part(F.lit("SECOND"), ts) * MICROS_PER_SECOND).cast("bigint")
 
 
+def wall_time(micros: Column) -> Column:
+    """The inverse of ``wall_micros``."""
+    seconds = (micros.cast("decimal(20,0)") / F.lit(MICROS_PER_SECOND).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
 def parse_timestamp(text: Column) -> Column:
     """ISO text to a wall-clock timestamp; unreadable text gives NULL."""
     return text.try_cast("timestamp_ntz")
@@ -88,6 +94,12 @@ def align_to_contract(df: DataFrame, contract: list[str], keep: list[str] | None
     return df.select(*(keep or []), *features)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Number text with fixed decimals, rounded from the exact binary value (ties to even)."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+
+
 def signed(value: Column, digits: int = 4) -> Column:
     """Number text that always carries its sign."""
-    return F.format_string(f"%+.{digits}f", value)
+    text = fixed(value, digits)
+    return F.when(F.startswith(text, F.lit("-")), text).otherwise(F.concat(F.lit("+"), text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.scalars import signed
+from riskloom.functions.scalars import fixed, signed
 
 
 def top_contributions(contributions: Column, k: int) -> Column:
@@ -39,7 +39,7 @@ def query_text(amount: Column, category: Column, score: Column, contributions: C
     return F.concat(
         F.lit("Transaction amount "), F.coalesce(amount.cast("string"), F.lit("unknown")),
         F.lit(" in "), F.coalesce(category, F.lit("unknown")), F.lit(" category flagged with fraud score "),
-        F.format_string("%.2f", score), F.lit(". Key signals: "), F.array_join(names, ", "), F.lit("."),
+        fixed(score, 2), F.lit(". Key signals: "), F.array_join(names, ", "), F.lit("."),
     )
 
 
@@ -48,8 +48,8 @@ def prompt_text(details: Column, score: Column, anomaly: Column, evidence: Colum
     context = F.array_join(F.transform(excerpts, lambda x: F.concat(F.lit("[Policy excerpt]\n"), x)), "\n\n")
     return F.concat(
         F.lit("Transaction details:\n"), details,
-        F.lit("\n\nModel scores:\n  Fraud probability: "), F.format_string("%.4f", score),
-        F.lit("\n  Anomaly score:     "), F.format_string("%.4f", anomaly),
+        F.lit("\n\nModel scores:\n  Fraud probability: "), fixed(score, 4),
+        F.lit("\n  Anomaly score:     "), fixed(anomaly, 4),
         F.lit("\n\nTop SHAP feature contributions:\n"), evidence,
         F.lit("\n\nRelevant policy context:\n"), context,
         F.lit("\n\nPlease explain why this transaction was flagged."),

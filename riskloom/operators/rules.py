@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.ordering import ordered_totals, user_quantiles
-from riskloom.functions.scalars import MICROS_PER_DAY, MICROS_PER_SECOND, flag, wall_micros
+from riskloom.functions.scalars import MICROS_PER_DAY, MICROS_PER_SECOND, flag, wall_micros, wall_time
 from riskloom.operators.trailing import Trailing, with_trailing
 
 HOUR = 3_600 * MICROS_PER_SECOND
@@ -162,8 +162,8 @@ def multi_ip_sessions(df: DataFrame, n: int = 3, gap: int = 30 * 60 * MICROS_PER
     )
     return out.filter(F.col("ips") > n).select(
         "user_id",
-        F.timestamp_micros("_start").cast("timestamp_ntz").alias("session_start"),
-        F.timestamp_micros("_end").cast("timestamp_ntz").alias("session_end"),
+        wall_time(F.col("_start")).alias("session_start"),
+        wall_time(F.col("_end")).alias("session_end"),
         "ips",
         "transactions",
     )

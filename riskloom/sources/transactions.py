@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.functions.scalars import nan_to_null
+from riskloom.functions.scalars import MICROS_PER_SECOND, nan_to_null, wall_micros, wall_time
 from riskloom.schema import TRANSACTION_SCHEMA
 
 SLOT_MINUTES = 15
@@ -29,14 +29,15 @@ def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(spark.read.schema(schema).parquet(path))
 
 
-def slot_start(ts):
+def slot_start(ts: Column) -> Column:
     """Start of the 15-minute slot a wall-clock time falls in."""
-    minute = F.floor(F.minute(ts) / SLOT_MINUTES) * SLOT_MINUTES
-    return F.date_trunc("HOUR", ts).cast("timestamp_ntz") + F.make_dt_interval(mins=minute)
+    width = SLOT_MINUTES * 60 * MICROS_PER_SECOND
+    return wall_time(F.floor(wall_micros(ts) / width) * width)
 
 
-def slot_name(ts):
-    return F.date_format(slot_start(ts), "yyyyMMdd_HHmm")
+def slot_name(ts: Column) -> Column:
+    minute = F.floor(F.minute(ts) / SLOT_MINUTES) * SLOT_MINUTES
+    return F.format_string("%04d%02d%02d_%02d%02d", F.year(ts), F.month(ts), F.day(ts), F.hour(ts), minute)
 
 
 def slice_slot(df: DataFrame, start: dt.datetime, minutes: int = SLOT_MINUTES) -> DataFrame:
