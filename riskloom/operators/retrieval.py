@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators.neighbors import inner_product_top_k
-from riskloom.session import pin
+from riskloom.session import fill_cores, pin
 
 # --- fixed values: what counts as white space, and the chunking defaults ---
-SPACE = "[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+SPACES = "\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 CHUNK_WORDS = 200
 CARRIED_SENTENCES = 2
 
@@ -28,11 +28,14 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def sentences(text: Column) -> Column:
     """Pieces between white space that follows a full stop, exclamation or question mark."""
-    return F.split(text, f"(?<=[.!?]){SPACE}+")
+    return F.split(text, f"(?<=[.!?])[{SPACES}]+")
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, f"{SPACE}+"), lambda w: w != ""))
+    """Words between white space. Pieces of a split, less the empty ones at either end."""
+    pieces = F.size(F.split(text, f"[{SPACES}]+"))
+    edges = F.rlike(text, F.lit(f"^[{SPACES}]")).cast("int") + F.rlike(text, F.lit(f"[{SPACES}]\\z")).cast("int")
+    return F.when(text == "", 0).otherwise(pieces - edges)
 
 
 def chunk(df: DataFrame, words: int = CHUNK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,7 +44,7 @@ def chunk(df: DataFrame, words: int = CHUNK_WORDS, id_col: str = "doc_id", text_
     One fold per document. It keeps only where a chunk starts and its word count; texts are
     cut out of the sentence array afterwards, so the fold's state stays small.
     """
-    parted = df.select(F.col(id_col), sentences(F.col(text_col)).alias("_s"))
+    parted = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col), sentences(F.col(text_col)).alias("_s"))
     counted = parted.withColumn("_n", F.transform("_s", word_count))
 
     def step(acc: Column, i: Column) -> Column:
@@ -51,11 +54,11 @@ def chunk(df: DataFrame, words: int = CHUNK_WORDS, id_col: str = "doc_id", text_
         carried = F.coalesce(F.get(F.col("_n"), i - 1), F.lit(0)) + F.when(
             i - CARRIED_SENTENCES >= acc["start"], F.coalesce(F.get(F.col("_n"), i - CARRIED_SENTENCES), F.lit(0))
         ).otherwise(0)
-        closed = F.when(full, F.array(F.struct(acc["start"].alias("a"), (i - 1).alias("b")))).otherwise(empty)
+        closed = F.array(F.struct(acc["start"].alias("a"), (i - 1).alias("b")))
         return F.struct(
             start.alias("start"),
             (F.when(full, carried).otherwise(acc["held"]) + n).alias("held"),
-            F.concat(acc["done"], closed).alias("done"),
+            F.when(full, F.concat(acc["done"], closed)).otherwise(acc["done"]).alias("done"),
         )
 
     empty = F.array().cast("array<struct<a:int,b:int>>")
@@ -67,7 +70,7 @@ def chunk(df: DataFrame, words: int = CHUNK_WORDS, id_col: str = "doc_id", text_
         step,
         lambda acc: F.concat(acc["done"], F.array(F.struct(acc["start"].alias("a"), (size - 1).alias("b")))),
     )
-    cut = counted.filter(F.col("_s").isNotNull()).select(id_col, "_s", F.posexplode(spans).alias("chunk", "_span"))
+    cut = counted.select(id_col, "_s", F.posexplode(spans).alias("chunk", "_span"))
     text = F.array_join(F.slice("_s", F.col("_span.a") + 1, F.col("_span.b") - F.col("_span.a") + 1), " ")
     return cut.select(id_col, "chunk", text.alias("text"))
 
@@ -106,7 +109,7 @@ class Retriever:
         self.index: DataFrame | None = None
 
     def build(self, corpus: DataFrame) -> "Retriever":
-        chunks = pin(chunk(corpus, self.chunk_size))
+        chunks = pin(chunk(fill_cores(corpus), self.chunk_size))
         if hasattr(self.encoder, "fit"):
             self.encoder.fit(chunks)
         keyed = chunks.withColumn("chunk_id", F.concat_ws("/", F.col("doc_id").cast("string"), F.lpad(F.col("chunk").cast("string"), 6, "0")))

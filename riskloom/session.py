@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,10 +43,21 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage and survives the loss of executors."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a table in the shared checkpoint folder; it survives the loss of executors.
+
+    The plan runs once (a reliable ``checkpoint()`` runs it twice), and readers get column
+    pruning and real sizes, so later joins are planned on facts.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/tables/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fill_cores(df: DataFrame) -> DataFrame:
+    """Spread a scan of fewer splits than cores before costly row work; larger inputs stay unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
