@@ -1,9 +1,13 @@
 """Trailing-window measures per user: counts, sums and "seen within" tests in linear time.
 
-A sliding RANGE frame costs its own length for every row and holds a user in one task.
-Here each instant enters once with +1 and leaves once per window with -1, so a running sum
-gives the window exactly; heavy users are cut into ten-second cells whose totals carry over.
-Rows of one instant merge before the shuffle, which bounds a cell by its microseconds.
+A sliding RANGE frame costs its own length for every row. A window is instead the difference
+of two running sums, up to t and up to t - window, which Spark keeps incrementally: all
+measures of a user take one sort and one pass.
+
+That still holds a user in one task. Heavy users are therefore cut into one-minute cells: each
+instant enters once with +1 and leaves once per window with -1, running sums stay inside a
+cell, and the totals of earlier cells carry over. Rows of one instant merge before the
+shuffle, which bounds a cell by its microseconds.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.ordering import HEAVY_ROWS, heavy_keys
 from riskloom.functions.scalars import MICROS_PER_DAY, wall_micros
 
-CELL_MICROS = 10 * 1_000_000
+CELL_MICROS = 60 * 1_000_000
 # Money is summed as whole ten-thousandths, so that entering and leaving cancel exactly.
 MONEY_UNITS = 10_000
 
@@ -75,12 +79,45 @@ def trailing(
     instants = rows.groupBy(user, "_t").agg(
         *[(F.max(c) if k == "latest" else F.sum(c)).alias(c) for c, (k, _) in inputs.items()]
     )
+    tagged = instants.join(F.broadcast(heavy_keys(df, user, heavy_limit)), user, "left")
+    light = _whole_users(tagged.filter(F.col("_heavy").isNull()), measures, source, user)
+    split = _split_users(tagged.filter(F.col("_heavy")), measures, source, user, cell_micros)
+    return light.unionByName(split)
+
+
+def _finish(m: Trailing, total: Column, own: Column) -> Column:
+    """A measure from what its window holds before t, and from the instant t itself."""
+    if m.kind == "seen":
+        found = F.coalesce(total >= F.col("_t") - m.window, F.lit(False))
+        return (found | (own > 0)) if m.closed == "both" else found
+    total = F.coalesce(total, F.lit(0))
+    total = total + own if m.closed == "both" else total
+    return total / MONEY_UNITS if m.kind == "sum" else total
+
+
+def _whole_users(instants: DataFrame, measures: list[Trailing], source: dict[str, str], user: str) -> DataFrame:
+    by_time = Window.partitionBy(user).orderBy("_t")
+
+    def before(column: Column, gap: int) -> Column:
+        return F.sum(column).over(by_time.rangeBetween(Window.unboundedPreceding, -gap))
+
+    def held(m: Trailing) -> Column:
+        c = F.col(source[m.name])
+        if m.kind == "seen":
+            return F.max(F.when(c > 0, F.col("_t"))).over(by_time.rangeBetween(Window.unboundedPreceding, -1))
+        return before(c, 1) - F.coalesce(before(c, m.window + 1), F.lit(0))
+
+    return instants.select(user, "_t", *[_finish(m, held(m), F.col(source[m.name])).alias(m.name) for m in measures])
+
+
+def _split_users(
+    instants: DataFrame, measures: list[Trailing], source: dict[str, str], user: str, cell_micros: int
+) -> DataFrame:
     spans = sorted({m.window for m in measures if m.kind != "seen"})
     moves = (
         instants.withColumn("_span", F.explode(F.array(*[F.lit(s).cast("bigint") for s in [0, *spans]])))
         .withColumn("_at", F.col("_t") + F.col("_span"))
-        .join(F.broadcast(heavy_keys(df, user, heavy_limit)), user, "left")
-        .withColumn("_cell", F.when(F.col("_heavy"), F.floor(F.col("_at") / cell_micros)).otherwise(F.lit(0)))
+        .withColumn("_cell", F.floor(F.col("_at") / cell_micros))
     )
 
     def step(m: Trailing) -> Column:
@@ -93,13 +130,13 @@ def trailing(
         return F.max(step(m)) if m.kind == "seen" else F.sum(step(m))
 
     earlier = Window.partitionBy(user, "_cell").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    inputs = sorted(set(source.values()))
     local = moves.select(
         user, "_cell", "_t", "_span", *inputs, *[fold(m).over(earlier).alias(f"_in_{m.name}") for m in measures]
     ).filter(F.col("_span") == 0)
     cells_before = Window.partitionBy(user).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        moves.filter("_heavy")
-        .groupBy(user, "_cell")
+        moves.groupBy(user, "_cell")
         .agg(*[fold(m).alias(f"_c_{m.name}") for m in measures])
         .select(
             user,
@@ -112,17 +149,13 @@ def trailing(
     )
     joined = local.join(carry, [user, "_cell"], "left")
 
-    def result(m: Trailing) -> Column:
-        inside, before, own = F.col(f"_in_{m.name}"), F.col(f"_b_{m.name}"), F.col(source[m.name])
+    def held(m: Trailing) -> Column:
+        inside, before = F.col(f"_in_{m.name}"), F.col(f"_b_{m.name}")
         if m.kind == "seen":
-            found = F.greatest(inside, before) >= F.col("_t") - m.window
-            found = F.coalesce(found, F.lit(False))
-            return (found | (own > 0)) if m.closed == "both" else found
-        total = F.coalesce(inside, F.lit(0)) + F.coalesce(before, F.lit(0))
-        total = total + own if m.closed == "both" else total
-        return total / MONEY_UNITS if m.kind == "sum" else total
-
-    return joined.select(user, "_t", *[result(m).alias(m.name) for m in measures])
+            return F.greatest(inside, before)
+        return F.coalesce(inside, F.lit(0)) + F.coalesce(before, F.lit(0))
+
+    return joined.select(user, "_t", *[_finish(m, held(m), F.col(source[m.name])).alias(m.name) for m in measures])
 
 
 def empty_measures(measures: list[Trailing]) -> dict[str, Column]:
