@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.scalars import risk_tier
+from riskloom.operators.validation import apply_defaults, from_json_lines, split, to_transactions, validate
 
 LATENESS = "1 hour"
 
@@ -62,3 +63,9 @@ def run_available(df: DataFrame, path: str, checkpoint: str) -> None:
         df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
     )
     query.awaitTermination()
+
+
+def requests_from_broker(df: DataFrame) -> DataFrame:
+    """The valid transactions among broker messages."""
+    texts = df.select(F.col("value").cast("string").alias("value"))
+    return to_transactions(split(validate(apply_defaults(from_json_lines(texts))))[0])
