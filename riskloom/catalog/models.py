@@ -231,7 +231,7 @@ QUERIES = {
         with_sql(NORMAL, """SELECT transaction_id, round(n_amount, 6) AS n_amount, round(n_credit_utilization, 6) AS n_credit_utilization,
   round(n_account_age_days, 6) AS n_account_age_days, CAST(0 AS DOUBLE) AS constant FROM n"""),
     ),
-    "g06_composite": (
+    "g06_g07_composite": (
         composite_score,
         with_sql(NORMAL, """, c AS (SELECT transaction_id, round(greatest(0, least(1, CAST(0.5 AS DOUBLE) * n_amount
   + CAST(0.3 AS DOUBLE) * n_credit_utilization + CAST(0.2 AS DOUBLE) * n_account_age_days)), 6) AS anomaly_score FROM n)
@@ -253,7 +253,7 @@ SELECT CAST(0 AS INT) AS label, n0 AS n, n0 AS ids FROM c
 UNION ALL SELECT CAST(1 AS INT), CAST(greatest(n1, floor(n0 * CAST(0.1 AS DOUBLE))) AS BIGINT), CAST(greatest(n1, floor(n0 * CAST(0.1 AS DOUBLE))) AS BIGINT) FROM c"""),
     ),
     "g10_oversampled_rows": (oversampled_rows, None),
-    "g11_g13_member_scores": (member_scores, None),
+    "g11_g12_g13_member_scores": (member_scores, None),
     "g14_soft_vote": (
         votes,
         with_sql(TXN, """SELECT transaction_id, round((credit_utilization * CAST(0.4 AS DOUBLE) + least(CAST(1 AS DOUBLE), amount / CAST(300 AS DOUBLE)) * CAST(0.4 AS DOUBLE)
@@ -263,7 +263,7 @@ UNION ALL SELECT CAST(1 AS INT), CAST(greatest(n1, floor(n0 * CAST(0.1 AS DOUBLE
     "g16_predictions": (predictions, None),
     "g17_contributions": (contributions, None),
     "g18_metrics": (metrics, None),
-    "g19_augmented_features": (augmented, None),
+    "g19_e04_augmented_features": (augmented, None),
     "g20_fit_then_transform": (
         fit_then_transform,
         with_sql(TXN, """, old AS (SELECT * FROM txn WHERE ts < TIMESTAMP '2024-01-16'),

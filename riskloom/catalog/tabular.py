@@ -19,7 +19,7 @@ from riskloom.catalog.base import (
     scratch,
     with_sql,
 )
-from riskloom.functions.ordering import user_quantiles
+from riskloom.functions.ordering import ordered_totals, user_quantiles
 from riskloom.functions.scalars import (
     align_to_contract,
     calendar_features,
@@ -34,6 +34,7 @@ from riskloom.operators.features import FeatureBuilder, FeatureModel, category_f
 from riskloom.operators.metrics import average_precision, batch_kpis, roc_auc, score_histogram, tier_counts
 from riskloom.operators.trailing import velocity_measures, with_trailing
 from riskloom.operators.validation import apply_defaults, from_json_lines, outcome_counts, split, validate
+from riskloom.plans.scoring import responses
 from riskloom.schema import CATEGORY_COLUMNS, FEATURE_COLUMNS, STATS_COLUMNS
 from riskloom.sources import sinks
 from riskloom.sources.transactions import read_partitioned, read_transactions, slot_name, slot_start
@@ -242,6 +243,21 @@ def tiers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def rounded_responses(spark: SparkSession, sf: str) -> DataFrame:
+    rows = scored(spark, sf).withColumns(
+        {"fraud_score": F.col("credit_utilization") / 3, "anomaly_score": F.col("amount") / 700}
+    )
+    rows = rows.withColumns({"fraud_label": score_label(F.col("fraud_score")), "risk_tier": risk_tier(F.col("fraud_score"))})
+    return responses(rows)
+
+
+def ordered_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Presentation order by time: each user's transactions numbered in it."""
+    rows = read_transactions(spark, sf).select("user_id", "ts", "transaction_id", F.lit(1).alias("one"))
+    placed = ordered_totals(rows, ["user_id"], ["ts", "transaction_id"], {"place": "one"})
+    return placed.select("transaction_id", "user_id", "place").orderBy("user_id", "place")
+
+
 def high_risk_slice(spark: SparkSession, sf: str) -> DataFrame:
     rows = scored(spark, sf).withColumn("risk_tier", risk_tier(F.col("fraud_score")))
     return rows.filter(F.col("risk_tier") == "HIGH").select("transaction_id", "amount", "fraud_score", "risk_tier")
@@ -422,7 +438,7 @@ QUERIES = {
   CAST(fraud_score >= 0.5 AS INT) AS fraud_label, CAST(hour(ts) AS INT) AS hour_of_day,
   CAST(isodow(ts) >= 6 AS INT) AS is_weekend, CAST(hour(ts) < 6 OR hour(ts) >= 22 AS INT) AS is_night FROM scored"""),
     ),
-    "a08_kpi_log": (
+    "a08_e08_kpi_log": (
         kpi_log,
         with_sql(SCORED, """SELECT merchant_category AS run, count(*) AS batch_size,
   round(avg(CAST(fraud_score >= 0.5 AS INT)), 6) AS fraud_rate, round(avg(fraud_score), 6) AS avg_fraud_score,
@@ -433,12 +449,12 @@ QUERIES = {
         with_sql(TXN + STATS, 'SELECT col AS "column", value, round(freq, 6) AS freq FROM freq'),
     ),
     "b00_feature_table": (feature_table, with_sql(FEATURES, "SELECT * FROM features")),
-    "b01_amount_features": (amount_columns, with_sql(TXN + STATS, f"SELECT transaction_id, {AMOUNT_SQL} FROM txn CROSS JOIN stats s")),
+    "b01_b04_amount_features": (amount_columns, with_sql(TXN + STATS, f"SELECT transaction_id, {AMOUNT_SQL} FROM txn CROSS JOIN stats s")),
     "b05_user_median_ratio": (
         median_ratio,
         with_sql(TXN + STATS, "SELECT transaction_id, round(amount / (user_median + 1e-9), 6) AS amount_vs_user_median FROM txn JOIN per_user USING (user_id)"),
     ),
-    "b06_calendar_features": (calendar_columns, with_sql(TXN, f"SELECT transaction_id, {CALENDAR_SQL} FROM txn")),
+    "b06_b10_calendar_features": (calendar_columns, with_sql(TXN, f"SELECT transaction_id, {CALENDAR_SQL} FROM txn")),
     "b11_parsed_times": (
         parsed_times,
         with_sql(TXN, "SELECT transaction_id, CASE WHEN merchant_category <> 'error' THEN ts END AS parsed FROM txn"),
@@ -447,7 +463,7 @@ QUERIES = {
         repeat_flag,
         with_sql(TXN, "SELECT transaction_id, CAST(prior_fraud_count > 0 AS INT) AS is_repeat_fraudster FROM txn"),
     ),
-    "b13_numeric_matrix": (
+    "b13_b14_numeric_matrix": (
         numeric_matrix,
         with_sql(TXN, """SELECT transaction_id, CASE WHEN merchant_category <> 'error' THEN amount ELSE 0 END AS amount,
   account_age_days, round(credit_utilization, 6) AS credit_utilization, prior_fraud_count FROM txn"""),
@@ -458,7 +474,7 @@ QUERIES = {
                  "CAST(0 AS DOUBLE) AS credit_utilization, CAST(prior_fraud_count AS DOUBLE) AS prior_fraud_count, "
                  + ", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in FEATURE_COLUMNS[4:8]) + " FROM txn"),
     ),
-    "b16_labels_and_tiers": (
+    "b16_b17_labels_and_tiers": (
         tiers,
         with_sql(SCORED, f"SELECT transaction_id, fraud_score, CAST(fraud_score >= 0.5 AS INT) AS fraud_label, {TIER} AS risk_tier FROM scored"),
     ),
@@ -470,6 +486,16 @@ QUERIES = {
         high_risk_slice,
         with_sql(SCORED, "SELECT transaction_id, amount, fraud_score, 'HIGH' AS risk_tier FROM scored WHERE fraud_score >= 0.7 AND fraud_score < 0.9"),
     ),
+    "b20_rounded_responses": (
+        rounded_responses,
+        with_sql(TXN, f""", scored AS (SELECT transaction_id, credit_utilization / 3 AS fraud_score, amount / 700 AS anomaly_score FROM txn)
+SELECT transaction_id, round(fraud_score, 6) AS fraud_score, round(anomaly_score, 6) AS anomaly_score,
+  CAST(fraud_score >= 0.5 AS INT) AS fraud_label, {TIER} AS risk_tier, '' AS explanation FROM scored"""),
+    ),
+    "e05_time_order": (
+        ordered_times,
+        with_sql(TXN, "SELECT transaction_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, transaction_id) AS place FROM txn"),
+    ),
     "c01_numeric_stats": (
         stats_table,
         with_sql(TXN, "\nUNION ALL\n".join(
@@ -488,11 +514,11 @@ QUERIES = {
         frequency_table,
         with_sql(TXN + STATS, 'SELECT col AS "column", value, n, round(freq, 6) AS freq FROM freq'),
     ),
-    "c03_user_profile": (
+    "c03_c07_user_profile": (
         profile_table,
         with_sql(TXN + STATS, "SELECT user_id, unique_merchants, unique_ips, countries, unique_devices, round(user_median, 6) AS user_median FROM per_user"),
     ),
-    "c05_user_flags": (
+    "c05_c06_d03_e03_user_flags": (
         user_flags,
         with_sql(TXN + STATS, """SELECT transaction_id, unique_merchants, unique_ips, CAST(countries > 1 AS INT) AS multi_country_session,
   unique_devices, CAST(unique_devices > 3 AS INT) AS new_device FROM txn JOIN per_user USING (user_id)"""),
@@ -540,7 +566,7 @@ SELECT round(sum(CAST(pos AS DOUBLE) * tp / seen) / CAST(sum(pos) AS DOUBLE), 6)
         tier_table,
         with_sql(SCORED, f"SELECT {TIER} AS risk_tier, count(*) AS n, round(avg(fraud_score), 6) AS avg_score FROM scored GROUP BY 1"),
     ),
-    "d01_velocity": (velocity, with_sql(TXN, f"SELECT transaction_id, {frames()} FROM txn")),
+    "d01_d02_velocity": (velocity, with_sql(TXN, f"SELECT transaction_id, {frames()} FROM txn")),
     "d01_velocity_heavy_split": (velocity_split, with_sql(TXN, f"SELECT transaction_id, {frames([3, 14])} FROM txn")),
     "e01_frequency_lookup": (
         frequency_join,

@@ -250,7 +250,7 @@ _BACK = "PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL {} PRECEDING AN
 _CUR, _OPEN = "CURRENT ROW", "INTERVAL 1 MICROSECOND PRECEDING"
 
 QUERIES = {
-    "a09_json_report": (
+    "a09_f08_f11_json_report": (
         report,
         with_sql(_pair_sql(1.3), f""", s AS (SELECT count(*) FILTER (ts >= TIMESTAMP '{SPLIT}') AS batch_size,
   avg(fraud_score) FILTER (ts >= TIMESTAMP '{SPLIT}') - avg(fraud_score) FILTER (ts < TIMESTAMP '{SPLIT}') AS shift FROM scored),

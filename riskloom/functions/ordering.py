@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.session import pin, shuffle_width
+from riskloom.session import pin
 
 HEAVY_ROWS = 1_000_000
 
@@ -46,11 +46,10 @@ def ordered_totals(
     ``<name>_all``, the sum over the whole key.
     """
     direction = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    cut = pin(
-        df.repartitionByRange(partitions or shuffle_width(df), *[F.col(k) for k in keys], *direction).withColumn(
-            "_cell", F.spark_partition_id()
-        )
-    )
+    by = [*[F.col(k) for k in keys], *direction]
+    # Without a number, adaptive execution may merge neighbouring ranges of small inputs.
+    ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    cut = pin(ranged.withColumn("_cell", F.spark_partition_id()))
     names = list(sums)
     per_cell = cut.groupBy(*keys, "_cell").agg(*[F.sum(sums[n]).alias(f"_{n}_cell") for n in names])
     whole = Window.partitionBy(*keys)

@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.neighbors import _matrix, knn_join
+from riskloom.operators.neighbors import _matrix, knn_join, matrix_of
 from riskloom.operators.scaling import Scaler, normalise, score_range
 from riskloom.session import pin
 
@@ -64,7 +65,7 @@ def _grow(seed: int):
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         tree = int(pdf["tree"].iat[0])
-        x = np.asarray(pdf["features"].tolist(), dtype=np.float64)
+        x = np.stack(pdf["features"].to_numpy()).astype(np.float64)
         rng = np.random.default_rng([seed, tree])
         limit = int(np.ceil(np.log2(max(len(x), 2))))
         nodes: list[list] = []
@@ -114,9 +115,9 @@ class IsolationForest:
         shipped = self.nodes.sparkSession.sparkContext.broadcast(trees)
         scale = float(average_path(self.sample)) or 1.0
 
-        @F.pandas_udf("double")
-        def score(features: pd.Series) -> pd.Series:
-            x = np.asarray(features.tolist(), dtype=np.float64)
+        @F.arrow_udf("double")
+        def score(features: pa.Array) -> pa.Array:
+            x = matrix_of(features)
             total = np.zeros(len(x))
             every = np.arange(len(x))
             for feature, threshold, left, right, path in shipped.value:
@@ -129,7 +130,7 @@ class IsolationForest:
                     goes = x[every, np.maximum(f, 0)] <= threshold[at]
                     at = np.where(inner, np.where(goes, left[at], right[at]), at)
                 total += path[at]
-            return pd.Series(2.0 ** (-total / len(shipped.value) / scale))
+            return pa.array(2.0 ** (-total / len(shipped.value) / scale))
 
         return score
 
@@ -224,11 +225,11 @@ class OneClassSvm:
         """Column function over ``features``: offset minus score, higher is more anomalous."""
         projection, phase, weights, offset = self.projection, self.phase, self.weights, self.offset
 
-        @F.pandas_udf("double")
-        def score(features: pd.Series) -> pd.Series:
-            x = np.asarray(features.tolist(), dtype=np.float64)
+        @F.arrow_udf("double")
+        def score(features: pa.Array) -> pa.Array:
+            x = matrix_of(features)
             z = np.sqrt(2.0 / len(phase)) * np.cos(x @ projection + phase)
-            return pd.Series(offset - z @ weights)
+            return pa.array(offset - z @ weights)
 
         return score
 

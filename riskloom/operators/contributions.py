@@ -8,14 +8,18 @@ values; contributions and base value add up to the log-odds of the model.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 from math import factorial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.operators.evidence import top_contributions
+from riskloom.operators.neighbors import matrix_of
+
 
 @dataclass
 class LeafPath:
@@ -53,17 +57,17 @@ def leaf_paths(nodes: pd.DataFrame, tree_weight: float) -> list[LeafPath]:
     return paths
 
 
-def path_values(x: np.ndarray, paths: list[LeafPath]) -> tuple[np.ndarray, float]:
-    """(rows x features contributions, base value)."""
+def path_values(x: np.ndarray, paths: list[tuple]) -> tuple[np.ndarray, float]:
+    """(rows x features contributions, base value); paths as plain tuples."""
     out = np.zeros_like(x, dtype=np.float64)
     base = 0.0
-    for p in paths:
-        m = len(p.features)
-        base += p.value * float(np.prod(p.share))
+    for leaf, features, low, high, share in paths:
+        m = len(features)
+        base += leaf * float(np.prod(share))
         if m == 0:
             continue
-        values = x[:, p.features]
-        meets = ((values > p.low) & (values <= p.high)).astype(np.float64)
+        values = x[:, features]
+        meets = ((values > low) & (values <= high)).astype(np.float64)
         weights = [factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)]
         for i in range(m):
             # Coefficient s: total weight of coalitions of s other features.
@@ -73,8 +77,8 @@ def path_values(x: np.ndarray, paths: list[LeafPath]) -> tuple[np.ndarray, float
                 if j != i:
                     shifted = np.zeros_like(poly)
                     shifted[:, 1:] = poly[:, :-1] * meets[:, j : j + 1]
-                    poly = poly * p.share[j] + shifted
-            out[:, p.features[i]] += p.value * (meets[:, i] - p.share[i]) * (poly @ weights)
+                    poly = poly * share[j] + shifted
+            out[:, features[i]] += leaf * (meets[:, i] - share[i]) * (poly @ weights)
     return out, base
 
 
@@ -108,20 +112,18 @@ class Explainer:
         for tree, nodes in data.groupby("tree"):
             # The model's probability is the logistic of twice its margin.
             paths += leaf_paths(nodes, 2.0 * weights[int(tree)])
-        return cls(list(feature_names), paths, path_values(np.zeros((0, len(feature_names))), paths)[1])
+        empty = np.zeros((0, len(feature_names)))
+        return cls(list(feature_names), paths, path_values(empty, [astuple(p) for p in paths])[1])
 
     def explain(self, df: DataFrame, vector: str = "features", max_display: int = 10) -> DataFrame:
         """Add ``contributions`` (map of the strongest features) and ``base_value``."""
-        from riskloom.operators.evidence import top_contributions
-
-        shipped = df.sparkSession.sparkContext.broadcast(self.paths)
+        shipped = df.sparkSession.sparkContext.broadcast([astuple(p) for p in self.paths])
 
-        @F.pandas_udf("array<double>")
-        def values(features: pd.Series) -> pd.Series:
-            x = np.asarray(features.tolist(), dtype=np.float64)
-            if len(x) == 0:
-                return pd.Series([], dtype=object)
-            return pd.Series(list(path_values(x, shipped.value)[0]))
+        @F.arrow_udf("array<double>")
+        def values(features: pa.Array) -> pa.Array:
+            found = path_values(matrix_of(features), shipped.value)[0]
+            ends = np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))
 
         named = F.map_from_arrays(F.array(*[F.lit(n) for n in self.feature_names]), F.col("_values"))
         top = top_contributions(named, max_display)

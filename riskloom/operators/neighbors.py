@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,15 @@ MAX_PIVOTS = 512
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    return np.asarray(vectors.tolist(), dtype=np.float64).reshape(len(vectors), width)
+    if len(vectors) == 0:
+        return np.zeros((0, width))
+    return np.concatenate(vectors.to_numpy()).astype(np.float64, copy=False).reshape(len(vectors), width)
+
+
+def matrix_of(vectors: pa.Array) -> np.ndarray:
+    """A list column of equal lengths as rows, without copying where Arrow allows."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 1)
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:

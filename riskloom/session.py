@@ -53,10 +53,6 @@ def pin(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shuffle_width(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def fill_cores(df: DataFrame) -> DataFrame:
     """Spread a scan of fewer splits than cores before costly row work; larger inputs stay unshuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -10,14 +10,13 @@ from riskloom.schema import EXPORT_COLUMNS
 from riskloom.sources.transactions import slot_name
 
 
-def write_slots(df: DataFrame, path: str, files_per_slot: int = 8) -> None:
+def write_slots(df: DataFrame, path: str) -> None:
     """Rows by 15-minute slot; writing a slot again replaces just that slot, so retries are safe.
 
-    Rows meet by (slot, salt): few files per slot, and a busy slot is not one task.
+    Rebalancing by slot merges small slots into one task and splits a busy one by size.
     """
     slotted = df if "slot" in df.columns else df.withColumn("slot", slot_name(F.col("ts")))
-    salt = F.pmod(F.xxhash64("transaction_id"), F.lit(files_per_slot))
-    spread = slotted.repartition("slot", salt)
+    spread = slotted.hint("rebalance", "slot")
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(path)
 
 

@@ -1,4 +1,5 @@
 import math
+from dataclasses import astuple
 from itertools import combinations
 
 import numpy as np
@@ -178,7 +179,7 @@ def test_contributions_equal_shapley_by_enumeration():
             total += part
         return total
 
-    got, base = path_values(x, paths)
+    got, base = path_values(x, [astuple(p) for p in paths])
     for i, row in enumerate(x):
         assert base == pytest.approx(value(row, set()))
         for f in range(4):
