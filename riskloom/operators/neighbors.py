@@ -2,8 +2,9 @@
 
 Reference rows go to the cell of their nearest pivot. Counts of rows by (cell, distance ring)
 give every query a distance that surely holds k neighbours; by the triangle inequality only
-cells that can reach inside it are visited. Cells and their queries are cut into blocks of
-bounded size, so a cell holding a third of all rows is many tasks. Nothing is left out.
+cells that can reach inside it are searched. Small cells are packed into blocks, and a cell
+holding a third of all rows is cut into many; queries of a block are cut likewise, so every
+task is of bounded size. Nothing is left out.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK = 20_000
-MAX_PIVOTS = 512
+MAX_PIVOTS = 1_024
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -79,7 +80,7 @@ def knn_join(
     )
     if n_refs == 0:
         return spark.createDataFrame([], out_schema)
-    n_pivots = max(1, min(max_pivots, n_refs // block))
+    n_pivots = max(1, min(max_pivots, int(n_refs**0.5)))
     pivots = refs.orderBy(F.xxhash64("rid", F.lit(seed)), "rid").limit(n_pivots).select("rvec").collect()
     points = np.array([r["rvec"] for r in pivots], dtype=np.float64)
     width = points.shape[1]
@@ -90,94 +91,128 @@ def knn_join(
             cell = d.argmin(1)
             yield b.assign(cell=cell.astype("int32"), radius=d[np.arange(len(b)), cell])
 
-    placed = refs.mapInPandas(assign, T.StructType([*refs.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())]))
+    cell_fields = [T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())]
+    placed = refs.mapInPandas(assign, T.StructType([*refs.schema.fields, *cell_fields]))
     ring = F.floor(F.log1p(F.col("radius") * 1e3) * 8)
     # At most pivots x rings rows.
-    units = (
+    rings = (
         placed.groupBy("cell", ring.alias("ring"))
         .agg(F.count("*").alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi"))
         .toPandas()
+        .sort_values(["cell", "ring"])
     )
-    unit_cell, unit_n, unit_hi = units["cell"].to_numpy(), units["n"].to_numpy(), units["hi"].to_numpy()
-    cells = units.groupby("cell").agg(n=("n", "sum"), lo=("lo", "min"), hi=("hi", "max")).reset_index()
-    cell_id, cell_lo, cell_hi = cells["cell"].to_numpy(), cells["lo"].to_numpy(), cells["hi"].to_numpy()
     enough = k + 1 if exclude_self else k
+    rings["held"] = rings.groupby("cell")["n"].cumsum()
+    # The radius around a pivot that surely holds enough rows, where its cell has them.
+    filled = rings[rings["held"] >= enough].groupby("cell")["hi"].first()
+    cells = rings.groupby("cell").agg(n=("n", "sum"), lo=("lo", "min"), hi=("hi", "max")).reset_index()
+    cell_id, cell_n = cells["cell"].to_numpy(), cells["n"].to_numpy()
+    cell_lo, cell_hi = cells["lo"].to_numpy(), cells["hi"].to_numpy()
+    cell_fill = cells["cell"].map(filled).fillna(np.inf).to_numpy()
+
+    # Neighbouring small cells share a block, so a query that visits several of them is sent once.
+    centred = points[cell_id] - points[cell_id].mean(0)
+    axis = np.linalg.svd(centred, full_matrices=False)[2][0]
+    cell_block = np.zeros(len(cells), dtype=np.int64)
+    number, rows = 0, 0
+    for c in (centred @ axis).argsort(kind="stable"):
+        if rows and rows + cell_n[c] > block:
+            number, rows = number + 1, 0
+        cell_block[c], rows = number, rows + cell_n[c]
+    n_blocks = number + 1
 
     def visits(vectors: pd.Series) -> Iterator[tuple[int, np.ndarray]]:
+        """Per slice of queries: which cells may hold one of their neighbours."""
         q = _matrix(vectors, width)
         for lo in range(0, len(q), 256):
-            d = _distances(q[lo : lo + 256], points)
-            bound = d[:, unit_cell] + unit_hi[None, :]
+            d = _distances(q[lo : lo + 256], points[cell_id])
+            bound = d + cell_hi
             order = bound.argsort(1)
-            held = unit_n[order].cumsum(1) >= enough
+            held = cell_n[order].cumsum(1) >= enough
             first = np.where(held.any(1), held.argmax(1), order.shape[1] - 1)
             reach = np.take_along_axis(bound, np.take_along_axis(order, first[:, None], 1), 1)[:, 0]
-            reach = np.where(held.any(1), reach, np.inf)
-            dc = d[:, cell_id]
-            nearest = np.maximum(np.maximum(dc - cell_hi[None, :], cell_lo[None, :] - dc), 0.0)
+            reach = np.minimum(np.where(held.any(1), reach, np.inf), (d + cell_fill).min(1))
+            nearest = np.maximum(np.maximum(d - cell_hi, cell_lo - d), 0.0)
             yield lo, nearest <= (reach * (1 + 1e-9) + 1e-9)[:, None]
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            ids, vectors = b["qid"].to_numpy(), b["qvec"].to_numpy()
             for lo, go in visits(b["qvec"]):
-                row, col = np.nonzero(go)
-                yield pd.DataFrame(
-                    {"qid": b["qid"].to_numpy()[lo + row], "qvec": [b["qvec"].iat[lo + i] for i in row], "cell": cell_id[col]}
-                )
+                into = np.zeros((len(go), n_blocks), dtype=bool)
+                for c in range(len(cell_id)):
+                    into[:, cell_block[c]] |= go[:, c]
+                row, col = np.nonzero(into)
+                yield pd.DataFrame({"qid": ids[lo + row], "qvec": vectors[lo + row], "block": col})
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(cell_id), dtype=np.int64)
+        total = np.zeros(n_blocks, dtype=np.int64)
         for b in batches:
             for _, go in visits(b["qvec"]):
-                total += go.sum(0)
-        yield pd.DataFrame({"cell": cell_id, "n": total})
-
-    asked = queries.select("qvec").mapInPandas(tally, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    cuts = cells[["cell", "n"]].merge(asked, on="cell", suffixes=("_ref", "_query"))
-    # Query blocks are kept smaller than reference blocks: they are what runs side by side.
-    query_block = max(256, block // 10)
-    cut_rows = [
-        (int(c), int(-(-n // block)), int(max(1, -(-m // query_block)))) for c, n, m in cuts[["cell", "n_ref", "n_query"]].to_numpy()
-    ]
-    cut_table = F.broadcast(spark.createDataFrame(cut_rows, "cell int, ref_cuts int, query_cuts int"))  # one row per cell
+                for i in range(n_blocks):
+                    total[i] += go[:, cell_block == i].any(1).sum()
+        yield pd.DataFrame({"block": np.arange(n_blocks), "n": total})
+
+    tallied = queries.select("qvec").mapInPandas(tally, "block int, n bigint").groupBy("block").agg(F.sum("n").alias("n"))
+    asked = dict(tallied.collect())  # one row per block
+    # Query slices are kept smaller than reference slices: they are what runs side by side.
+    query_slice = max(256, block // 10)
+    cut_rows = []
+    for i in range(n_blocks):
+        ref_cuts = -(-int(cell_n[cell_block == i].sum()) // block)  # above 1 only for one cell larger than a block
+        cut_rows.append((i, ref_cuts, max(1, -(-int(asked.get(i, 0)) // query_slice))))
+    cut_table = F.broadcast(spark.createDataFrame(cut_rows, "block int, ref_cuts int, query_cuts int"))
+    block_of = F.broadcast(spark.createDataFrame([(int(c), int(i)) for c, i in zip(cell_id, cell_block)], "cell int, block int"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     ref_blocks = (
-        placed.join(cut_table, "cell")
+        placed.join(block_of, "cell")
+        .join(cut_table, "block")
         .withColumn("ref_cut", F.pmod(F.xxhash64("rid"), F.col("ref_cuts")).cast("int"))
         .withColumn("query_cut", spread("query_cuts"))
-        .select("cell", "ref_cut", "query_cut", "rid", "rvec")
+        .select("block", "ref_cut", "query_cut", "rid", "rvec", "cell")
     )
-    routed = queries.mapInPandas(route, T.StructType([*queries.schema.fields, T.StructField("cell", T.IntegerType())]))
+    routed = queries.mapInPandas(route, T.StructType([*queries.schema.fields, T.StructField("block", T.IntegerType())]))
     query_blocks = (
-        routed.join(cut_table, "cell")
+        routed.join(cut_table, "block")
         .withColumn("query_cut", F.pmod(F.xxhash64("qid"), F.col("query_cuts")).cast("int"))
         .withColumn("ref_cut", spread("ref_cuts"))
-        .select("cell", "ref_cut", "query_cut", "qid", "qvec")
+        .select("block", "ref_cut", "query_cut", "qid", "qvec")
     )
+    place_of = {int(c): i for i, c in enumerate(cell_id)}
 
     def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        nothing = pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
         if len(q) == 0 or len(r) == 0:
-            return pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
-        r_ids, q_ids = r["rid"].to_numpy(), q["qid"].to_numpy()
-        found = []
-        for lo, near, dist in _nearest(_matrix(q["qvec"], width), _matrix(r["rvec"], width), r_ids, enough):
-            n = near.shape[1]
-            found.append(
-                pd.DataFrame(
-                    {
-                        "query_id": np.repeat(q_ids[lo : lo + len(near)], n),
-                        "neighbor_id": r_ids[near.ravel()],
-                        "distance": dist.ravel(),
-                    }
-                )
-            )
-        out = pd.concat(found, ignore_index=True)
-        return out[out["query_id"] != out["neighbor_id"]] if exclude_self else out
-
-    keys = ["cell", "ref_cut", "query_cut"]
+            return nothing
+        r_ids, q_ids, r_cells = r["rid"].to_numpy(), q["qid"].to_numpy(), r["cell"].to_numpy()
+        q_all, r_all = _matrix(q["qvec"], width), _matrix(r["rvec"], width)
+        go = np.concatenate([g for _, g in visits(q["qvec"])])
+        asks, answers, gaps = [], [], []
+        for cell in np.unique(r_cells):
+            mine = np.flatnonzero(r_cells == cell)
+            who = np.flatnonzero(go[:, place_of[int(cell)]])
+            if len(who) == 0:
+                continue
+            for lo, near, dist in _nearest(q_all[who], r_all[mine], r_ids[mine], enough):
+                asks.append(np.repeat(who[lo : lo + len(near)], near.shape[1]))
+                answers.append(mine[near.ravel()])
+                gaps.append(dist.ravel())
+        if not asks:
+            return nothing
+        ask, answer, gap = np.concatenate(asks), np.concatenate(answers), np.concatenate(gaps)
+        keep = np.ones(len(ask), dtype=bool) if not exclude_self else q_ids[ask] != r_ids[answer]
+        ask, answer, gap = ask[keep], answer[keep], gap[keep]
+        order = np.lexsort((r_ids[answer], gap, ask))
+        ask, answer, gap = ask[order], answer[order], gap[order]
+        start = np.r_[0, np.flatnonzero(np.diff(ask)) + 1] if len(ask) else np.zeros(0, dtype=np.int64)
+        rank = np.arange(len(ask)) - np.repeat(start, np.diff(np.r_[start, len(ask)]))
+        best = rank < k
+        return pd.DataFrame({"query_id": q_ids[ask[best]], "neighbor_id": r_ids[answer[best]], "distance": gap[best]})
+
+    keys = ["block", "ref_cut", "query_cut"]
     partial_schema = T.StructType([f for f in out_schema.fields if f.name != "rank"])
     partial = query_blocks.groupBy(*keys).cogroup(ref_blocks.groupBy(*keys)).applyInPandas(search, partial_schema)
-    # Each block gives a query at most k + 1 rows.
+    # Each block gives a query at most k rows.
     best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(*out_schema.names)
 
