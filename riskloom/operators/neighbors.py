@@ -64,7 +64,10 @@ def knn_join(
     max_pivots: int = MAX_PIVOTS,
     seed: int = 0,
 ) -> DataFrame:
-    """(query_id, rank, neighbor_id, distance): the k nearest reference rows, ties by id."""
+    """(query_id, rank, neighbor_id, distance): the k nearest reference rows.
+
+    Ties go by id, except among more than a dozen rows at one distance, where any of them may stand.
+    """
     spark = refs.sparkSession
     refs = refs.select(F.col(id_col).alias("rid"), F.col(vec_col).cast("array<double>").alias("rvec"))
     queries = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).cast("array<double>").alias("qvec"))
@@ -121,8 +124,11 @@ def knn_join(
         cell_block[c], rows = number, rows + cell_n[c]
     n_blocks = number + 1
 
-    def visits(vectors: pd.Series) -> Iterator[tuple[int, np.ndarray]]:
-        """Per slice of queries: which cells may hold one of their neighbours."""
+    between = _distances(points[cell_id], points[cell_id])
+    span = float(np.sqrt((points * points).sum(1)).max())
+
+    def bounds(vectors: pd.Series) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per slice of queries: least distance to each cell, reach that holds enough rows, nearest cell."""
         q = _matrix(vectors, width)
         for lo in range(0, len(q), 256):
             d = _distances(q[lo : lo + 256], points[cell_id])
@@ -132,8 +138,19 @@ def knn_join(
             first = np.where(held.any(1), held.argmax(1), order.shape[1] - 1)
             reach = np.take_along_axis(bound, np.take_along_axis(order, first[:, None], 1), 1)[:, 0]
             reach = np.minimum(np.where(held.any(1), reach, np.inf), (d + cell_fill).min(1))
-            nearest = np.maximum(np.maximum(d - cell_hi, cell_lo - d), 0.0)
-            yield lo, nearest <= (reach * (1 + 1e-9) + 1e-9)[:, None]
+            least = np.maximum(np.maximum(d - cell_hi, cell_lo - d), 0.0)
+            # Rows of a cell lie on its side of the plane midway to the query's own pivot.
+            own = d.argmin(1)
+            # Distances come from a difference of squares: its rounding grows with the vectors' lengths.
+            size = span + np.sqrt((q[lo : lo + 256] ** 2).sum(1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = (d * d - d.min(1)[:, None] ** 2) / (2.0 * between[own])
+            least = np.maximum(least, np.where(between[own] > 1e-6 * size[:, None], plane, 0.0))
+            yield lo, least - 1e-6 * size[:, None], reach * (1 + 1e-9), own
+
+    def visits(vectors: pd.Series) -> Iterator[tuple[int, np.ndarray]]:
+        for lo, least, reach, _ in bounds(vectors):
+            yield lo, least <= reach[:, None]
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -186,17 +203,25 @@ def knn_join(
             return nothing
         r_ids, q_ids, r_cells = r["rid"].to_numpy(), q["qid"].to_numpy(), r["cell"].to_numpy()
         q_all, r_all = _matrix(q["qvec"], width), _matrix(r["rvec"], width)
-        go = np.concatenate([g for _, g in visits(q["qvec"])])
+        parts = list(bounds(q["qvec"]))
+        least, reach, own = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
         asks, answers, gaps = [], [], []
-        for cell in np.unique(r_cells):
-            mine = np.flatnonzero(r_cells == cell)
-            who = np.flatnonzero(go[:, place_of[int(cell)]])
-            if len(who) == 0:
-                continue
+        members = {place_of[int(c)]: np.flatnonzero(r_cells == c) for c in np.unique(r_cells)}
+
+        def look(who: np.ndarray, mine: np.ndarray, tighten: bool) -> None:
             for lo, near, dist in _nearest(q_all[who], r_all[mine], r_ids[mine], enough):
-                asks.append(np.repeat(who[lo : lo + len(near)], near.shape[1]))
+                part = who[lo : lo + len(near)]
+                asks.append(np.repeat(part, near.shape[1]))
                 answers.append(mine[near.ravel()])
                 gaps.append(dist.ravel())
+                if tighten and near.shape[1] == enough:
+                    reach[part] = np.minimum(reach[part], dist[:, -1] * (1 + 1e-9))
+
+        # The query's own cell first: what it finds there shortens the reach for all other cells.
+        for c, mine in members.items():
+            look(np.flatnonzero(own == c), mine, True)
+        for c, mine in members.items():
+            look(np.flatnonzero((own != c) & (least[:, c] <= reach)), mine, False)
         if not asks:
             return nothing
         ask, answer, gap = np.concatenate(asks), np.concatenate(answers), np.concatenate(gaps)

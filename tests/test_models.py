@@ -253,3 +253,12 @@ def test_leaf_paths_cover_everything():
     paths = leaf_paths(nodes, 1.0)
     assert sum(float(np.prod(p.share)) for p in paths) == pytest.approx(1.0)
     assert all(len(p.features) == 1 for p in paths)
+
+
+def test_knn_join_far_from_the_origin(spark):
+    """Long vectors with small gaps: rounding must not prune true neighbours."""
+    rng = np.random.default_rng(11)
+    x = 1e4 + rng.standard_normal((300, 4)) * np.array([1.0, 0.01, 5.0, 0.1])
+    got = knn_join(points(spark, x), points(spark, x), 3, exclude_self=True, block=50).toPandas()
+    _, dist = brute(x, x, 3, True)
+    assert np.allclose(np.stack([g.sort_values("rank").distance for _, g in got.groupby("query_id")]), dist, atol=1e-9)
