@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +23,45 @@ def top_contributions(contributions: Column, k: int) -> Column:
     )
 
 
+# --- fixed values: texts a reader of the reports expects to the letter ---
+EVIDENCE_LINE = "  - {feature}: {value} ({direction} fraud risk)"
+QUERY_TEXT = "Transaction amount {amount} in {category} category flagged with fraud score {score}. Key signals: {signals}."
+EXCERPT = "[Policy excerpt]\n{text}"
+PROMPT = """Transaction details:
+{details}
+
+Model scores:
+  Fraud probability: {score}
+  Anomaly score:     {anomaly}
+
+Top SHAP feature contributions:
+{evidence}
+
+Relevant policy context:
+{context}
+
+Please explain why this transaction was flagged."""
+# --------------------------------------------------------------------------
+
+
+def fill(template: str, **values: Column) -> Column:
+    """The template with each named place taken by a column."""
+    parts = []
+    for text, name, _, _ in Formatter().parse(template):
+        parts += [F.lit(text)] if text else []
+        parts += [values[name]] if name else []
+    return F.concat(*parts)
+
+
 def evidence_text(contributions: Column, k: int = 5) -> Column:
     """One line per contribution with its sign and direction."""
     lines = F.transform(
         top_contributions(contributions, k),
-        lambda e: F.concat(
-            F.lit("  - "), e["feature"], F.lit(": "), signed(e["value"]), F.lit(" ("),
-            F.when(e["value"] > 0, "increases").otherwise("decreases"), F.lit(" fraud risk)"),
+        lambda e: fill(
+            EVIDENCE_LINE,
+            feature=e["feature"],
+            value=signed(e["value"]),
+            direction=F.when(e["value"] > 0, "increases").otherwise("decreases"),
         ),
     )
     return F.array_join(lines, "\n")
@@ -36,24 +70,19 @@ def evidence_text(contributions: Column, k: int = 5) -> Column:
 def query_text(amount: Column, category: Column, score: Column, contributions: Column) -> Column:
     """The retrieval query of a flagged row; missing fields read "unknown"."""
     names = F.transform(top_contributions(contributions, 3), lambda e: F.replace(e["feature"], F.lit("_"), F.lit(" ")))
-    return F.concat(
-        F.lit("Transaction amount "), F.coalesce(amount.cast("string"), F.lit("unknown")),
-        F.lit(" in "), F.coalesce(category, F.lit("unknown")), F.lit(" category flagged with fraud score "),
-        fixed(score, 2), F.lit(". Key signals: "), F.array_join(names, ", "), F.lit("."),
+    return fill(
+        QUERY_TEXT,
+        amount=F.coalesce(amount.cast("string"), F.lit("unknown")),
+        category=F.coalesce(category, F.lit("unknown")),
+        score=fixed(score, 2),
+        signals=F.array_join(names, ", "),
     )
 
 
 def prompt_text(details: Column, score: Column, anomaly: Column, evidence: Column, excerpts: Column) -> Column:
     """Transaction, scores, evidence and policy excerpts (array of text) in one text."""
-    context = F.array_join(F.transform(excerpts, lambda x: F.concat(F.lit("[Policy excerpt]\n"), x)), "\n\n")
-    return F.concat(
-        F.lit("Transaction details:\n"), details,
-        F.lit("\n\nModel scores:\n  Fraud probability: "), fixed(score, 4),
-        F.lit("\n  Anomaly score:     "), fixed(anomaly, 4),
-        F.lit("\n\nTop SHAP feature contributions:\n"), evidence,
-        F.lit("\n\nRelevant policy context:\n"), context,
-        F.lit("\n\nPlease explain why this transaction was flagged."),
-    )
+    context = F.array_join(F.transform(excerpts, lambda x: fill(EXCERPT, text=x)), "\n\n")
+    return fill(PROMPT, details=details, score=fixed(score, 4), anomaly=fixed(anomaly, 4), evidence=evidence, context=context)
 
 
 def flagged_first(df: DataFrame, threshold: float = 0.5, limit: int = 50, score: str = "fraud_score") -> DataFrame:
