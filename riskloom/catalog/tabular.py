@@ -37,7 +37,7 @@ from riskloom.operators.validation import apply_defaults, from_json_lines, outco
 from riskloom.plans.scoring import responses
 from riskloom.schema import CATEGORY_COLUMNS, FEATURE_COLUMNS, STATS_COLUMNS
 from riskloom.sources import sinks
-from riskloom.sources.transactions import read_partitioned, read_transactions, slot_name, slot_start
+from riskloom.sources.transactions import read_partitioned, read_transactions, slot_start
 
 ALL = """transaction_id, user_id, amount, merchant_category, payment_method, device_type, channel, ts, merchant_id,
   account_age_days, round(credit_utilization, 6) AS credit_utilization, prior_fraud_count, ip_address,
