@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.base import OWN, table
+from riskloom.llm.base import OWN, folds, table
+from riskloom.llm.brown import class_scores
 from riskloom.llm.pivots import near_vectors
 from riskloom.llm.simhash import hex_fingerprint, near_duplicates
 from riskloom.llm.substrings import remove_repeats
@@ -32,9 +33,17 @@ def op9_pivot_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op10_brown_classes(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = folds(F.col("doc_id"), 7) == 2
+    out = class_scores(table(spark, sf, "documents").select("doc_id", "text"), ~held_out)
+    names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return out.select("doc_id", held_out.alias("held_out"), *[F.col(f"{OWN}{c}").alias(c) for c in names])
+
+
 # name: (query, oracle SQL or None)
 QUERIES = {
     "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op8_simhash": (op8_simhash, None),
     "op9_pivot_neighbours": (op9_pivot_neighbours, None),
+    "op10_brown_classes": (op10_brown_classes, None),
 }
