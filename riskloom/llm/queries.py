@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.base import OWN, folds, table
 from riskloom.llm.brown import class_scores
+from riskloom.llm.langid import predict_language
 from riskloom.llm.pivots import near_vectors
 from riskloom.llm.simhash import hex_fingerprint, near_duplicates
 from riskloom.llm.substrings import remove_repeats
+from riskloom.llm.winnow import contamination
 
 
 def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,6 +22,46 @@ def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_winnowing(spark: SparkSession, sf: str) -> DataFrame:
+    out = contamination(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    names = ["n_words", "n_hit", "n_items"]
+    digest = F.sha2(F.concat_ws(",", F.col(f"{OWN}items")), 256)
+    return out.select(
+        "doc_id", *[F.col(f"{OWN}{c}").alias(c) for c in names], digest.alias("items_sha256"),
+        F.col(f"{OWN}contaminated").alias("contaminated"),
+    )
+
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents
+), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark
+), dp AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d
+), bp AS (SELECT item_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM b
+), dn AS (SELECT doc_id, i, list(x) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS nxt FROM dp
+), bn AS (SELECT item_id, i, list(x) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS nxt FROM bp
+), m AS (
+  SELECT doc_id, item_id, dn.i, 13 AS l FROM dn JOIN (SELECT DISTINCT item_id, nxt FROM bn WHERE len(nxt) = 13) USING (nxt)
+  UNION ALL
+  SELECT doc_id, item_id, dn.i, len(b.w) FROM dn JOIN b ON dn.nxt[1] = b.w[1] AND dn.nxt[1:len(b.w)] = b.w WHERE len(b.w) < 13
+), hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS p FROM m) GROUP BY doc_id
+), its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
+def op6_byte_network(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = folds(F.col("doc_id"), 4) == 2
+    out = predict_language(table(spark, sf, "documents").select("doc_id", "text", "lang"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), F.col(f"{OWN}lang_pred").alias("lang_pred"), F.col(f"{OWN}score").alias("score"))
+
+
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     out = near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
     return out.select("doc_id", hex_fingerprint(F.col(f"{OWN}fp")).alias("fingerprint"), F.col(f"{OWN}component").alias("component_id"))
@@ -43,6 +85,8 @@ def op10_brown_classes(spark: SparkSession, sf: str) -> DataFrame:
 # name: (query, oracle SQL or None)
 QUERIES = {
     "op2_suffix_dedup": (op2_suffix_dedup, None),
+    "op3_winnowing": (op3_winnowing, OP3_SQL),
+    "op6_byte_network": (op6_byte_network, None),
     "op8_simhash": (op8_simhash, None),
     "op9_pivot_neighbours": (op9_pivot_neighbours, None),
     "op10_brown_classes": (op10_brown_classes, None),
