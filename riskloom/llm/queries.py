@@ -11,6 +11,7 @@ from riskloom.llm.langid import predict_language
 from riskloom.llm.pivots import near_vectors
 from riskloom.llm.simhash import hex_fingerprint, near_duplicates
 from riskloom.llm.substrings import remove_repeats
+from riskloom.llm.warc import archive_folder, read_archives, write_archives
 from riskloom.llm.winnow import contamination
 
 
@@ -56,6 +57,21 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    folder = archive_folder(pages)
+    return read_archives(write_archives(pages, folder), folder).drop("url", "payload")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages
+), k AS (SELECT page_id, strlen(html) AS n, sha1(html) AS d,
+  CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY sha1(html)) END AS keeper FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM k
+"""
+
+
 def op6_byte_network(spark: SparkSession, sf: str) -> DataFrame:
     held_out = folds(F.col("doc_id"), 4) == 2
     out = predict_language(table(spark, sf, "documents").select("doc_id", "text", "lang"), ~held_out)
@@ -86,6 +102,7 @@ def op10_brown_classes(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op3_winnowing": (op3_winnowing, OP3_SQL),
+    "op4_warc": (op4_warc, OP4_SQL),
     "op6_byte_network": (op6_byte_network, None),
     "op8_simhash": (op8_simhash, None),
     "op9_pivot_neighbours": (op9_pivot_neighbours, None),
