@@ -9,6 +9,7 @@ from riskloom.llm.base import OWN, folds, table
 from riskloom.llm.brown import class_scores
 from riskloom.llm.langid import predict_language
 from riskloom.llm.pivots import near_vectors
+from riskloom.llm.raking import mix
 from riskloom.llm.simhash import hex_fingerprint, near_duplicates
 from riskloom.llm.substrings import remove_repeats
 from riskloom.llm.warc import archive_folder, read_archives, write_archives
@@ -78,6 +79,12 @@ def op6_byte_network(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), F.col(f"{OWN}lang_pred").alias("lang_pred"), F.col(f"{OWN}score").alias("score"))
 
 
+def op7_raking(spark: SparkSession, sf: str) -> DataFrame:
+    out = mix(table(spark, sf, "documents").select("doc_id", "text", "source", "lang"))
+    names = ["topic", "tokens", "rate", "weight", "selected"]
+    return out.select("doc_id", "source", "lang", *[F.col(f"{OWN}{c}").alias(c) for c in names])
+
+
 def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     out = near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
     return out.select("doc_id", hex_fingerprint(F.col(f"{OWN}fp")).alias("fingerprint"), F.col(f"{OWN}component").alias("component_id"))
@@ -104,6 +111,7 @@ QUERIES = {
     "op3_winnowing": (op3_winnowing, OP3_SQL),
     "op4_warc": (op4_warc, OP4_SQL),
     "op6_byte_network": (op6_byte_network, None),
+    "op7_raking": (op7_raking, None),
     "op8_simhash": (op8_simhash, None),
     "op9_pivot_neighbours": (op9_pivot_neighbours, None),
     "op10_brown_classes": (op10_brown_classes, None),
