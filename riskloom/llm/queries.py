@@ -14,6 +14,12 @@ from riskloom.llm.simhash import hex_fingerprint, near_duplicates
 from riskloom.llm.substrings import remove_repeats
 from riskloom.llm.warc import archive_folder, read_archives, write_archives
 from riskloom.llm.winnow import contamination
+from riskloom.llm.wrappers import main_text
+
+
+def op1_wrapper_induction(spark: SparkSession, sf: str) -> DataFrame:
+    out = main_text(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col(f"{OWN}text").alias("text"), F.length(f"{OWN}text").cast("long").alias("n_chars"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,6 +113,7 @@ def op10_brown_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 # name: (query, oracle SQL or None)
 QUERIES = {
+    "op1_wrapper_induction": (op1_wrapper_induction, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op3_winnowing": (op3_winnowing, OP3_SQL),
     "op4_warc": (op4_warc, OP4_SQL),
