@@ -27,6 +27,11 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with one more column, computed once a row: the optimizer would copy its expression into every lambda step."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _grams(found: Column, n: Column, size: int) -> Column:
     """Hash of the ``size`` words from each position."""
     none = F.array().cast("array<bigint>")
@@ -57,13 +62,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     whole of a shorter one. Null and wordless texts and items match nothing; an item with a null id
     hits words but is not counted or named; repeated items count once. Every row stays.
     """
-    item = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), words(F.col(f"`{item_text}`")).alias("iw"))
+    item = settled(benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{item_text}`").alias("t")), "iw", words(F.col("t"))).drop("t")
     item = pin(item.where(F.size("iw") > 0).withColumn("il", F.size("iw")).distinct())
     short = [r["il"] for r in item.where(F.col("il") < WINDOW).select("il").distinct().orderBy("il").collect()]
 
     grams = _grams(F.col("iw"), F.col("il"), GRAM)
-    long_items = item.where(F.col("il") >= WINDOW).withColumn("g", grams)
-    picked = long_items.withColumn("p", _least(F.col("g")))
+    picked = settled(settled(item.where(F.col("il") >= WINDOW), "g", grams), "p", _least(F.col("g")))
     spots = F.filter(F.transform(F.col("g"), lambda h, i: F.struct(i.alias("q"), h.alias("gram"))), lambda x: F.array_contains(F.col("p"), x["gram"]))
     marks = picked.select("item", "il", "iw", F.explode(spots).alias("s")).select(
         F.lit(GRAM).alias("span"), "s.gram", "item", "il", "s.q", _windows(F.col("iw"), F.col("s.q"), PICK - 1, WINDOW - 1).alias("near")
@@ -74,9 +78,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     marks = pin(marks.union(brief))
 
     body = F.coalesce(docs[f"`{text}`"].cast("string"), F.lit(""))
-    given = docs.withColumns({f"{OWN}words": words(body), **text_key(body)}).withColumn(f"{OWN}n_words", F.size(f"{OWN}words"))
+    given = settled(docs.withColumns(text_key(body)), f"{OWN}words", words(body)).withColumn(f"{OWN}n_words", F.size(f"{OWN}words"))
     found, n = F.col(f"{OWN}words"), F.col(f"{OWN}n_words")
-    prints = F.concat(_least(_grams(found, n, GRAM)), *[F.array_distinct(_grams(found, n, size)) for size in short])
+    given = settled(given, f"{OWN}grams", _grams(found, n, GRAM))
+    prints = F.concat(_least(F.col(f"{OWN}grams")), *[F.array_distinct(_grams(found, n, size)) for size in short])
     kept = [c for c in docs.columns if c != text]
     rows = pin(given.select(*[F.col(f"`{c}`") for c in kept], *KEY, f"{OWN}n_words", prints.alias(f"{OWN}prints")))
 
@@ -85,7 +90,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     # One row for each text: copies have the same words.
     hit = docs.select(body.alias("body")).withColumns(text_key(F.col("body"))).join(shared, KEY)
     hit = hit.groupBy(*KEY).agg(F.first("body").alias("body"), F.first("grams").alias("grams"))
-    hit = hit.select(*KEY, words(F.col("body")).alias("w"), "grams").withColumn("n", F.size("w"))
+    hit = settled(hit, "w", words(F.col("body"))).drop("body").withColumn("n", F.size("w"))
     def shared_grams(size: int) -> Column:
         named = F.transform(_grams(F.col("w"), F.col("n"), size), lambda h, i: F.struct(F.lit(size).alias("span"), i.alias("p"), h.alias("gram")))
         return F.filter(named, lambda x: F.array_contains(F.col("grams"), x["gram"]))
