@@ -4,8 +4,8 @@ Every window of ``length`` bytes is filed under the smallest hash of the short g
 so equal windows are filed together and a run of neighbouring windows makes one segment. Hashes
 that only one place has chosen cannot hold a repeat and are dropped. Segments of the others meet
 by hash; a suffix array by two-stage sorting, cut at ``length``, and the common prefixes of its
-neighbours tell which windows occur twice. Hashes chosen very often are filed again by the whole
-window, which bounds every task. Equal segments merge before they are shuffled or sorted and
+neighbours tell which windows occur twice. Hashes chosen very often are filed again by bytes that
+neighbouring windows share, and the most frequent by whole windows, which bounds every task. Equal segments merge before they are shuffled or sorted and
 carry how often they occur; a hash with a single segment has no neighbours to compare.
 """
 
@@ -25,7 +25,10 @@ from riskloom.llm.sorting import common_prefix, suffix_array
 from riskloom.session import pin
 
 GRAM = 24  # bytes of the hashed grams
-CROWDED = 4096  # places of one hash beyond which it is filed again by whole windows
+# Places of one hash beyond which it is filed again by the bytes that so many neighbouring windows share;
+# by single windows, equal segments are all that is left to meet.
+CROWDED = {4_096: 32, 32_768: 1}
+HELD_BYTES = 1 << 25  # distinct segments held by a task before it hands them on
 SORT_SYMBOLS = 1 << 19  # symbols sorted at once
 BLOCK_BYTES = 1 << 22  # bytes hashed at once, unless one text is longer
 
@@ -128,16 +131,40 @@ def _choose(length: int):
     return run
 
 
+def _pieces(block: _Block, at: int, count: int, least: np.uint64, split: int, length: int) -> Iterator[tuple[int, int, bytes]]:
+    """Parts of a run of windows as first window, count, and the bytes that all windows of the part share.
+
+    Parts are told by the distance to the next smallest gram, which a window's own bytes decide.
+    """
+    spots = np.flatnonzero(block.grams[at : at + count + block.width - 1] == least) + at
+    windows = np.arange(at, at + count)
+    anchor = spots[np.searchsorted(spots, windows)]
+    part = (anchor - windows) // split
+    cuts = np.flatnonzero((anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), count]):
+        core = int(anchor[lo] - part[lo] * split)
+        yield at + lo, hi - lo, block.data[core : core + length - split + 1]
+
+
 def _segments(length: int, contents: bool):
     """Segments of repeated hashes: with ``contents`` what they hold, else where they stand."""
 
     def run(batches):
+        seen: dict = {}
+        held = 0
+
+        def flush() -> dict:
+            return {
+                "gram": [k[0] for k in seen], "digest": [k[1] for k in seen],
+                "piece": [v[0] for v in seen.values()], "times": [v[1] for v in seen.values()],
+            }
+
         for batch in batches:
             texts = _bytes(batch, f"{OWN}text")
             hashes, sizes = (np.asarray(batch.column(k)) for k in KEY)
             grams = batch.column("grams")
             wanted = grams.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            crowd = batch.column("crowded").values.to_numpy(zero_copy_only=False)
+            splits = batch.column("splits").values.to_numpy(zero_copy_only=False)
             starts = grams.offsets.to_numpy()
             for first, part in _blocks(texts):
                 block = _Block(part, length)
@@ -149,32 +176,34 @@ def _segments(length: int, contents: bool):
                 least = block.least[at]
                 slot = np.minimum(np.searchsorted(pool, least), len(pool) - 1)
                 known = pool[slot] == least
-                at, count, of, least = at[known], count[known], of[known], least[known].view(np.int64)
-                packed = crowd[low:high][turn][slot[known]]
+                at, count, of, least = at[known], count[known], of[known], least[known]
+                split_of = splits[low:high][turn][slot[known]]
                 begin = block.ends - np.array([len(t) for t in part], np.int64)
-                seen: dict = {}
                 rows = []
-                for a, n, d, h, split in zip(at.tolist(), count.tolist(), of.tolist(), least.tolist(), packed.tolist()):
-                    for lo, m in [(i, 1) for i in range(a, a + n)] if split else [(a, n)]:
+                names = least.view(np.int64).tolist()
+                for i, (a, n, d, h, split) in enumerate(zip(at.tolist(), count.tolist(), of.tolist(), names, split_of.tolist())):
+                    for lo, m, core in _pieces(block, a, n, least[i], split, length) if split else [(a, n, None)]:
                         piece = block.data[lo : lo + m + length - 1]
                         digest = xxhash.xxh3_128_digest(piece)
-                        if split:
-                            h = int.from_bytes(digest[:8], "little", signed=True)
-                        if contents:
-                            seen[h, digest] = (piece, seen.get((h, digest), (piece, 0))[1] + 1)
+                        name = h if core is None else xxhash.xxh3_64_intdigest(core) - (1 << 63)
+                        if not contents:
+                            rows.append((name, digest, d + first, lo - int(begin[d])))
+                        elif (name, digest) in seen:
+                            seen[name, digest][1] += 1
                         else:
-                            rows.append((h, digest, d + first, lo - int(begin[d])))
-                if contents and seen:
-                    yield {
-                        "gram": [k[0] for k in seen], "digest": [k[1] for k in seen],
-                        "piece": [v[0] for v in seen.values()], "times": [v[1] for v in seen.values()],
-                    }
+                            seen[name, digest] = [piece, 1]
+                            held += len(piece)
+                if held >= HELD_BYTES:
+                    yield flush()
+                    seen, held = {}, 0
                 if rows:
                     rows_of = np.array([r[2] for r in rows])
                     yield {
                         "gram": [r[0] for r in rows], "digest": [r[1] for r in rows],
                         KEY[0]: hashes[rows_of], KEY[1]: sizes[rows_of], "at": [r[3] for r in rows],
                     }
+        if seen:
+            yield flush()
 
     return run
 
@@ -257,11 +286,14 @@ def repeated_ranges(keyed: DataFrame, length: int = 200) -> DataFrame:
     long_enough = keyed.where(F.col(KEY[1]) >= length)
     chosen = pin(map_arrow(long_enough.select(*KEY, f"{OWN}text"), _choose(length), f"gram bigint, {key}, times int"))
     often = chosen.groupBy("gram").agg(F.sum("times").alias("places")).where("places > 1")
+    split = F.lit(0)
+    for places, windows in sorted(CROWDED.items()):
+        split = F.when(F.col("places") > places, windows).otherwise(split)
     wanted = (
-        chosen.join(often.select("gram", (F.col("places") > CROWDED).alias("crowded")), "gram")
-        .select(*KEY, "gram", "crowded").groupBy(*KEY)
-        .agg(F.collect_set(F.struct("gram", "crowded")).alias("w"))
-        .select(*KEY, F.col("w.gram").alias("grams"), F.col("w.crowded").alias("crowded"))
+        chosen.join(often.select("gram", split.alias("split")), "gram")
+        .select(*KEY, "gram", "split").groupBy(*KEY)
+        .agg(F.collect_set(F.struct("gram", "split")).alias("w"))
+        .select(*KEY, F.col("w.gram").alias("grams"), F.col("w.split").alias("splits"))
     )
     hit = keyed.join(wanted, KEY)
     pieces = map_arrow(hit, _segments(length, True), "gram bigint, digest binary, piece binary, times int")
