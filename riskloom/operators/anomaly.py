@@ -275,15 +275,17 @@ class AnomalyDetector:
         return scored.join(self.lof.score(rows), "id")
 
     def score(self, df: DataFrame, id_col: str = "transaction_id") -> DataFrame:
-        """The rows with ``anomaly_score`` in [0, 1] and ``is_anomaly``; ids must be unique."""
+        """The rows with ``anomaly_score`` in [0, 1] and ``is_anomaly``; ids may be null or repeat."""
         if self.scaler is None:
             raise RuntimeError("Fit the AnomalyDetector before calling score/predict.")
-        raw = self._raw(self._scaled(df, id_col))
+        # Scores come back by a row key of our own, pinned so that it is given once.
+        keyed = pin(df.withColumn("_row", F.monotonically_increasing_id()))
+        raw = self._raw(self._scaled(keyed, "_row"))
         parts = {n: normalise(F.col(n), *self.score_stats[n]) for n in self.score_stats}
         scores = raw.select(
-            F.col("id").alias(id_col), composite(parts["s_if"], parts["s_lof"], parts["s_ocsvm"]).alias("anomaly_score")
+            F.col("id").alias("_row"), composite(parts["s_if"], parts["s_lof"], parts["s_ocsvm"]).alias("anomaly_score")
         )
-        return df.join(scores, id_col).withColumn("is_anomaly", anomaly_label(F.col("anomaly_score"), self.contamination))
+        return keyed.join(scores, "_row").drop("_row").withColumn("is_anomaly", anomaly_label(F.col("anomaly_score"), self.contamination))
 
     # -- fitted state as tables ---------------------------------------------------------------
 

@@ -96,8 +96,15 @@ def chi_square(reference: DataFrame, current: DataFrame, columns: list[str]) ->
     )
 
 
+GAMMA_STEPS = 500
+
+
 def chi_square_p(tests: DataFrame) -> DataFrame:
-    """Add ``p_value`` = upper tail of the chi-square law, by the series of the incomplete gamma function."""
+    """Add ``p_value`` = upper tail of the chi-square law.
+
+    Below the mean by the series of the incomplete gamma function, above it by its continued
+    fraction, both with ``GAMMA_STEPS`` terms and factors as logs, so any statistic is safe.
+    """
     half, x = F.col("dof") / 2.0, F.col("chi2") / 2.0
     # P(a, x) = x^a e^-x / Gamma(a + 1) * sum_k x^k / ((a+1)...(a+k)); Gamma by its log, built up from 1 or 1/2.
     log_gamma = F.aggregate(
@@ -106,7 +113,7 @@ def chi_square_p(tests: DataFrame) -> DataFrame:
         lambda acc, i: acc + F.when(i - F.when(F.col("dof") % 2 == 0, 0.0).otherwise(0.5) <= half,
                                     F.log(i - F.when(F.col("dof") % 2 == 0, 0.0).otherwise(0.5))).otherwise(0.0),
     )
-    steps = F.sequence(F.lit(1), F.lit(400) + F.ceil(x).cast("int") * 2)
+    steps = F.sequence(F.lit(1), F.lit(GAMMA_STEPS))
     series = F.aggregate(
         steps,
         F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
@@ -114,8 +121,15 @@ def chi_square_p(tests: DataFrame) -> DataFrame:
             (acc["term"] * x / (half + k)).alias("term"), (acc["total"] + acc["term"] * x / (half + k)).alias("total")
         ),
     )["total"]
-    lower = F.exp(half * F.log(x) - x - log_gamma) * series
-    tail = F.when(F.col("chi2") <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - lower)))
+    # Q(a, x) = x^a e^-x / Gamma(a) / (x + 1 - a - 1 (1 - a) / (x + 3 - a - 2 (2 - a) / (x + 5 - a - ...))), from the inside out.
+    down = F.aggregate(
+        F.sequence(F.lit(GAMMA_STEPS), F.lit(1), F.lit(-1)), F.lit(0.0),
+        lambda acc, k: k * (k - half) / (x + (2 * k + 1) - half - acc),
+    )
+    factor = half * F.log(x) - x - log_gamma
+    upper = F.exp(factor + F.log(half)) / (x + 1.0 - half - down)
+    tail = F.when(F.col("chi2") <= 0, 1.0).when(x < half + 1, 1.0 - F.exp(factor) * series).otherwise(upper)
+    tail = F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail))
     return tests.withColumn("p_value", F.when(F.col("dof") < 1, F.lit(None)).otherwise(tail))
 
 

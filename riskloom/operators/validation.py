@@ -12,6 +12,7 @@ from riskloom.schema import FEEDBACK_SCHEMA, REQUEST_DEFAULTS, REQUEST_SCHEMA
 # --- fixed values: messages of the range checks ---
 AMOUNT_MESSAGE = "amount must be greater than 0."
 AGE_MESSAGE = "account_age_days must be >= 0."
+FINITE_MESSAGE = "amount must be a finite number."
 UTILIZATION_MESSAGE = "credit_utilization must be 0–1."
 REQUIRED_MESSAGE = "{} is required."
 
@@ -41,6 +42,7 @@ def request_errors() -> Column:
         F.when(F.col("user_id").isNull(), REQUIRED_MESSAGE.format("user_id")),
         F.when(amount.isNull() | F.isnan(amount), REQUIRED_MESSAGE.format("amount")),
         F.when(amount <= 0, AMOUNT_MESSAGE),
+        F.when(amount == float("inf"), FINITE_MESSAGE),
         F.when(age < 0, AGE_MESSAGE),
         F.when(~use.between(0.0, 1.0), UTILIZATION_MESSAGE),
     ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ class DriftMonitor:
         """The one-row summary. The first run stores the batch as reference and reports no drift."""
         spark = current.sparkSession
         stamp = spark.sql("SELECT date_format(to_utc_timestamp(current_timestamp(), current_timezone()), 'yyyyMMdd_HHmmss')")
-        name = run_name or stamp.first()[0]
+        name = run_name or f"{stamp.first()[0]}_{uuid.uuid4().hex[:8]}"  # two runs may share a second
         reference = load_reference(spark, self.reference_path)
         if reference is None:
             set_reference(current, self.reference_path)

@@ -69,15 +69,17 @@ def responses(scored: DataFrame) -> DataFrame:
 
 
 def explain_flagged(
-    models: RiskModels, scored: DataFrame, transactions: DataFrame, retriever: Retriever | None = None, limit: int | None = 50
+    models: RiskModels, scored: DataFrame, transactions: DataFrame, retriever: Retriever | None = None, limit: int | None = None
 ) -> DataFrame:
     """(transaction_id, contributions, evidence, query, explanation) of flagged rows.
 
-    ``limit`` is the report's top-k; None explains every flagged row.
+    Rows whose ``explain`` is true are explained whatever their score. ``limit`` makes the flagged ones
+    a top-k report; None, the default, explains every one.
     """
-    flagged = scored.filter(F.col("fraud_score") >= 0.5)
+    asked = F.coalesce(F.col("explain"), F.lit(False)) if "explain" in scored.columns else F.lit(False)
+    flagged = scored.filter((F.col("fraud_score") >= 0.5) | asked)
     if limit is not None:
-        flagged = flagged_first(scored, limit=limit)
+        flagged = flagged_first(scored.filter(~asked), limit=limit).unionByName(scored.filter(asked))
     flagged = pin(flagged)
     with_why = models.ensemble.explain(flagged).select("transaction_id", "fraud_score", "anomaly_score", "contributions")
     details = transactions.select("transaction_id", "merchant_category", "amount", F.struct(*transactions.columns).alias("_txn"))
@@ -101,8 +103,14 @@ def explain_flagged(
     return rows.select("transaction_id", "contributions", "evidence", "query", prompt.alias("explanation"))
 
 
-def score_and_explain(models: RiskModels, batch: DataFrame, history: DataFrame | None = None, retriever=None) -> DataFrame:
-    """Responses with the explanation text of the flagged rows, empty elsewhere."""
-    scored = pin(score_batch(models, batch, history))
-    why = explain_flagged(models, scored, batch, retriever)
+def score_and_explain(
+    models: RiskModels, batch: DataFrame, history: DataFrame | None = None, retriever=None, limit: int | None = None
+) -> DataFrame:
+    """Responses with the explanation text of the flagged rows and of those that ask for one, empty elsewhere."""
+    scored = score_batch(models, batch, history)
+    if "explain" in batch.columns and "explain" not in scored.columns:
+        asked = batch.groupBy("transaction_id").agg(F.max("explain").alias("explain"))
+        scored = scored.join(asked, "transaction_id", "left")
+    scored = pin(scored)
+    why = explain_flagged(models, scored, batch, retriever, limit)
     return responses(attach_explanations(scored, why))
