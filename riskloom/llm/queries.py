@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.base import OWN, folds, table
 from riskloom.llm.brown import class_scores
 from riskloom.llm.langid import predict_language
+from riskloom.llm import licences
 from riskloom.llm.pivots import near_vectors
 from riskloom.llm.raking import mix
 from riskloom.llm.simhash import hex_fingerprint, near_duplicates
@@ -79,6 +80,29 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN keeper <> pag
 """
 
 
+def op5_licence_digests(spark: SparkSession, sf: str) -> DataFrame:
+    out = licences.scan_licences(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col(f"{OWN}digest").alias("digest"), F.col(f"{OWN}licence").alias("licence"))
+
+
+def _canonical_sql(text: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    plain = f"translate(coalesce({text}, ''), {quoted(licences.UPPER + licences.SIGNS)}, {quoted(licences.LOWER + licences.PLAIN)})"
+    words = f"trim(regexp_replace(regexp_replace({plain}, {quoted(licences.CLAIM)}, chr(10), 'g'), {quoted(licences.BREAKS)}, ' ', 'g'))"
+    padded = f"(' ' || replace({words}, ' ', '  ') || ' ')"
+    for old, new in licences.SPELLINGS:
+        padded = f"replace({padded}, {quoted(' ' + old.replace(' ', '  ') + ' ')}, {quoted(' ' + new.replace(' ', '  ') + ' ')})"
+    return f"trim(replace({padded}, '  ', ' '))"
+
+
+_KNOWN = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in licences.LICENCES.items())
+OP5_SQL = f"""
+WITH k AS (SELECT sha256({_canonical_sql('t')}) AS digest, min(l) AS licence FROM (VALUES {_KNOWN}) AS v(l, t) GROUP BY 1
+), d AS (SELECT doc_id, sha256({_canonical_sql('text')}) AS digest FROM documents)
+SELECT doc_id, digest, licence FROM d LEFT JOIN k USING (digest)
+"""
+
+
 def op6_byte_network(spark: SparkSession, sf: str) -> DataFrame:
     held_out = folds(F.col("doc_id"), 4) == 2
     out = predict_language(table(spark, sf, "documents").select("doc_id", "text", "lang"), ~held_out)
@@ -117,6 +141,7 @@ QUERIES = {
     "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op3_winnowing": (op3_winnowing, OP3_SQL),
     "op4_warc": (op4_warc, OP4_SQL),
+    "op5_licence_digests": (op5_licence_digests, OP5_SQL),
     "op6_byte_network": (op6_byte_network, None),
     "op7_raking": (op7_raking, None),
     "op8_simhash": (op8_simhash, None),
