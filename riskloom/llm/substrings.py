@@ -27,7 +27,7 @@ from riskloom.session import pin
 GRAM = 24  # bytes of the hashed grams
 # Places of one hash beyond which it is filed again by the bytes that so many neighbouring windows share;
 # by single windows, equal segments are all that is left to meet.
-CROWDED = {4_096: 32, 32_768: 1}
+CROWDED = {4_096: 32, 32_768: 8, 1_048_576: 1}
 HELD_BYTES = 1 << 25  # distinct segments held by a task before it hands them on
 SORT_SYMBOLS = 1 << 19  # symbols sorted at once
 BLOCK_BYTES = 1 << 22  # bytes hashed at once, unless one text is longer
