@@ -49,7 +49,7 @@ def scaling(spark: SparkSession, sf: str) -> DataFrame:
 
 def isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
     rows = pin(scaled(spark, sf))
-    forest = IsolationForest.fit(rows.select("id", "features"), n_trees=50)
+    forest = IsolationForest.fit(rows.select("id", "features"))
     return rows.select(F.col("id").alias("transaction_id"), F.round(forest.scorer()("features"), 6).alias("s_if"))
 
 
@@ -159,14 +159,16 @@ def votes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def member_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """The first fold's two boosted models and forest, before vote and calibration."""
+    """Every fold's two boosted models and forest over all rows, before vote and calibration."""
     run = training_run(spark, sf)
     e = run.models.ensemble
-    out = run.validation.withColumn("vector", array_to_vector(e.scaler.vector()))
-    for i, model in enumerate(e.members[0][:3]):
-        out = model.setProbabilityCol(f"_p{i}").setRawPredictionCol("").setPredictionCol("").transform(out)
-    names = ("boosted", "boosted_balanced", "forest")
-    return out.select("transaction_id", *[F.round(vector_to_array(f"_p{i}")[1], 6).alias(n) for i, n in enumerate(names)])
+    out = run.train.unionByName(run.validation).withColumn("vector", array_to_vector(e.scaler.vector()))
+    names = {}
+    for fold, members in enumerate(e.members):
+        for name, model in zip(("boosted", "boosted_balanced", "forest"), members):
+            names[f"{name}_{fold}"] = f"_p{len(names)}"
+            out = model.setProbabilityCol(names[f"{name}_{fold}"]).setRawPredictionCol("").setPredictionCol("").transform(out)
+    return out.select("transaction_id", *[F.round(vector_to_array(p)[1], 6).alias(n) for n, p in names.items()])
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,7 +181,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def contributions(spark: SparkSession, sf: str) -> DataFrame:
     run = training_run(spark, sf)
-    out = run.models.ensemble.explain(run.validation)
+    out = run.models.ensemble.explain(run.train.unionByName(run.validation))
     return out.select("transaction_id", F.round("base_value", 6).alias("base_value"), F.explode("contributions").alias("feature", "value"))
 
 
@@ -193,12 +195,13 @@ def augmented(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def saved_models(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of the validation rows by models that went to storage and back."""
+    """Scores of all rows by models that went to storage and back."""
     run = training_run(spark, sf)
+    both = run.train.unionByName(run.validation)
     path = run.models.save(spark, scratch(spark, "models"))
     loaded = RiskModels.load(spark, path)
-    again = loaded.ensemble.predict_proba(run.validation.drop("fraud_score", "fraud_label"))
-    before = run.validation.select("transaction_id", F.col("fraud_score").alias("before"))
+    again = loaded.ensemble.predict_proba(both.drop("fraud_score", "fraud_label"))
+    before = both.select("transaction_id", F.col("fraud_score").alias("before"))
     return again.join(before, "transaction_id").select(
         "transaction_id", (F.abs(F.col("fraud_score") - F.col("before")) < 1e-12).cast("int").alias("same")
     )

@@ -152,10 +152,13 @@ def dashboard_export(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.export_rows(rows)
 
 
+CATEGORIES = ["click", "error", "purchase", "signup", "view"]
+
+
 def kpi_log(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "kpis")
     rows = scored(spark, sf).withColumn("fraud_label", score_label(F.col("fraud_score")))
-    for part in ("error", "purchase"):
+    for part in CATEGORIES:
         kpis = batch_kpis(rows.filter(F.col("merchant_category") == part)).select(
             F.lit(part).alias("run_timestamp"), "batch_size", F.lit(0).alias("drift_detected"),
             F.lit(0).cast("bigint").alias("n_drifted_features"), "fraud_rate", "avg_fraud_score", "avg_anomaly_score",
@@ -232,7 +235,7 @@ def numeric_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 def contract_matrix(spark: SparkSession, sf: str) -> DataFrame:
     rows = read_transactions(spark, sf).select("transaction_id", "amount", "account_age_days", "prior_fraud_count")
-    return align_to_contract(rows, FEATURE_COLUMNS[:8], keep=["transaction_id"])
+    return align_to_contract(rows, FEATURE_COLUMNS, keep=["transaction_id"])
 
 
 def tiers(spark: SparkSession, sf: str) -> DataFrame:
@@ -442,7 +445,7 @@ QUERIES = {
         kpi_log,
         with_sql(SCORED, """SELECT merchant_category AS run, count(*) AS batch_size,
   round(avg(CAST(fraud_score >= 0.5 AS INT)), 6) AS fraud_rate, round(avg(fraud_score), 6) AS avg_fraud_score,
-  round(avg(anomaly_score), 6) AS avg_anomaly_score FROM scored WHERE merchant_category IN ('error', 'purchase') GROUP BY 1"""),
+  round(avg(anomaly_score), 6) AS avg_anomaly_score FROM scored GROUP BY 1"""),
     ),
     "a10_fitted_state": (
         fitted_state,
@@ -472,7 +475,7 @@ QUERIES = {
         contract_matrix,
         with_sql(TXN, "SELECT transaction_id, CAST(amount AS DOUBLE) AS amount, CAST(account_age_days AS DOUBLE) AS account_age_days, "
                  "CAST(0 AS DOUBLE) AS credit_utilization, CAST(prior_fraud_count AS DOUBLE) AS prior_fraud_count, "
-                 + ", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in FEATURE_COLUMNS[4:8]) + " FROM txn"),
+                 + ", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in FEATURE_COLUMNS[4:]) + " FROM txn"),
     ),
     "b16_b17_labels_and_tiers": (
         tiers,

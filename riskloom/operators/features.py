@@ -95,7 +95,10 @@ class FeatureBuilder:
             freq = pin(category_frequencies(df, categories))
         else:
             freq = spark.createDataFrame([], "column string, value string, n bigint, freq double")
-        return FeatureModel(rows, freq, categories, list(self.velocity_windows), freq.count() <= BROADCAST_ROWS)
+        # One row per listed column; each column is judged by its own number of values.
+        values = dict(freq.groupBy("column").count().collect())
+        small = [c for c in categories if values.get(c, 0) <= BROADCAST_ROWS]
+        return FeatureModel(rows, freq, categories, list(self.velocity_windows), small)
 
     def transform(self, df: DataFrame) -> DataFrame:
         raise RuntimeError("Call fit() before transform().")
@@ -110,7 +113,7 @@ class FeatureModel:
     frequencies: DataFrame
     categories: list[str]
     velocity_windows: list[int]
-    small_frequencies: bool = True
+    small_frequencies: list[str] = field(default_factory=list)  # columns whose values are few enough to broadcast
     heavy_limit: int = HEAVY_ROWS
 
     def transform(self, df: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -135,7 +138,7 @@ class FeatureModel:
         out = out.withColumns(plain)
         for column in self.categories:
             if column in df.columns:
-                out = frequency_lookup(out, column, self.frequencies, self.small_frequencies)
+                out = frequency_lookup(out, column, self.frequencies, column in self.small_frequencies)
         return out
 
     def _by_user(self, df: DataFrame, past: DataFrame) -> DataFrame:
@@ -173,7 +176,7 @@ class FeatureModel:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/numeric_stats")
         self.frequencies.write.mode("overwrite").parquet(f"{path}/category_freq")
         setting = [(self.categories, self.velocity_windows, self.small_frequencies, self.heavy_limit)]
-        schema = "categories array<string>, windows array<int>, small boolean, heavy_limit bigint"
+        schema = "categories array<string>, windows array<int>, small array<string>, heavy_limit bigint"
         spark.createDataFrame(setting, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
         return path
 
@@ -182,4 +185,4 @@ class FeatureModel:
         stats = {r["column"]: r.asDict() for r in spark.read.parquet(f"{path}/numeric_stats").collect()}
         s = spark.read.parquet(f"{path}/settings").first()
         freq = spark.read.parquet(f"{path}/category_freq")
-        return cls(stats, freq, list(s["categories"]), list(s["windows"]), s["small"], s["heavy_limit"])
+        return cls(stats, freq, list(s["categories"]), list(s["windows"]), list(s["small"]), s["heavy_limit"])

@@ -44,13 +44,24 @@ def _nearest(q: np.ndarray, r: np.ndarray, r_ids: np.ndarray, take: int, step: i
     take = min(take, len(r))
     slack = min(len(r), take + 16)
     r2 = (r * r).sum(1)
+    r2_max = float(r2.max(initial=0.0))
+
+    def best(q_row: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        exact = np.sqrt(((q_row[:, None, :] - r[of]) ** 2).sum(2))
+        order = np.lexsort((r_ids[of], exact), axis=1)[:, :take]
+        return np.take_along_axis(of, order, 1), np.take_along_axis(exact, order, 1)
+
     for lo in range(0, len(q), step):
         part = q[lo : lo + step]
         rough = r2[None, :] - 2.0 * (part @ r.T)
         near = np.argpartition(rough, slack - 1, axis=1)[:, :slack] if slack < len(r) else np.tile(np.arange(len(r)), (len(part), 1))
-        exact = np.sqrt(((part[:, None, :] - r[near]) ** 2).sum(2))
-        order = np.lexsort((r_ids[near], exact), axis=1)[:, :take]
-        yield lo, np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
+        found, exact = best(part, near)
+        if slack < len(r):
+            # Rows with more candidates within rounding of the last place than the slack holds look at all of them.
+            last = np.partition(rough, take - 1, axis=1)[:, take - 1] + 1e-10 * (r2_max + (part * part).sum(1))
+            for i in np.flatnonzero((rough <= last[:, None]).sum(1) > slack):
+                found[i : i + 1], exact[i : i + 1] = best(part[i : i + 1], np.flatnonzero(rough[i] <= last[i])[None, :])
+        yield lo, found, exact
 
 
 def knn_join(
@@ -64,10 +75,7 @@ def knn_join(
     max_pivots: int = MAX_PIVOTS,
     seed: int = 0,
 ) -> DataFrame:
-    """(query_id, rank, neighbor_id, distance): the k nearest reference rows.
-
-    Ties go by id, except among more than a dozen rows at one distance, where any of them may stand.
-    """
+    """(query_id, rank, neighbor_id, distance): the k nearest reference rows, ties by id."""
     spark = refs.sparkSession
     refs = refs.select(F.col(id_col).alias("rid"), F.col(vec_col).cast("array<double>").alias("rvec"))
     queries = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).cast("array<double>").alias("qvec"))

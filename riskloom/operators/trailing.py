@@ -21,8 +21,9 @@ from riskloom.functions.ordering import HEAVY_ROWS, heavy_keys
 from riskloom.functions.scalars import MICROS_PER_DAY, wall_micros
 
 CELL_MICROS = 60 * 1_000_000
-# Money is summed as whole ten-thousandths, so that entering and leaving cancel exactly.
-MONEY_UNITS = 10_000
+# Money is summed in decimals, so that entering and leaving cancel exactly; an amount that no such
+# decimal holds (not finite, or 1e32 and more) adds nothing.
+MONEY = "decimal(38,6)"
 
 
 @dataclass(frozen=True)
@@ -70,7 +71,7 @@ def trailing(
 
     def per_row(kind: str, value: Column) -> Column:
         if kind == "sum":
-            return F.coalesce(F.round(value * MONEY_UNITS).cast("bigint"), F.lit(0).cast("bigint"))
+            return F.coalesce(value.try_cast(MONEY), F.lit(0).cast(MONEY))
         return F.coalesce(value.cast("int"), F.lit(0)).cast("bigint")
 
     rows = df.filter(F.col(user).isNotNull() & F.col(ts).isNotNull()).select(
@@ -92,7 +93,7 @@ def _finish(m: Trailing, total: Column, own: Column) -> Column:
         return (found | (own > 0)) if m.closed == "both" else found
     total = F.coalesce(total, F.lit(0))
     total = total + own if m.closed == "both" else total
-    return total / MONEY_UNITS if m.kind == "sum" else total
+    return total.cast("double") if m.kind == "sum" else total
 
 
 def _whole_users(instants: DataFrame, measures: list[Trailing], source: dict[str, str], user: str) -> DataFrame:

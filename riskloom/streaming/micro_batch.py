@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 CADENCE = "15 minutes"
@@ -18,6 +19,36 @@ def write_once(df: DataFrame, path: str, batch_id: int) -> None:
     ).parquet(path)
 
 
+def against_history(
+    score: Callable[[DataFrame, DataFrame], DataFrame], path: str, store: str, history: DataFrame | None = None
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: ``score(batch, past)`` goes to ``path``, the rows of the batch to ``store``.
+
+    ``past`` holds the batches of smaller numbers, and ``history``, rows of the same columns from before
+    the stream. A batch replaces its own part of the store first and is read back from there, so its
+    source is read once, and a retried batch is stored once and never sees itself.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        write_once(batch, store, batch_id)
+        schema = T.StructType([*batch.schema.fields, T.StructField("batch_id", T.LongType())])
+        stored = batch.sparkSession.read.schema(schema).parquet(store)
+        past = stored.filter(F.col("batch_id") < batch_id).drop("batch_id")
+        if history is not None:
+            past = past.unionByName(history)
+        write_once(score(stored.filter(F.col("batch_id") == batch_id).drop("batch_id"), past), path, batch_id)
+
+    return handle
+
+
+def run_batches(
+    source: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False, cadence: str = CADENCE
+) -> StreamingQuery:
+    """Hand every micro-batch of ``source`` to ``handle``."""
+    writer = source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=cadence)).start()
+
+
 def score_stream(
     source: DataFrame,
     score: Callable[[DataFrame], DataFrame],
@@ -31,5 +62,4 @@ def score_stream(
     def handle(batch: DataFrame, batch_id: int) -> None:
         write_once(score(batch), path, batch_id)
 
-    writer = source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=cadence)).start()
+    return run_batches(source, handle, checkpoint, available_now, cadence)

@@ -99,6 +99,6 @@ def test_state_round_trip(spark, sample, tmp_path):
 
 def test_large_frequency_table_is_not_broadcast(sample):
     model = FeatureBuilder().fit(sample)
-    model.small_frequencies = False
+    model.small_frequencies = []
     a, b = model.transform(sample), FeatureBuilder().fit_transform(sample)
     assert a.exceptAll(b.select(*a.columns)).count() == 0

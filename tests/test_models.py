@@ -262,3 +262,11 @@ def test_knn_join_far_from_the_origin(spark):
     got = knn_join(points(spark, x), points(spark, x), 3, exclude_self=True, block=50).toPandas()
     _, dist = brute(x, x, 3, True)
     assert np.allclose(np.stack([g.sort_values("rank").distance for _, g in got.groupby("query_id")]), dist, atol=1e-9)
+
+
+def test_neighbours_at_one_distance_go_by_id(spark):
+    """200 copies of one row in small blocks: the smallest ids win, whichever block holds them."""
+    data = [(i, [1.0, 2.0]) for i in range(200)] + [(200 + i, [float(i), 40.0]) for i in range(60)]
+    rows = spark.createDataFrame(data, "id bigint, features array<double>")
+    found = knn_join(rows.filter("id < 20"), rows, 5, block=50).collect()
+    assert {(r["query_id"], r["rank"], r["neighbor_id"]) for r in found} == {(q, k + 1, k) for q in range(20) for k in range(5)}

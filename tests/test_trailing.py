@@ -92,3 +92,14 @@ def test_ordered_totals(spark, descending, partitions):
     plain = ordered_totals(df, ["k"], ["v"], {"upto": "n"}, descending, partitions)
     both = {(r["k"], r["v"]): r["upto"] for r in plain.collect()}
     assert both == {(r["k"], r["v"]): r["upto"] for r in out}
+
+
+@pytest.mark.parametrize("heavy_limit", [10_000, 2])
+def test_huge_and_infinite_amounts(spark, heavy_limit):
+    """Sums stay exact beside 1e15; what no decimal holds adds nothing and stops no job."""
+    start = dt.datetime(2024, 5, 1)
+    amounts = [1e15, 0.000001, float("inf"), float("nan"), 2.5, -1e15]
+    data = [(i, 1, start + dt.timedelta(minutes=i), a, False) for i, a in enumerate(amounts)]
+    out = with_trailing(frame(spark, data), [Trailing("s", "sum", 24 * HOUR, F.col("amount"), "both")], heavy_limit=heavy_limit)
+    got = [r["s"] for r in out.orderBy("id").collect()]
+    assert got[1:] == [float("1000000000000000.000001")] * 3 + [float("1000000000000002.500001"), 2.500001]
