@@ -1,5 +1,7 @@
 """Licence texts are known by their canonical form alone."""
 
+from pyspark.sql import functions as F
+
 from riskloom.llm.base import OWN
 from riskloom.llm.licences import LICENCES, scan_licences
 
@@ -13,3 +15,15 @@ def test_variants_of_a_licence(spark):
     want = {0: "MIT", 1: "MIT", 2: None, 3: None, 4: None, 5: None, 6: "MIT (titled)", None: "MIT"}
     assert got == {k: (v, "own") for k, v in want.items()}
     assert scan_licences(df.limit(0)).count() == 0
+
+
+def test_rows_of_any_kind(spark):
+    """Nulls, empty and repeated texts, columns named as the operator's own, ties of names, empty tables."""
+    rows = [(1, None, "a"), (1, None, "a"), (2, "", "b"), (None, LICENCES["MIT"].upper(), "c"), (3, "word " * 50_000, "d")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, licence string")
+    out = scan_licences(docs)
+    assert sorted((r["licence"], r[f"{OWN}licence"]) for r in out.collect() if r["licence"] == "c") == [("c", "MIT")]
+    assert out.count() == 5 and out.where(F.col(f"{OWN}licence").isNotNull()).count() == 1
+    known = spark.createDataFrame([("b", "word " * 50_000), ("a", "Word, " * 50_000), (None, "x"), ("none", None), ("bare", " ")], "licence string, text string")
+    assert {(r["licence"], r[f"{OWN}licence"]) for r in scan_licences(docs, known).collect()} == {("a", None), ("b", None), ("c", None), ("d", "a")}
+    assert scan_licences(docs.limit(0)).count() == 0 and scan_licences(docs, known.limit(0)).where(F.col(f"{OWN}licence").isNotNull()).count() == 0

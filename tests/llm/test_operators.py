@@ -262,3 +262,15 @@ def test_empty_tables(spark, docs):
     ):
         assert out.count() == 0
     assert winnow.contamination(docs, items).where(f"{OWN}n_hit > 0").count() == 0
+
+
+def test_recall_of_vectors(spark):
+    """Links found among clusters of all sizes against brute force: nine of ten at least, and none below the threshold."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(120, 32))
+    rows = np.concatenate([c + rng.normal(size=(1 + k % 9, 32)) * 0.15 for k, c in enumerate(centres)])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    got = pivots.near_vectors(spark.createDataFrame(list(enumerate(rows.tolist())), "vec_id bigint, embedding array<double>"))
+    found = np.array([r[f"{OWN}n_links"] for r in got.orderBy("vec_id").collect()])
+    assert (found <= want).all() and found.sum() >= 0.9 * want.sum() > 0
