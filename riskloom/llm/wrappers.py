@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.base import OWN, map_arrow
+from riskloom.session import pin
 
 COUNTERS = 16  # most frequent texts kept for each slot
 LEAST_PAGES = 3  # pages of a host before anything counts as constant
@@ -272,17 +274,63 @@ def content(page: str, template: set[int]) -> str:
     return "\n".join(t for _, t, *_ in blocks if text_hash(t) not in template)
 
 
+def _slots(node: Node, slot: int = 0) -> Iterator[tuple[int, set[int]]]:
+    """Each slot of a page that holds text, named by its path of labels, with the hashes of its texts."""
+    if node.off:
+        return
+    slot = text_hash(f"{slot}/{node.label}")
+    if node.texts:
+        yield slot, {text_hash(t) for t in node.texts}
+    for child in node.children:
+        yield from _slots(child, slot)
+
+
+def _common_slots(wrapper: list) -> list[int]:
+    """Slots on ``CONSTANT`` of the pages of a merged wrapper; matched nodes have one label, so a path names a slot."""
+    pages: dict[int, int] = {}
+    stack = [(wrapper, 0)]
+    while stack:
+        (label, n, _, children), above = stack.pop()
+        slot = text_hash(f"{above}/{label}")
+        pages[slot] = pages.get(slot, 0) + n
+        stack += [(c, slot) for c in children]
+    return [k for k, n in pages.items() if n >= CONSTANT * wrapper[1]]
+
+
+TEXT, WHOLE = 0, 1  # kinds of counted items: one text of a slot, all texts of a slot together
+HELD = 200_000  # counts held before a task hands them on
+
+
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Wrappers of hosts, and on how many pages each text and each whole content fills each slot."""
     by_host: dict[str, list] = {}
+    counts: Counter = Counter()
+
+    def flush() -> dict:
+        keys, none = [*counts], [None] * len(by_host)
+        host, slot, kind, item = ([k[i] for k in keys] for i in range(4))
+        return {
+            "host": [*by_host, *host], "wrapper": [*[json.dumps(w) for w in by_host.values()], *[None] * len(keys)],
+            "slot": [*none, *slot], "kind": [*none, *kind], "item": [*none, *item], "n": [*none, *counts.values()],
+        }
+
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            new = _wrap(parse(page)[0])
+            root = parse(page)[0]
+            together: dict[int, set[int]] = {}
+            for slot, texts in _slots(root):
+                together.setdefault(slot, set()).update(texts)
+            for slot, texts in together.items():
+                counts.update((host, slot, TEXT, t) for t in texts)
+                counts[host, slot, WHOLE, text_hash(",".join(map(str, sorted(texts))))] += 1
+            new = _wrap(root)
             by_host[host] = merge(by_host[host], new) if host in by_host else new
-        if len(by_host) > 2_000:
-            yield {"host": [*by_host], "wrapper": [json.dumps(w) for w in by_host.values()]}
-            by_host = {}
+            if len(by_host) > 2_000 or len(counts) > HELD:
+                yield flush()
+                by_host = {}
+                counts.clear()
     if by_host:
-        yield {"host": [*by_host], "wrapper": [json.dumps(w) for w in by_host.values()]}
+        yield flush()
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -308,19 +356,37 @@ def induce_templates(pages: DataFrame) -> DataFrame:
     """``host`` and ``template``, hashes of its template texts, from ``host`` and ``html`` of distinct pages.
 
     Wrappers are built where the pages lie, merged in ``SALT`` parts of each host and then by host,
-    so a host with very many pages neither meets in one task nor sends its pages anywhere.
+    so a host with very many pages neither meets in one task nor sends its pages anywhere. The pages of
+    each text in each slot are counted exactly, by sums that start where the pages lie. Template is what
+    fills a slot on ``CONSTANT`` of the pages, unless no slot of most pages varies: then pages are copies.
     """
-    wrappers = map_arrow(pages.where(F.col("html").isNotNull()).select("host", "html"), _learn, "host string, wrapper string")
+    learned = pin(map_arrow(
+        pages.where(F.col("html").isNotNull()).select("host", "html"), _learn, "host string, wrapper string, slot bigint, kind int, item bigint, n bigint"
+    ))
+    wrappers = learned.where("wrapper is not null").select("host", "wrapper")
     wrappers = wrappers.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(SALT)))
     wrappers = map_arrow(wrappers.repartition("host", "part").sortWithinPartitions("host").select("host", "wrapper"), _join, "host string, wrapper string")
     wrappers = map_arrow(wrappers.repartition("host").sortWithinPartitions("host"), _join, "host string, wrapper string")
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            found = [sorted(template_texts(json.loads(w))) for w in batch.column("wrapper").to_pylist()]
-            yield {"host": batch.column("host"), "template": found}
-
-    return map_arrow(wrappers, texts, "host string, template array<bigint>")
+            found = [json.loads(w) for w in batch.column("wrapper").to_pylist()]
+            yield {"host": batch.column("host"), "pages": [w[1] for w in found], "slots": [_common_slots(w) for w in found]}
+
+    slots = map_arrow(wrappers, common, "host string, pages bigint, slots array<bigint>").where(F.col("pages") >= LEAST_PAGES)
+    slots = pin(slots.select("host", "pages", F.explode("slots").alias("slot")))
+    # Summed by item first: a host with very many pages is spread by its texts.
+    counts = learned.where("wrapper is null").groupBy("host", "slot", "kind", "item").agg(F.sum("n").alias("n"))
+    counts = counts.join(slots, ["host", "slot"])
+    # Narrow again: one row a slot, the most frequent whole content and the texts on most of the pages.
+    often = (F.col("kind") == TEXT) & (F.col("n") >= CONSTANT * F.col("pages"))
+    whole = F.when(F.col("kind") == WHOLE, F.col("n"))
+    by_slot = counts.groupBy("host", "slot", "pages").agg(
+        F.sum(whole).alias("filled"), F.max(whole).alias("top"), F.collect_set(F.when(often, F.col("item"))).alias("texts")
+    )
+    varied = (F.col("filled") >= CONSTANT * F.col("pages")) & ((F.col("top") < 0.3 * F.col("pages")) | (F.col("top") == 1))
+    by_host = by_slot.groupBy("host").agg(F.max(varied).alias("varied"), F.flatten(F.collect_list("texts")).alias("texts"))
+    return by_host.where("varied").select("host", F.array_sort(F.array_distinct("texts")).alias("template"))
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
