@@ -103,7 +103,8 @@ def chi_square_p(tests: DataFrame) -> DataFrame:
     """Add ``p_value`` = upper tail of the chi-square law.
 
     Below the mean by the series of the incomplete gamma function, above it by its continued
-    fraction, both with ``GAMMA_STEPS`` terms and factors as logs, so any statistic is safe.
+    fraction, both with ``GAMMA_STEPS`` terms and 12 more for each unit of the root of the degrees of
+    freedom, and factors as logs, so any statistic is safe.
     """
     half, x = F.col("dof") / 2.0, F.col("chi2") / 2.0
     # P(a, x) = x^a e^-x / Gamma(a + 1) * sum_k x^k / ((a+1)...(a+k)); Gamma by its log, built up from 1 or 1/2.
@@ -113,7 +114,7 @@ def chi_square_p(tests: DataFrame) -> DataFrame:
         lambda acc, i: acc + F.when(i - F.when(F.col("dof") % 2 == 0, 0.0).otherwise(0.5) <= half,
                                     F.log(i - F.when(F.col("dof") % 2 == 0, 0.0).otherwise(0.5))).otherwise(0.0),
     )
-    steps = F.sequence(F.lit(1), F.lit(GAMMA_STEPS))
+    steps = F.sequence(F.lit(1), (F.lit(GAMMA_STEPS) + F.ceil(12 * F.sqrt(F.col("dof").cast("double")))).cast("int"))
     series = F.aggregate(
         steps,
         F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),

@@ -24,3 +24,10 @@ def test_one_degree(spark):
     got = chi_square_p(spark.createDataFrame([(c, 1) for c in (0.01, 1.0, 2.9, 3.1, 30.0, 900.0)], "chi2 double, dof bigint")).collect()
     for r in got:
         assert r["p_value"] == pytest.approx(math.erfc(math.sqrt(r["chi2"] / 2)), rel=1e-9)
+
+
+def test_very_many_degrees(spark):
+    cases = [(d + z * math.sqrt(2 * d), d) for d in (100_000, 1_000_000) for z in (-3.0, -0.5, -0.01, 0.01, 0.5, 3.0)]
+    got = chi_square_p(spark.createDataFrame(cases, "chi2 double, dof bigint")).collect()
+    for r in got:
+        assert r["p_value"] == pytest.approx(even_tail(r["chi2"], r["dof"]), rel=1e-5)
