@@ -1,7 +1,7 @@
 """Registered queries: scaling, detectors, sampling, ensemble and explanations.
 
-Forests and boosted models here use few rounds, so that a run takes seconds; the defaults of
-the library are the full sizes. One training run per session and folder serves all of them.
+Forests and boosted models are trained at the full sizes of the library's defaults. One training
+run per session and folder serves all of them.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from riskloom.catalog.base import TXN, scratch, with_sql
 from riskloom.operators.anomaly import IsolationForest, LocalOutlierFactor, OneClassSvm, anomaly_label, composite
-from riskloom.operators.ensemble import FraudEnsemble, soft_vote
+from riskloom.operators.ensemble import soft_vote
 from riskloom.operators.features import FeatureBuilder
 from riskloom.operators.sampling import smote, stratified_split, with_folds
 from riskloom.operators.scaling import Scaler, normalise, score_range
@@ -29,9 +29,7 @@ _RUNS: dict[tuple[str, str], TrainingRun] = {}
 def training_run(spark: SparkSession, sf: str) -> TrainingRun:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _RUNS:
-        small = {"rounds": 4, "depth": 4}
-        ensemble = FraudEnsemble(small, dict(small), {"trees": 8, "depth": 6})
-        _RUNS[key] = TrainingPlan(n_estimators=50, ensemble=ensemble).run(read_transactions(spark, sf))
+        _RUNS[key] = TrainingPlan().run(read_transactions(spark, sf))
     return _RUNS[key]
 
 
