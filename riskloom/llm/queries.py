@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.base import OWN, folds, table
 from riskloom.llm.brown import class_scores
+from riskloom.llm.collocations import collocations
 from riskloom.llm.langid import predict_language
 from riskloom.llm import licences
 from riskloom.llm.pivots import near_vectors
 from riskloom.llm.raking import mix
 from riskloom.llm.simhash import hex_fingerprint, near_duplicates
+from riskloom.llm.squares import FIELDS, periodic_runs
 from riskloom.llm.substrings import remove_repeats
+from riskloom.llm.tokens import token_counts
 from riskloom.llm.warc import archive_folder, read_archives, write_archives
 from riskloom.llm.winnow import contamination
 from riskloom.llm.wrappers import main_text
@@ -135,6 +138,52 @@ def op10_brown_classes(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), *[F.col(f"{OWN}{c}").alias(c) for c in names])
 
 
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    out = periodic_runs(table(spark, sf, "documents").select("doc_id", "text"), plant=True)
+    return out.select("doc_id", *[F.col(f"{OWN}{c}").alias(c) for c in FIELDS])
+
+
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations(table(spark, sf, "documents").select("lang", "text"))
+
+
+OP12_SQL = r"""
+WITH w AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^ 	]+') AS x FROM (
+    SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+    FROM documents)
+), t AS (SELECT lang, sum(len(x)) AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, m, array_to_string(x[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, x, m, unnest(range(1, len(x) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS o(m))
+), f AS (SELECT lang, m, phrase, count(*) AS a, string_split(phrase, ' ') AS y FROM g GROUP BY lang, m, phrase HAVING count(*) >= 30
+), c AS (SELECT * FROM f WHERE m >= 2
+), cut AS (
+  SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, CAST(2000000 AS HUGEINT) * c.a // (CAST(l.a AS HUGEINT) + r.a) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.y[1:k], ' ') AND l.m = k
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.y[k + 1:c.m], ' ') AND r.m = c.m - k
+), least AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(y[i:i + q - 1], ' ') AS phrase, q, a
+  FROM (SELECT lang, y, a, q, unnest(range(1, m - q + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS q FROM c))
+), most AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY lang, phrase
+), ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM least s LEFT JOIN most USING (lang, phrase) WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
+def op13_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    out = token_counts(table(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    names = {"bytes": "n_bytes", "tokens": "n_tokens", "over_limit": "over_limit"}
+    return out.select("doc_id", *[F.col(f"{OWN}{a}").alias(b) for a, b in names.items()])
+
+
 # name: (query, oracle SQL or None)
 QUERIES = {
     "op1_wrapper_induction": (op1_wrapper_induction, None),
@@ -147,4 +196,7 @@ QUERIES = {
     "op8_simhash": (op8_simhash, None),
     "op9_pivot_neighbours": (op9_pivot_neighbours, None),
     "op10_brown_classes": (op10_brown_classes, None),
+    "op11_periodic_runs": (op11_periodic_runs, None),
+    "op12_collocations": (op12_collocations, OP12_SQL),
+    "op13_token_counts": (op13_token_counts, None),
 }
