@@ -6,13 +6,12 @@ run per session and folder serves all of them.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.catalog.base import TXN, scratch, with_sql
 from riskloom.operators.anomaly import IsolationForest, LocalOutlierFactor, OneClassSvm, anomaly_label, composite
-from riskloom.operators.ensemble import soft_vote
+from riskloom.operators.ensemble import MEMBERS, soft_vote
 from riskloom.operators.features import FeatureBuilder
 from riskloom.operators.sampling import smote, stratified_split, with_folds
 from riskloom.operators.scaling import Scaler, normalise, score_range
@@ -160,13 +159,9 @@ def member_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every fold's two boosted models and forest over all rows, before vote and calibration."""
     run = training_run(spark, sf)
     e = run.models.ensemble
-    out = run.train.unionByName(run.validation).withColumn("vector", array_to_vector(e.scaler.vector()))
-    names = {}
-    for fold, members in enumerate(e.members):
-        for name, model in zip(("boosted", "boosted_balanced", "forest"), members):
-            names[f"{name}_{fold}"] = f"_p{len(names)}"
-            out = model.setProbabilityCol(names[f"{name}_{fold}"]).setRawPredictionCol("").setPredictionCol("").transform(out)
-    return out.select("transaction_id", *[F.round(vector_to_array(p)[1], 6).alias(n) for n, p in names.items()])
+    out = e.member_scores(run.train.unionByName(run.validation))
+    names = [f"{m}_{f}" for f in range(len(e.members)) for m in MEMBERS]
+    return out.select("transaction_id", *[F.round(n, 6).alias(n) for n in names])
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Three unsupervised detectors and their composite score.
 
 * isolation forest: hash-sampled rows per tree, one task per tree, node arrays shipped to the scorer;
-* local outlier factor: exact neighbours by ``knn_join``, densities by joins;
+* local outlier factor: exact neighbours by a fitted ``NeighborIndex``, densities by joins;
 * one-class support vector machine: random Fourier features and conditional-gradient steps,
   each step two aggregates (an approximation of the kernel machine, not an exact solver).
 """
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.neighbors import _matrix, knn_join, matrix_of
+from riskloom.operators.neighbors import NeighborIndex, _matrix, matrix_of
 from riskloom.operators.scaling import Scaler, normalise, score_range
 from riskloom.session import pin
 
@@ -140,7 +140,7 @@ class IsolationForest:
 
 @dataclass
 class LocalOutlierFactor:
-    refs: DataFrame  # id, features
+    index: NeighborIndex
     density: DataFrame  # id, kdist, lrd
     k: int
 
@@ -148,14 +148,15 @@ class LocalOutlierFactor:
     def fit(cls, df: DataFrame, k: int = NEIGHBORS, rows: int | None = None) -> "LocalOutlierFactor":
         rows = rows or df.count()
         k = max(1, min(k, rows - 1))
-        near = pin(knn_join(df, df, k, exclude_self=True))
+        index = NeighborIndex.fit(df, k)
+        near = pin(index.search(df, k, exclude_self=True))
         kdist = near.groupBy(F.col("query_id").alias("id")).agg(F.max("distance").alias("kdist"))
         density = pin(_reach_density(near, kdist).join(kdist, "id").select("id", "kdist", "lrd"))
-        return cls(df.select("id", "features"), density, k)
+        return cls(index, density, k)
 
     def score(self, df: DataFrame) -> DataFrame:
         """(id, s_lof): mean neighbour density over own density. Fitted rows meet themselves, as new rows would."""
-        near = pin(knn_join(df, self.refs, self.k))
+        near = pin(self.index.search(df, self.k))
         own = _reach_density(near, self.density).withColumnRenamed("lrd", "_own")
         around = near.join(self.density.withColumnRenamed("id", "neighbor_id"), "neighbor_id").groupBy(
             F.col("query_id").alias("id")
@@ -277,7 +278,7 @@ class AnomalyDetector:
     def score(self, df: DataFrame, id_col: str = "transaction_id") -> DataFrame:
         """The rows with ``anomaly_score`` in [0, 1] and ``is_anomaly``; ids may be null or repeat."""
         if self.scaler is None:
-            raise RuntimeError("Fit the AnomalyDetector before calling score/predict.")
+            raise RuntimeError("The detector has no fitted state yet: call fit first.")
         # Scores come back by a row key of our own, pinned so that it is given once.
         keyed = pin(df.withColumn("_row", F.monotonically_increasing_id()))
         raw = self._raw(self._scaled(keyed, "_row"))
@@ -304,7 +305,7 @@ class AnomalyDetector:
         )
         spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
         self.forest.nodes.write.mode("overwrite").parquet(f"{path}/forest")
-        self.lof.refs.write.mode("overwrite").parquet(f"{path}/lof_refs")
+        self.lof.index.save(f"{path}/lof_index")
         self.lof.density.write.mode("overwrite").parquet(f"{path}/lof_density")
         return path
 
@@ -316,7 +317,6 @@ class AnomalyDetector:
         projection = np.array(r["projection"]).reshape(len(r["columns"]), -1)
         out.svm = OneClassSvm(projection, np.array(r["phase"]), np.array(r["weights"]), r["offset"])
         out.forest = IsolationForest(spark.read.parquet(f"{path}/forest"), r["sample"], r["n_trees"])
-        refs, density = spark.read.parquet(f"{path}/lof_refs"), spark.read.parquet(f"{path}/lof_density")
-        out.lof = LocalOutlierFactor(refs, density, r["k"])
+        out.lof = LocalOutlierFactor(NeighborIndex.load(spark, f"{path}/lof_index"), spark.read.parquet(f"{path}/lof_density"), r["k"])
         out.score_stats = {k: tuple(v) for k, v in r["stats"].items()}
         return out

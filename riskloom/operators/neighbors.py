@@ -1,25 +1,31 @@
-"""Exact k-nearest-neighbour join by pivots, and exact inner-product top-k.
+"""Exact k-nearest-neighbour search by a fitted tree of bounding boxes, and exact inner-product top-k.
 
-Reference rows go to the cell of their nearest pivot. Counts of rows by (cell, distance ring)
-give every query a distance that surely holds k neighbours; by the triangle inequality only
-cells that can reach inside it are searched. Small cells are packed into blocks, and a cell
-holding a third of all rows is cut into many; queries of a block are cut likewise, so every
-task is of bounded size. Nothing is left out.
+Reference rows are dealt to the leaves of a tree whose number of leaves grows with the table; each leaf knows the box
+around its rows. The tree and the dealt rows are fitted state: a search reads them as they are. A query looks into
+its own leaf first; what it finds there gives a radius, and only leaves whose boxes the radius reaches are read
+after it. Rows of one vector count as often as a query can need them, equal queries are asked once, and leaves and
+their queries are cut into slices, so every task is of bounded size. Nothing is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 20_000
-MAX_PIVOTS = 1_024
+from riskloom.session import pin
+
+LEAF_ROWS = 2_000  # of a leaf, as long as there are fewer than MAX_LEAVES
+MAX_LEAVES = 1 << 14  # leaves beyond which they hold more rows and are cut into slices; bounds what is broadcast
+SAMPLE_EACH = 8  # sampled rows a leaf from which the tree is cut
+SLICE = 20_000  # rows of a leaf in one task
+SALTS = 64
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -64,190 +70,233 @@ def _nearest(q: np.ndarray, r: np.ndarray, r_ids: np.ndarray, take: int, step: i
         yield lo, found, exact
 
 
+def _leaves(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The leaf of each row: down the tree's planes."""
+    axis, plane, left, right, leaf = tree
+    node = np.zeros(len(x), np.int64)
+    every = np.arange(len(x))
+    while (axis[node] >= 0).any():
+        f = axis[node]
+        goes = x[every, np.maximum(f, 0)] <= plane[node]
+        node = np.where(f < 0, node, np.where(goes, left[node], right[node]))
+    return leaf[node]
+
+
+def _gaps(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Distance of each row to each box."""
+    out = np.empty((len(x), len(low)))
+    step = max(1, (1 << 22) // max(1, low.size))
+    for at in range(0, len(x), step):
+        part = x[at : at + step, None, :]
+        out[at : at + step] = np.sqrt((np.maximum(np.maximum(low - part, part - high), 0.0) ** 2).sum(2))
+    return out
+
+
+def _cut_tree(sample: np.ndarray, leaves: int) -> tuple[np.ndarray, ...]:
+    """Planes at the median of the widest side, the most crowded part first."""
+    axis, plane, left, right = [-1], [0.0], [0], [0]
+    parts, count = [(len(sample), 0, np.arange(len(sample)))], 1
+    while count < leaves and parts:
+        parts.sort(key=lambda p: (p[0], -p[1]))
+        _, node, rows = parts.pop()
+        spread = np.ptp(sample[rows], 0) if len(rows) else np.zeros(1)
+        f = int(spread.argmax())
+        if spread[f] <= 0:
+            continue
+        values = sample[rows, f]
+        cut = float(np.median(values))
+        goes = values <= cut
+        if goes.all():  # the largest value is the median
+            cut = float(values[values < cut].max())
+            goes = values <= cut
+        axis[node], plane[node], left[node], right[node] = f, cut, len(axis), len(axis) + 1
+        for side in (rows[goes], rows[~goes]):
+            parts.append((len(side), len(axis), side))
+            axis.append(-1)
+            plane.append(0.0)
+            left.append(0)
+            right.append(0)
+        count += 1
+    axis = np.array(axis)
+    leaf = np.where(axis < 0, np.cumsum(axis < 0) - 1, -1)
+    return axis, np.array(plane), np.array(left), np.array(right), leaf
+
+
+@dataclass
+class NeighborIndex:
+    """A tree of boxes and the rows of its leaves."""
+
+    tree: tuple[np.ndarray, ...]  # axis, plane, left, right, leaf by node
+    low: np.ndarray  # by leaf; a leaf without rows has an empty box
+    high: np.ndarray
+    count: np.ndarray
+    rows: DataFrame  # leaf, rid, rvec
+    copies: int  # rows kept of one vector
+
+    @classmethod
+    def fit(cls, refs: DataFrame, k: int, id_col: str = "id", vec_col: str = "features", leaf_rows: int = LEAF_ROWS, seed: int = 0) -> "NeighborIndex":
+        """An index that answers searches for up to ``k`` neighbours, the query itself not counted.
+
+        Of equal vectors the ``k + 1`` smallest ids are kept: no search can need more, as ties go by id.
+        """
+        refs = refs.select(F.col(id_col).alias("rid"), F.col(vec_col).cast("array<double>").alias("rvec"))
+        kept = pin(_first_of_each(refs, "rvec", "rid", k + 1))
+        n = kept.count()
+        leaves = max(1, min(MAX_LEAVES, -(-n // leaf_rows)))
+        picked = kept.orderBy(F.xxhash64("rid", F.lit(seed)), "rid").limit(min(n, SAMPLE_EACH * leaves)).select("rvec").collect()  # MAX_LEAVES * SAMPLE_EACH at most
+        sample = np.array([r["rvec"] for r in picked], np.float64).reshape(len(picked), -1)
+        tree = _cut_tree(sample, leaves)
+        leaves, width = int((tree[0] < 0).sum()), sample.shape[1]
+
+        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b.assign(leaf=_leaves(_matrix(b["rvec"], width), tree).astype("int32"))
+
+        dealt = kept.mapInPandas(deal, T.StructType([*kept.schema.fields, T.StructField("leaf", T.IntegerType())]))
+        dealt = pin(dealt.repartition("leaf", F.pmod(F.xxhash64("rid"), F.lit(SALTS))).sortWithinPartitions("leaf"))
+
+        def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            low, high, count = np.full((leaves, width), np.inf), np.full((leaves, width), -np.inf), np.zeros(leaves, np.int64)
+            for b in batches:
+                x, at = _matrix(b["rvec"], width), b["leaf"].to_numpy()
+                np.minimum.at(low, at, x)
+                np.maximum.at(high, at, x)
+                count += np.bincount(at, minlength=leaves)
+            some = np.flatnonzero(count)
+            yield pd.DataFrame({"leaf": some, "low": list(low[some]), "high": list(high[some]), "n": count[some]})
+
+        parts = dealt.mapInPandas(boxes, "leaf int, low array<double>, high array<double>, n bigint")
+        ends = lambda c, f: F.array(*[f(F.get(c, F.lit(i))) for i in range(width)]).alias(c)
+        found = parts.groupBy("leaf").agg(ends("low", F.min), ends("high", F.max), F.sum("n").alias("n")).collect()
+        low, high, count = np.full((leaves, width), np.inf), np.full((leaves, width), -np.inf), np.zeros(leaves, np.int64)
+        for r in found:
+            low[r["leaf"]], high[r["leaf"]], count[r["leaf"]] = r["low"], r["high"], r["n"]
+        return cls(tree, low, high, count, dealt, k + 1)
+
+    def search(self, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "features", exclude_self: bool = False) -> DataFrame:
+        """(query_id, rank, neighbor_id, distance): the k nearest rows, ties by id. Reads the leaves that queries reach."""
+        if k > self.copies - (1 if exclude_self else 0):
+            raise ValueError(f"the index was fitted for {self.copies - 1} neighbours")
+        asked = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).cast("array<double>").alias("qvec"))
+        rid = self.rows.schema["rid"].dataType
+        enough = k + 1 if exclude_self else k
+        n = int(self.count.sum())
+        if n == 0:
+            fields = [("query_id", asked.schema["qid"].dataType), ("rank", T.IntegerType()), ("neighbor_id", rid), ("distance", T.DoubleType())]
+            return asked.sparkSession.createDataFrame([], T.StructType([T.StructField(a, b) for a, b in fields]))
+        # Equal vectors are asked once, under a number of their own.
+        once = asked.select("qvec").dropDuplicates().withColumn("q", F.monotonically_increasing_id())
+        once = pin(once)
+        tree, low, high, count, width = self.tree, self.low, self.high, self.count, self.low.shape[1]
+
+        def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                x = _matrix(b["qvec"], width)
+                yield b.assign(leaf=_leaves(x, tree).astype("int32"), reach=np.inf)
+
+        visit = T.StructType([*once.schema.fields, T.StructField("leaf", T.IntegerType()), T.StructField("reach", T.DoubleType())])
+        first = pin(self._look(once.mapInPandas(home, visit), enough, rid))
+        held = first.groupBy("q").agg(F.count("*").alias("found"), F.max("distance").alias("far"))
+
+        def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                x = _matrix(b["qvec"], width)
+                own = _leaves(x, tree)
+                for at in range(0, len(x), 512):
+                    part = x[at : at + 512]
+                    reach = np.where(b["found"].to_numpy()[at : at + 512] >= enough, b["far"].to_numpy(dtype=np.float64)[at : at + 512], np.inf)
+                    gap = _gaps(part, low, high)
+                    if not np.isfinite(reach).all():  # enough rows lie inside the boxes that are wholly this near
+                        far = np.sqrt((np.maximum(np.abs(part[:, None, :] - low), np.abs(part[:, None, :] - high)) ** 2).sum(2))
+                        order = far.argsort(1)
+                        some = count[order].cumsum(1) >= enough
+                        bound = np.take_along_axis(far, np.take_along_axis(order, some.argmax(1)[:, None], 1), 1)[:, 0]
+                        reach = np.minimum(reach, np.where(some.any(1), bound, np.inf))
+                    go = (gap <= reach[:, None] * (1 + 1e-9)) & (count > 0)
+                    go[np.arange(len(part)), own[at : at + 512]] = False
+                    row, leaf = np.nonzero(go)
+                    yield pd.DataFrame({"qvec": b["qvec"].to_numpy()[at + row], "q": b["q"].to_numpy()[at + row], "leaf": leaf.astype("int32"), "reach": reach[row]})
+
+        more = once.join(held, "q", "left").fillna({"found": 0}).select("qvec", "q", "found", "far")
+        second = self._look(more.mapInPandas(further, visit), enough, rid)
+        best = Window.partitionBy("q").orderBy("distance", "neighbor_id")
+        near = first.unionByName(second).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= enough)
+        lists = near.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbor_id", "distance"))).alias("near"))  # enough rows each
+        lists = once.join(lists, "q").select("qvec", "near")
+        out = asked.join(lists, "qvec")
+        if exclude_self:
+            out = out.withColumn("near", F.filter("near", lambda e: ~e["neighbor_id"].eqNullSafe(F.col("qid"))))
+        out = out.select(F.col("qid").alias("query_id"), F.posexplode(F.slice("near", 1, k)).alias("at", "e"))
+        return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "e.neighbor_id", "e.distance")
+
+    def _look(self, visits: DataFrame, enough: int, rid: T.DataType) -> DataFrame:
+        """(q, neighbor_id, distance) of the best ``enough`` rows for each visit of a leaf."""
+        width = self.low.shape[1]
+        # Slices of the leaves and of their queries, by counts; a slice of rows is copied to each slice of queries.
+        visits = pin(visits)
+        asked = {r["leaf"]: r["n"] for r in visits.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
+        cuts = [(i, max(1, -(-int(self.count[i]) // SLICE)), max(1, -(-m // max(256, SLICE // 10)))) for i, m in asked.items()]
+        spark = visits.sparkSession
+        if not cuts:
+            cuts = [(-1, 1, 1)]
+        table = F.broadcast(spark.createDataFrame(cuts, "leaf int, ref_cuts int, query_cuts int"))
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        keys = ["leaf", "ref_cut", "query_cut"]
+        refs = self.rows.join(table, "leaf").withColumn("ref_cut", F.pmod(F.xxhash64("rid"), F.col("ref_cuts")).cast("int"))
+        refs = refs.withColumn("query_cut", spread("query_cuts")).select(*keys, "rid", "rvec")
+        asks = visits.join(table, "leaf").withColumn("query_cut", F.pmod(F.xxhash64("q"), F.col("query_cuts")).cast("int"))
+        asks = asks.withColumn("ref_cut", spread("ref_cuts")).select(*keys, "q", "qvec", "reach")
+
+        def search(a: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            if len(a) == 0 or len(r) == 0:
+                return pd.DataFrame({"q": [], "neighbor_id": [], "distance": []})
+            r = r.sort_values("rid")
+            q, ids, x = a["q"].to_numpy(), r["rid"].to_numpy(), _matrix(r["rvec"], width)
+            reach = a["reach"].to_numpy(dtype=np.float64) * (1 + 1e-9)
+            who, which, gap = [], [], []
+            for lo, near, dist in _nearest(_matrix(a["qvec"], width), x, ids, enough):
+                row, col = np.nonzero(dist <= reach[lo : lo + len(near), None])
+                who.append(q[lo + row])
+                which.append(ids[near[row, col]])
+                gap.append(dist[row, col])
+            return pd.DataFrame({"q": np.concatenate(who), "neighbor_id": np.concatenate(which), "distance": np.concatenate(gap)})
+
+        schema = T.StructType([T.StructField("q", T.LongType()), T.StructField("neighbor_id", rid), T.StructField("distance", T.DoubleType())])
+        return asks.groupBy(*keys).cogroup(refs.groupBy(*keys)).applyInPandas(search, schema)
+
+    # -- fitted state ------------------------------------------------------------------------------
+
+    def save(self, path: str) -> str:
+        spark = self.rows.sparkSession
+        nodes = [(i, int(a), float(p), int(x), int(y), int(z)) for i, (a, p, x, y, z) in enumerate(zip(*self.tree))]
+        spark.createDataFrame(nodes, "node int, axis int, plane double, left int, right int, leaf int").coalesce(1).write.mode("overwrite").parquet(f"{path}/tree")
+        boxes = [(i, a.tolist(), b.tolist(), int(n), self.copies) for i, (a, b, n) in enumerate(zip(self.low, self.high, self.count))]
+        spark.createDataFrame(boxes, "leaf int, low array<double>, high array<double>, n bigint, copies int").coalesce(1).write.mode("overwrite").parquet(f"{path}/boxes")
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        return path
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "NeighborIndex":
+        nodes = spark.read.parquet(f"{path}/tree").orderBy("node").collect()
+        tree = tuple(np.array([r[c] for r in nodes]) for c in ("axis", "plane", "left", "right", "leaf"))
+        boxes = spark.read.parquet(f"{path}/boxes").orderBy("leaf").collect()
+        low, high, count = (np.array([r[c] for r in boxes]) for c in ("low", "high", "n"))
+        return cls(tree, low, high, count, spark.read.parquet(f"{path}/rows"), boxes[0]["copies"])
+
+
+def _first_of_each(rows: DataFrame, vector: str, id_col: str, most: int) -> DataFrame:
+    """The ``most`` smallest ids of each vector, found in parts first, so that copies of one vector are no single task."""
+    parts = Window.partitionBy(vector, F.pmod(F.xxhash64(id_col), F.lit(SALTS))).orderBy(id_col)
+    some = rows.withColumn("_p", F.row_number().over(parts)).filter(F.col("_p") <= most)
+    whole = Window.partitionBy(vector).orderBy(id_col)
+    return some.withColumn("_p", F.row_number().over(whole)).filter(F.col("_p") <= most).drop("_p")
+
+
 def knn_join(
-    queries: DataFrame,
-    refs: DataFrame,
-    k: int,
-    id_col: str = "id",
-    vec_col: str = "features",
-    exclude_self: bool = False,
-    block: int = BLOCK,
-    max_pivots: int = MAX_PIVOTS,
-    seed: int = 0,
+    queries: DataFrame, refs: DataFrame, k: int, id_col: str = "id", vec_col: str = "features", exclude_self: bool = False, leaf_rows: int = LEAF_ROWS
 ) -> DataFrame:
-    """(query_id, rank, neighbor_id, distance): the k nearest reference rows, ties by id."""
-    spark = refs.sparkSession
-    refs = refs.select(F.col(id_col).alias("rid"), F.col(vec_col).cast("array<double>").alias("rvec"))
-    queries = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).cast("array<double>").alias("qvec"))
-    id_type = refs.schema["rid"].dataType
-    n_refs = refs.count()
-    out_schema = T.StructType(
-        [
-            T.StructField("query_id", queries.schema["qid"].dataType),
-            T.StructField("rank", T.IntegerType()),
-            T.StructField("neighbor_id", id_type),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
-    if n_refs == 0:
-        return spark.createDataFrame([], out_schema)
-    n_pivots = max(1, min(max_pivots, int(n_refs**0.5)))
-    pivots = refs.orderBy(F.xxhash64("rid", F.lit(seed)), "rid").limit(n_pivots).select("rvec").collect()
-    points = np.array([r["rvec"] for r in pivots], dtype=np.float64)
-    width = points.shape[1]
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            d = _distances(_matrix(b["rvec"], width), points)
-            cell = d.argmin(1)
-            yield b.assign(cell=cell.astype("int32"), radius=d[np.arange(len(b)), cell])
-
-    cell_fields = [T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())]
-    placed = refs.mapInPandas(assign, T.StructType([*refs.schema.fields, *cell_fields]))
-    ring = F.floor(F.log1p(F.col("radius") * 1e3) * 8)
-    # At most pivots x rings rows.
-    rings = (
-        placed.groupBy("cell", ring.alias("ring"))
-        .agg(F.count("*").alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi"))
-        .toPandas()
-        .sort_values(["cell", "ring"])
-    )
-    enough = k + 1 if exclude_self else k
-    rings["held"] = rings.groupby("cell")["n"].cumsum()
-    # The radius around a pivot that surely holds enough rows, where its cell has them.
-    filled = rings[rings["held"] >= enough].groupby("cell")["hi"].first()
-    cells = rings.groupby("cell").agg(n=("n", "sum"), lo=("lo", "min"), hi=("hi", "max")).reset_index()
-    cell_id, cell_n = cells["cell"].to_numpy(), cells["n"].to_numpy()
-    cell_lo, cell_hi = cells["lo"].to_numpy(), cells["hi"].to_numpy()
-    cell_fill = cells["cell"].map(filled).fillna(np.inf).to_numpy()
-
-    # Neighbouring small cells share a block, so a query that visits several of them is sent once.
-    centred = points[cell_id] - points[cell_id].mean(0)
-    axis = np.linalg.svd(centred, full_matrices=False)[2][0]
-    cell_block = np.zeros(len(cells), dtype=np.int64)
-    number, rows = 0, 0
-    for c in (centred @ axis).argsort(kind="stable"):
-        if rows and rows + cell_n[c] > block:
-            number, rows = number + 1, 0
-        cell_block[c], rows = number, rows + cell_n[c]
-    n_blocks = number + 1
-
-    between = _distances(points[cell_id], points[cell_id])
-    span = float(np.sqrt((points * points).sum(1)).max())
-
-    def bounds(vectors: pd.Series) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per slice of queries: least distance to each cell, reach that holds enough rows, nearest cell."""
-        q = _matrix(vectors, width)
-        for lo in range(0, len(q), 256):
-            d = _distances(q[lo : lo + 256], points[cell_id])
-            bound = d + cell_hi
-            order = bound.argsort(1)
-            held = cell_n[order].cumsum(1) >= enough
-            first = np.where(held.any(1), held.argmax(1), order.shape[1] - 1)
-            reach = np.take_along_axis(bound, np.take_along_axis(order, first[:, None], 1), 1)[:, 0]
-            reach = np.minimum(np.where(held.any(1), reach, np.inf), (d + cell_fill).min(1))
-            least = np.maximum(np.maximum(d - cell_hi, cell_lo - d), 0.0)
-            # Rows of a cell lie on its side of the plane midway to the query's own pivot.
-            own = d.argmin(1)
-            # Distances come from a difference of squares: its rounding grows with the vectors' lengths.
-            size = span + np.sqrt((q[lo : lo + 256] ** 2).sum(1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (d * d - d.min(1)[:, None] ** 2) / (2.0 * between[own])
-            least = np.maximum(least, np.where(between[own] > 1e-6 * size[:, None], plane, 0.0))
-            yield lo, least - 1e-6 * size[:, None], reach * (1 + 1e-9), own
-
-    def visits(vectors: pd.Series) -> Iterator[tuple[int, np.ndarray]]:
-        for lo, least, reach, _ in bounds(vectors):
-            yield lo, least <= reach[:, None]
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ids, vectors = b["qid"].to_numpy(), b["qvec"].to_numpy()
-            for lo, go in visits(b["qvec"]):
-                into = np.zeros((len(go), n_blocks), dtype=bool)
-                for c in range(len(cell_id)):
-                    into[:, cell_block[c]] |= go[:, c]
-                row, col = np.nonzero(into)
-                yield pd.DataFrame({"qid": ids[lo + row], "qvec": vectors[lo + row], "block": col})
-
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(n_blocks, dtype=np.int64)
-        for b in batches:
-            for _, go in visits(b["qvec"]):
-                for i in range(n_blocks):
-                    total[i] += go[:, cell_block == i].any(1).sum()
-        yield pd.DataFrame({"block": np.arange(n_blocks), "n": total})
-
-    tallied = queries.select("qvec").mapInPandas(tally, "block int, n bigint").groupBy("block").agg(F.sum("n").alias("n"))
-    asked = dict(tallied.collect())  # one row per block
-    # Query slices are kept smaller than reference slices: they are what runs side by side.
-    query_slice = max(256, block // 10)
-    cut_rows = []
-    for i in range(n_blocks):
-        ref_cuts = -(-int(cell_n[cell_block == i].sum()) // block)  # above 1 only for one cell larger than a block
-        cut_rows.append((i, ref_cuts, max(1, -(-int(asked.get(i, 0)) // query_slice))))
-    cut_table = F.broadcast(spark.createDataFrame(cut_rows, "block int, ref_cuts int, query_cuts int"))
-    block_of = F.broadcast(spark.createDataFrame([(int(c), int(i)) for c, i in zip(cell_id, cell_block)], "cell int, block int"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ref_blocks = (
-        placed.join(block_of, "cell")
-        .join(cut_table, "block")
-        .withColumn("ref_cut", F.pmod(F.xxhash64("rid"), F.col("ref_cuts")).cast("int"))
-        .withColumn("query_cut", spread("query_cuts"))
-        .select("block", "ref_cut", "query_cut", "rid", "rvec", "cell")
-    )
-    routed = queries.mapInPandas(route, T.StructType([*queries.schema.fields, T.StructField("block", T.IntegerType())]))
-    query_blocks = (
-        routed.join(cut_table, "block")
-        .withColumn("query_cut", F.pmod(F.xxhash64("qid"), F.col("query_cuts")).cast("int"))
-        .withColumn("ref_cut", spread("ref_cuts"))
-        .select("block", "ref_cut", "query_cut", "qid", "qvec")
-    )
-    place_of = {int(c): i for i, c in enumerate(cell_id)}
-
-    def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        nothing = pd.DataFrame({"query_id": [], "neighbor_id": [], "distance": []})
-        if len(q) == 0 or len(r) == 0:
-            return nothing
-        r_ids, q_ids, r_cells = r["rid"].to_numpy(), q["qid"].to_numpy(), r["cell"].to_numpy()
-        q_all, r_all = _matrix(q["qvec"], width), _matrix(r["rvec"], width)
-        parts = list(bounds(q["qvec"]))
-        least, reach, own = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
-        asks, answers, gaps = [], [], []
-        members = {place_of[int(c)]: np.flatnonzero(r_cells == c) for c in np.unique(r_cells)}
-
-        def look(who: np.ndarray, mine: np.ndarray, tighten: bool) -> None:
-            for lo, near, dist in _nearest(q_all[who], r_all[mine], r_ids[mine], enough):
-                part = who[lo : lo + len(near)]
-                asks.append(np.repeat(part, near.shape[1]))
-                answers.append(mine[near.ravel()])
-                gaps.append(dist.ravel())
-                if tighten and near.shape[1] == enough:
-                    reach[part] = np.minimum(reach[part], dist[:, -1] * (1 + 1e-9))
-
-        # The query's own cell first: what it finds there shortens the reach for all other cells.
-        for c, mine in members.items():
-            look(np.flatnonzero(own == c), mine, True)
-        for c, mine in members.items():
-            look(np.flatnonzero((own != c) & (least[:, c] <= reach)), mine, False)
-        if not asks:
-            return nothing
-        ask, answer, gap = np.concatenate(asks), np.concatenate(answers), np.concatenate(gaps)
-        keep = np.ones(len(ask), dtype=bool) if not exclude_self else q_ids[ask] != r_ids[answer]
-        ask, answer, gap = ask[keep], answer[keep], gap[keep]
-        order = np.lexsort((r_ids[answer], gap, ask))
-        ask, answer, gap = ask[order], answer[order], gap[order]
-        start = np.r_[0, np.flatnonzero(np.diff(ask)) + 1] if len(ask) else np.zeros(0, dtype=np.int64)
-        rank = np.arange(len(ask)) - np.repeat(start, np.diff(np.r_[start, len(ask)]))
-        best = rank < k
-        return pd.DataFrame({"query_id": q_ids[ask[best]], "neighbor_id": r_ids[answer[best]], "distance": gap[best]})
-
-    keys = ["block", "ref_cut", "query_cut"]
-    partial_schema = T.StructType([f for f in out_schema.fields if f.name != "rank"])
-    partial = query_blocks.groupBy(*keys).cogroup(ref_blocks.groupBy(*keys)).applyInPandas(search, partial_schema)
-    # Each block gives a query at most k rows.
-    best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(*out_schema.names)
+    """(query_id, rank, neighbor_id, distance): the k nearest reference rows, ties by id; the index is used once."""
+    return NeighborIndex.fit(refs, k, id_col, vec_col, leaf_rows).search(queries, k, id_col, vec_col, exclude_self)
 
 
 QUERY_LIMIT = 4_096

@@ -51,20 +51,28 @@ def smote(
     k: int = 5,
     seed: int = 42,
 ) -> DataFrame:
-    """Rows plus synthetic minority rows up to floor(ratio * majority) of them.
+    """Rows plus synthetic minority rows up to floor(ratio * majority) of them."""
+    base = df.select(F.col(id_col).cast("string").alias(id_col), label, vec_col)
+    made = synthetic_rows(df, label, id_col, vec_col, ratio, k, seed)
+    return base if made is None else base.unionByName(made)
+
+
+def synthetic_rows(
+    df: DataFrame, label: str = "label", id_col: str = "id", vec_col: str = "features", ratio: float = 0.1, k: int = 5, seed: int = 42
+) -> DataFrame | None:
+    """The rows that ``smote`` adds; None if there are enough.
 
     Every synthetic row lies between a minority row and one of its k nearest minority rows.
     Copies are dealt out evenly, the remainder by hash order, so the count is exact.
     """
     n0, n1 = df.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
     need = int(ratio * n0) - n1
-    base = df.select(F.col(id_col).cast("string").alias(id_col), label, vec_col)
     if need <= 0:
-        return base
+        return None
     if n1 < 2:
         raise ValueError("oversampling needs at least two minority rows")
     k = min(k, n1 - 1)
-    minority = base.filter(F.col(label) == 1)
+    minority = df.select(F.col(id_col).cast("string").alias(id_col), label, vec_col).filter(F.col(label) == 1)
     near = knn_join(minority, minority, k, id_col, vec_col, exclude_self=True)
     dealt = hashed_places(minority, id_col, [], seed).select(
         id_col, (F.lit(need // n1) + (F.col("place") <= need % n1).cast("int")).alias("_copies")
@@ -83,9 +91,8 @@ def smote(
     near = near.select(F.col("query_id").alias(id_col), F.col("rank").alias("_rank"), F.col("neighbor_id").alias("_nid"))
     ends = minority.select(F.col(id_col).alias("_nid"), F.col(vec_col).alias("_y"))
     made = wanted.join(near, [id_col, "_rank"]).join(ends, "_nid")
-    new = made.select(
+    return made.select(
         F.concat(F.col(id_col), F.lit("#"), F.col("_c").cast("string")).alias(id_col),
         F.lit(1).cast(df.schema[label].dataType).alias(label),
         F.zip_with("_x", "_y", lambda x, y: x + F.col("_u") * (y - x)).alias(vec_col),
     )
-    return base.unionByName(new)

@@ -1,15 +1,12 @@
 import math
-from dataclasses import astuple
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pytest
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from riskloom.operators.anomaly import AnomalyDetector, IsolationForest, LocalOutlierFactor, tree_samples
-from riskloom.operators.contributions import LeafPath, path_values
+from riskloom.operators.contributions import path_values, stems, table_values
 from riskloom.operators.ensemble import FraudEnsemble
 from riskloom.operators.neighbors import inner_product_top_k, knn_join
 from riskloom.operators.sampling import smote, stratified_split, with_folds
@@ -46,7 +43,7 @@ def test_knn_join_is_exact(spark, block, exclude):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((80, 3))
     x[20:50] = x[20]  # over a third of the rows are copies of one
-    got = knn_join(points(spark, x), points(spark, x), 4, exclude_self=exclude, block=block).toPandas()
+    got = knn_join(points(spark, x), points(spark, x), 4, exclude_self=exclude, leaf_rows=block).toPandas()
     order, dist = brute(x, x, 4, exclude)
     assert len(got) == 320
     for i in range(80):
@@ -106,7 +103,7 @@ def test_tree_samples_are_full_and_distinct(spark):
 
 def test_detector(spark, normal, tmp_path):
     df = wide(spark, normal)
-    with pytest.raises(RuntimeError, match="Fit the AnomalyDetector"):
+    with pytest.raises(RuntimeError, match="call fit first"):
         AnomalyDetector().score(df)
     detector = AnomalyDetector(0.05, 10, 42)
     assert detector.fit(df, NAMES) is detector
@@ -167,19 +164,18 @@ def test_contributions_equal_shapley_by_enumeration():
     for _ in range(6):
         m = int(rng.integers(0, 4))
         f = rng.choice(4, m, replace=False)
-        paths.append(LeafPath(rng.normal(), f, rng.normal(-1, 0.5, m), rng.normal(1, 0.5, m), rng.uniform(0.1, 0.9, m)))
+        paths.append((rng.normal(), f, rng.normal(-1, 0.5, m), rng.normal(1, 0.5, m), rng.uniform(0.1, 0.9, m)))
     x = rng.normal(size=(5, 4))
 
     def value(row, members):
         total = 0.0
-        for p in paths:
-            part = p.value
-            for f, lo, hi, share in zip(p.features, p.low, p.high, p.share):
+        for part, *path in paths:
+            for f, lo, hi, share in zip(*path):
                 part *= float(lo < row[f] <= hi) if f in members else share
             total += part
         return total
 
-    got, base = path_values(x, [astuple(p) for p in paths])
+    got, base = path_values(x, paths)
     for i, row in enumerate(x):
         assert base == pytest.approx(value(row, set()))
         for f in range(4):
@@ -205,7 +201,7 @@ def test_ensemble(spark, fitted, tmp_path):
     from riskloom.operators.metrics import roc_auc
 
     df, ensemble = fitted
-    with pytest.raises(RuntimeError, match="Fit FraudEnsemble"):
+    with pytest.raises(RuntimeError, match="call fit first"):
         FraudEnsemble().predict(df)
     out = ensemble.predict(df)
     rows = out.toPandas()
@@ -219,19 +215,16 @@ def test_ensemble(spark, fitted, tmp_path):
 
 def test_calibration_never_falls_with_the_vote(fitted):
     df, ensemble = fitted
-    ready = df.withColumn("features", ensemble.scaler.vector())
-    voted = ensemble._calibrated(ensemble._vote(ready, ensemble.members[0]), ensemble.members[0][3], "p")
-    p = voted.select("vote", "p").toPandas().sort_values("vote").p.to_numpy()
+    voted = ensemble._calibrated(ensemble.votes(df), ensemble.calibrators[0], "p", "vote_0")
+    p = voted.select("vote_0", "p").toPandas().sort_values("vote_0").p.to_numpy()
     assert (np.diff(p) >= -1e-12).all()
 
 
 def test_contributions_add_up_to_the_model(fitted):
     df, ensemble = fitted
-    ready = df.withColumn("vector", array_to_vector(ensemble.scaler.vector()))
-    model = ensemble.members[0][0].setProbabilityCol("p").setRawPredictionCol("").setPredictionCol("")
-    explained = model.transform(ensemble.explain(ready, max_display=10))
+    explained = ensemble.explain(ensemble.member_scores(df), max_display=10)
     total = F.aggregate(F.map_values("contributions"), F.col("base_value"), lambda a, b: a + b)
-    gap = F.abs(1 / (1 + F.exp(-total)) - vector_to_array("p")[1])
+    gap = F.abs(1 / (1 + F.exp(-total)) - F.col("boosted_0"))
     assert explained.agg(F.max(gap)).first()[0] < 1e-9
 
 
@@ -242,24 +235,11 @@ def test_sigmoid_calibration_and_compat(fitted):
     assert e.predict(df).filter(~F.col("fraud_score").between(0, 1)).count() == 0
 
 
-def test_leaf_paths_cover_everything():
-    from riskloom.operators.contributions import leaf_paths
-
-    nodes = pd.DataFrame(
-        [(0, 0.0, 10.0, 1, 4, 0, 0.5), (1, 0.0, 6.0, 2, 3, 0, -0.5), (2, 1.0, 2.0, -1, -1, -1, None), (3, 2.0, 4.0, -1, -1, -1, None),
-         (4, 3.0, 4.0, -1, -1, -1, None)],
-        columns=["id", "prediction", "cover", "left", "right", "feature", "threshold"],
-    )
-    paths = leaf_paths(nodes, 1.0)
-    assert sum(float(np.prod(p.share)) for p in paths) == pytest.approx(1.0)
-    assert all(len(p.features) == 1 for p in paths)
-
-
 def test_knn_join_far_from_the_origin(spark):
     """Long vectors with small gaps: rounding must not prune true neighbours."""
     rng = np.random.default_rng(11)
     x = 1e4 + rng.standard_normal((300, 4)) * np.array([1.0, 0.01, 5.0, 0.1])
-    got = knn_join(points(spark, x), points(spark, x), 3, exclude_self=True, block=50).toPandas()
+    got = knn_join(points(spark, x), points(spark, x), 3, exclude_self=True, leaf_rows=50).toPandas()
     _, dist = brute(x, x, 3, True)
     assert np.allclose(np.stack([g.sort_values("rank").distance for _, g in got.groupby("query_id")]), dist, atol=1e-9)
 
@@ -268,5 +248,5 @@ def test_neighbours_at_one_distance_go_by_id(spark):
     """200 copies of one row in small blocks: the smallest ids win, whichever block holds them."""
     data = [(i, [1.0, 2.0]) for i in range(200)] + [(200 + i, [float(i), 40.0]) for i in range(60)]
     rows = spark.createDataFrame(data, "id bigint, features array<double>")
-    found = knn_join(rows.filter("id < 20"), rows, 5, block=50).collect()
+    found = knn_join(rows.filter("id < 20"), rows, 5, leaf_rows=50).collect()
     assert {(r["query_id"], r["rank"], r["neighbor_id"]) for r in found} == {(q, k + 1, k) for q in range(20) for k in range(5)}
