@@ -122,6 +122,37 @@ def request_validation(spark: SparkSession, sf: str) -> DataFrame:
     return checked.select("transaction_id", F.array_join("errors", "; ").alias("errors"), "status")
 
 
+# One kind of request for each remainder of the merchant: how a field is written, and what is wrong with it.
+ODD_REQUESTS = [
+    ('"amount":"abc"', "amount must be a number.", "NULL", "365"),
+    ('"amount":" 12.5 "', "", "12.5", "365"),
+    ('"amount":20,"account_age_days":12.7', "", "20", "12"),
+    ('"amount":20,"credit_utilization":null', "credit_utilization may not be null.", "20", "365"),
+    ('"amount":"Infinity"', "amount must be a finite number.", "NULL", "365"),
+    ('"amount":20,"account_age_days":"12.7"', "account_age_days must be a whole number.", "20", "365"),
+    ('"amount":20,"account_age_days":"40","merchant_category":5', "merchant_category must be text.", "20", "40"),
+    ('"amount":null,"explain":"maybe"', "amount may not be null.; explain must be true or false.", "NULL", "365"),
+    ('"amount":true,"timestamp":null', "amount must be a number.", "NULL", "365"),
+    ('"amount":-1,"credit_utilization":"high"', "amount must be greater than 0.; credit_utilization must be a number.", "-1", "365"),
+    ('"amount":[3],"explain":"yes"', "amount must be a number.", "NULL", "365"),
+    ('"explain":1', "amount is required.", "NULL", "365"),
+]
+
+
+def typed_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests whose fields have wrong types, numbers as text, fractions and explicit nulls."""
+    rows = read_transactions(spark, sf).select("transaction_id", "user_id", "merchant_id")
+    kinds = F.array(*[F.lit(x) for x, *_ in ODD_REQUESTS])
+    odd = F.element_at(kinds, (F.col("merchant_id") % len(ODD_REQUESTS) + 1).cast("int"))
+    text = F.concat(F.lit('{"transaction_id":"'), "transaction_id", F.lit('","user_id":'), "user_id", F.lit(","), odd, F.lit("}"))
+    checked = validate(apply_defaults(from_json_lines(rows.select(text.alias("value")))))
+    amount = F.when(F.abs("amount") < float("inf"), F.col("amount"))
+    return checked.select("transaction_id", amount.alias("amount"), "account_age_days", F.array_join("errors", "; ").alias("errors"), "status")
+
+
+_ODD = " ".join(f"WHEN {i} THEN {{'e': '{e}', 'a': CAST({a} AS DOUBLE), 'g': {g}}}" for i, (_, e, a, g) in enumerate(ODD_REQUESTS))
+
+
 def request_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return outcome_counts(validate(loaded_requests(spark, sf)))
 
@@ -430,6 +461,11 @@ QUERIES = {
         rejected_batch,
         with_sql(REQUESTS, "SELECT CASE WHEN (SELECT count(*) FROM checked WHERE errors <> '') > 0 THEN 'rejected' ELSE 'valid' END AS status, count(*) AS requests FROM checked GROUP BY 1"),
     ),
+    "a05_typed_requests": (
+        typed_requests,
+        with_sql(TXN, f"""SELECT transaction_id, x.a AS amount, CAST(x.g AS INT) AS account_age_days, x.e AS errors,
+  CASE WHEN x.e = '' THEN 'valid' ELSE 'rejected' END AS status FROM (SELECT transaction_id, CASE merchant_id % {len(ODD_REQUESTS)} {_ODD} END AS x FROM txn)"""),
+    ),
     "a06_feedback_log": (
         feedback_log,
         with_sql(SCORED, f"""SELECT transaction_id, {TIER} AS predicted_tier, is_fraud AS actual_label,

@@ -30,6 +30,39 @@ def test_request_errors(spark, text, errors):
     assert row["status"] == ("rejected" if errors else "valid")
 
 
+@pytest.mark.parametrize(
+    "fields, errors",
+    [
+        ('"credit_utilization": "high", "account_age_days": "x"', ["account_age_days must be a whole number.", "credit_utilization must be a number."]),
+        ('"credit_utilization": "0.5", "account_age_days": " 7 ", "prior_fraud_count": "1_0"', []),
+        ('"account_age_days": 7.9', []),
+        ('"account_age_days": true', ["account_age_days must be a whole number."]),
+        ('"account_age_days": 99999999999', ["account_age_days must be a whole number."]),
+        ('"account_age_days": {"a": 1}', ["account_age_days must be a whole number."]),
+        ('"credit_utilization": "NaN"', ["credit_utilization must be a finite number."]),
+        ('"merchant_category": null', ["merchant_category may not be null."]),
+        ('"transaction_id": null, "timestamp": null, "country": null', []),
+        ('"merchant_category": 5, "explain": 2', ["merchant_category must be text.", "explain must be true or false."]),
+        ('"explain": "yes"', []),
+    ],
+)
+def test_wrong_types_are_told_from_absent_fields(spark, fields, errors):
+    assert checked(spark, '{"user_id": 1, "amount": 5, ' + fields + "}").first()["errors"] == errors
+
+
+def test_values_of_odd_spellings(spark):
+    r = checked(spark, '{"user_id": "12", "amount": "1e2", "account_age_days": 7.9, "prior_fraud_count": "1_0", "explain": "on"}').first()
+    assert (r["user_id"], r["amount"], r["account_age_days"], r["prior_fraud_count"], r["explain"], r["status"]) == (12, 100.0, 7, 10, True, "valid")
+    r = checked(spark, '{"user_id": null, "amount": "Infinity"}').first()
+    assert r["errors"] == ["user_id may not be null.", "amount must be a finite number."]
+
+
+def test_columns_of_another_type(spark):
+    rows = spark.createDataFrame([("1", "5", "x"), ("a", "5", None)], "user_id string, amount string, credit_utilization string")
+    got = [r["errors"] for r in validate(apply_defaults(rows)).collect()]
+    assert got == [["credit_utilization must be a number."], ["user_id must be a whole number."]]
+
+
 def test_defaults(spark):
     r = checked(spark, '{"user_id": 1, "amount": 2}').first()
     assert (r["merchant_category"], r["channel"], r["account_age_days"], r["credit_utilization"], r["explain"]) == (
