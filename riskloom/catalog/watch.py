@@ -43,7 +43,7 @@ p AS (SELECT *, CASE WHEN lam < 0.2 THEN 1 ELSE greatest(0, least(1,
 
 def _tests(spark: SparkSession, sf: str, stretch: float) -> DataFrame:
     reference, current = drift_pair(spark, sf, stretch)
-    out = drift.ks_test(reference, current, DRIFT_COLUMNS)
+    out = drift.ks_test(reference, current, DRIFT_COLUMNS, exact_rows=0)
     return out.withColumns({"ks": F.round("ks", 9), "p_value": F.round("p_value", 6), "drifted": F.col("drifted").cast("int")})
 
 
@@ -64,7 +64,7 @@ def ks_orders(spark: SparkSession, sf: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_shipdate", "l_quantity", "l_extendedprice")
     cut = F.lit("1998-05-24").cast("timestamp_ntz")
     out = drift.ks_test(
-        lines.filter(F.col("l_shipdate") < cut), lines.filter(F.col("l_shipdate") >= cut), ["l_quantity", "l_extendedprice"]
+        lines.filter(F.col("l_shipdate") < cut), lines.filter(F.col("l_shipdate") >= cut), ["l_quantity", "l_extendedprice"], exact_rows=0
     )
     return out.select("column", "n_ref", "n_cur", F.round("ks", 9).alias("ks"), F.round("p_value", 6).alias("p_value"))
 
@@ -81,6 +81,31 @@ lam AS (SELECT *, ks * sqrt(CAST(n_ref AS DOUBLE) * n_cur / (n_ref + n_cur)) AS
 SELECT col AS "column", n_ref, n_cur, round(ks, 9) AS ks, round(CASE WHEN lam < 0.2 THEN 1 ELSE greatest(0, least(1,
   2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * lam * lam))))) END, 6) AS p_value FROM lam"""
 
+def user_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user's amounts of the first half of the month against those of the second, with exact p-values."""
+    rows = read_transactions(spark, sf).select("user_id", "amount", "ts")
+    cut = F.lit(SPLIT).cast("timestamp_ntz")
+    out = drift.ks_by_key(rows.filter(F.col("ts") < cut), rows.filter(F.col("ts") >= cut), "user_id", "amount", min_sample=3)
+    return out.select("user_id", "n_ref", "n_cur", F.round("ks", 9).alias("ks"), F.round("p_value", 6).alias("p_value"))
+
+
+# Paths through the lattice of both samples, counted step by step.
+_USER_DRIFT = "WITH RECURSIVE " + TXN + f""", g AS (
+  SELECT user_id, amount, count(*) FILTER (ts < TIMESTAMP '{SPLIT}') AS r, count(*) FILTER (ts >= TIMESTAMP '{SPLIT}') AS c FROM txn GROUP BY 1, 2
+), w AS (SELECT user_id, sum(r) OVER u AS rr, sum(c) OVER u AS cc, sum(r) OVER (PARTITION BY user_id) AS rn, sum(c) OVER (PARTITION BY user_id) AS cn
+  FROM g WINDOW u AS (PARTITION BY user_id ORDER BY amount)
+), ks AS (SELECT user_id, CAST(max(rn) AS BIGINT) AS n1, CAST(max(cn) AS BIGINT) AS n2, CAST(max(abs(rr * cn - cc * rn)) AS BIGINT) AS h
+  FROM w GROUP BY 1 HAVING max(rn) >= 3 AND max(cn) >= 3
+), walk AS (
+  SELECT user_id, n1, n2, h, CAST(0 AS BIGINT) AS i, list_transform(range(0, n2 + 1), lambda j: CAST(CASE WHEN j * n1 < h THEN 1 ELSE 0 END AS DOUBLE)) AS ways FROM ks
+  UNION ALL
+  SELECT user_id, n1, n2, h, i + 1, list_transform(range(0, n2 + 1), lambda j: CASE WHEN abs((i + 1) * n2 - j * n1) < h THEN
+    list_sum(list_transform(range(0, j + 1), lambda x: CASE WHEN abs((i + 1) * n2 - x * n1) < h THEN ways[x + 1] ELSE 0 END)) ELSE 0 END) FROM walk WHERE i < n1
+)
+SELECT user_id, n1 AS n_ref, n2 AS n_cur, round(CAST(h AS DOUBLE) / (n1 * n2), 9) AS ks,
+  round(CASE WHEN h = 0 THEN 1 ELSE greatest(0, 1 - ways[n2 + 1] / exp(lgamma(n1 + n2 + 1) - lgamma(n1 + 1) - lgamma(n2 + 1))) END, 6) AS p_value
+FROM walk WHERE i = n1"""
+
 CHI_COLUMNS = ["merchant_category", "payment_method", "country"]
 
 
@@ -268,6 +293,7 @@ SELECT CAST(1 AS INT) AS was_empty, batch_size, CAST(CAST(n_drifted AS DOUBLE) /
     ),
     "f02_ks_same": (ks_same, with_sql(_pair_sql(), _KS_SELECT)),
     "f03_ks_moved": (ks_moved, with_sql(_pair_sql(1.3), _KS_SELECT)),
+    "f03_user_drift": (user_drift, _USER_DRIFT),
     "f02_ks_lines": (ks_orders, _KS_LINES),
     "f04_chi_square": (chi_square_tests, with_sql(_chi_sql(CHI_COLUMNS), 'SELECT col AS "column", round(chi2, 6) AS chi2, dof FROM x')),
     "f04_chi_square_tail": (chi_square_tail, with_sql(_chi_sql(["device_type", "channel"]), 'SELECT col AS "column", round(exp(-chi2 / 2), 6) AS p_value FROM x')),

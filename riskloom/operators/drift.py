@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from math import lgamma
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +15,7 @@ from riskloom.functions.scalars import numeric_columns
 
 MIN_SAMPLE = 10
 P_VALUE = 0.05
+EXACT_ROWS = 10_000  # of a sample, up to which p-values are exact
 
 
 def set_reference(df: DataFrame, path: str) -> None:
@@ -59,15 +64,66 @@ def kolmogorov_p(statistic: Column, n1: Column, n2: Column) -> Column:
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
 
 
+def exact_p(statistic: float, n1: int, n2: int) -> float:
+    """Share of all orders of two samples without ties whose distribution functions come at least this far apart.
+
+    Orders are paths through a lattice of n1 by n2 steps; the paths that stay closer are counted row by row.
+    """
+    apart = round(statistic * n1 * n2)  # distances are whole multiples of 1 / (n1 n2)
+    if apart <= 0:
+        return 1.0
+    ways, scale = np.zeros(n2 + 1), 0.0
+    ways[0] = 1.0
+    for i in range(n1 + 1):
+        low = max(0, -((apart - 1 - i * n2) // n1))
+        high = min(n2, (i * n2 + apart - 1) // n1)
+        if low > high:
+            return 1.0
+        new = np.zeros(n2 + 1)
+        new[low : high + 1] = np.cumsum(ways[low : high + 1])
+        top = new.max()
+        if top <= 0:
+            return 1.0
+        ways, scale = new / top, scale + np.log(top)
+    if ways[n2] <= 0:
+        return 1.0
+    all_orders = lgamma(n1 + n2 + 1) - lgamma(n1 + 1) - lgamma(n2 + 1)
+    return float(min(1.0, max(0.0, 1.0 - np.exp(scale + np.log(ways[n2]) - all_orders))))
+
+
+def _exact(statistic: Column, n1: Column, n2: Column) -> Column:
+    @F.arrow_udf("double")
+    def p(d: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([exact_p(*x) for x in zip(d.to_pylist(), a.to_pylist(), b.to_pylist())], pa.float64())
+
+    return p(statistic, n1, n2)
+
+
 def ks_test(
     reference: DataFrame, current: DataFrame, columns: list[str] | None = None, min_sample: int = MIN_SAMPLE,
-    p_value: float = P_VALUE,
+    p_value: float = P_VALUE, exact_rows: int = EXACT_ROWS,
 ) -> DataFrame:
-    """(column, n_ref, n_cur, ks, p_value, drifted), columns with fewer than ``min_sample`` values left out."""
+    """(column, n_ref, n_cur, ks, p_value, drifted), columns with fewer than ``min_sample`` values left out.
+
+    The p-value is exact where neither sample has more than ``exact_rows`` values, else the asymptotic one.
+    """
     columns = columns or shared_numeric(current, reference)
-    ranked = ordered_totals(
-        sided(reference, current, columns), ["column"], ["value"], {"ref": "in_ref", "cur": "in_cur"}, with_totals=True
-    )
+    return _compared(sided(reference, current, columns), min_sample, p_value, exact_rows)
+
+
+def ks_by_key(
+    reference: DataFrame, current: DataFrame, key: str, value: str, min_sample: int = MIN_SAMPLE, p_value: float = P_VALUE,
+    exact_rows: int = EXACT_ROWS,
+) -> DataFrame:
+    """The test of ``ks_test`` for the values of each key, such as a user's amounts: (key, n_ref, n_cur, ks, p_value, drifted)."""
+    rows = lambda df, side: df.select(F.col(key).alias("column"), F.col(value).cast("double").alias("value"), F.lit(side).alias("side"))
+    both = rows(reference, 0).unionByName(rows(current, 1)).filter(F.col("column").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
+    counted = both.groupBy("column", "value").agg(F.count_if(F.col("side") == 0).alias("in_ref"), F.count_if(F.col("side") == 1).alias("in_cur"))
+    return _compared(counted, min_sample, p_value, exact_rows).withColumnRenamed("column", key)
+
+
+def _compared(counted: DataFrame, min_sample: int, p_value: float, exact_rows: int) -> DataFrame:
+    ranked = ordered_totals(counted, ["column"], ["value"], {"ref": "in_ref", "cur": "in_cur"}, with_totals=True)
     gap = F.abs(F.col("ref").cast("double") / F.col("ref_all") - F.col("cur").cast("double") / F.col("cur_all"))
     tested = (
         ranked.filter((F.col("ref_all") >= min_sample) & (F.col("cur_all") >= min_sample))
@@ -75,6 +131,10 @@ def ks_test(
         .agg(F.max("ref_all").alias("n_ref"), F.max("cur_all").alias("n_cur"), F.max(gap).alias("ks"))
     )
     with_p = tested.withColumn("p_value", kolmogorov_p(F.col("ks"), F.col("n_ref"), F.col("n_cur")))
+    if exact_rows:
+        small = (F.col("n_ref") <= exact_rows) & (F.col("n_cur") <= exact_rows)
+        sizes = [F.when(small, F.col(c)).otherwise(1) for c in ("n_ref", "n_cur")]
+        with_p = with_p.withColumn("p_value", F.when(small, _exact(F.col("ks"), *sizes)).otherwise(F.col("p_value")))
     return with_p.withColumn("drifted", F.col("p_value") < p_value)
 
 

@@ -30,7 +30,7 @@ class DriftMonitor:
         reference = load_reference(spark, self.reference_path)
         if reference is None:
             set_reference(current, self.reference_path)
-            return spark.sql("SELECT false AS drift_detected, 'Reference just set.' AS reason")
+            return spark.sql("SELECT false AS drift_detected, 'first run: kept as the reference' AS reason")
         summary = drift_summary(reference, current, columns, self.drift_threshold, self.score_shift_threshold, self.rule)
         summary = pin(summary.withColumn("run_timestamp", F.lit(name)))
         export_csv(current, f"{self.directory}/transactions/{name}")

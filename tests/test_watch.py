@@ -1,6 +1,8 @@
 import math
 import random
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def column(spark, values, name="v"):
 def test_ks_statistic(spark):
     rng = random.Random(2)
     a, b = [round(rng.gauss(0, 1), 1) for _ in range(90)], [round(rng.gauss(0.6, 1), 1) for _ in range(70)]
-    r = drift.ks_test(column(spark, [*a, None, float("nan")]), column(spark, b)).first()
+    r = drift.ks_test(column(spark, [*a, None, float("nan")]), column(spark, b), exact_rows=0).first()
     want = max(abs(sum(x <= t for x in a) / 90 - sum(x <= t for x in b) / 70) for t in {*a, *b})
     assert (r["n_ref"], r["n_cur"]) == (90, 70) and r["ks"] == pytest.approx(want)
     lam = want * math.sqrt(90 * 70 / 160)
@@ -68,7 +70,7 @@ def test_monitor_runs(spark, tmp_path):
     monitor = DriftMonitor(str(tmp_path))
     rng = random.Random(4)
     base = spark.createDataFrame([(f"t{i}", rng.random(), rng.random()) for i in range(300)], "transaction_id string, amount double, fraud_score double")
-    assert monitor.run(base).first()["reason"] == "Reference just set."
+    assert monitor.run(base).first()["reason"] == "first run: kept as the reference"
     same = monitor.run(base, run_name="r1").first()
     assert not same["drift_detected"] and same["n_tested"] == 2 and same["batch_size"] == 300
     moved = monitor.run(base.withColumn("fraud_score", F.col("fraud_score") + 0.3), run_name="r2").first()
@@ -82,3 +84,39 @@ def test_rules_differ(spark):
     assert not drift.dataset_drift(tests).first()["dataset_drift"]
     assert drift.dataset_drift(tests, rule="any").first()["dataset_drift"]
     assert not drift.dataset_drift(tests.limit(0)).first()["dataset_drift"]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_exact_p_value_by_enumeration(seed):
+    """All orders of two small samples, counted."""
+    rng = np.random.default_rng(seed)
+    m, n = (int(x) for x in rng.integers(1, 8, 2))
+
+    def distance(places):
+        at = np.isin(np.arange(m + n), places)
+        return int(np.abs(np.cumsum(at) * n - np.cumsum(~at) * m).max())
+
+    every = [distance(p) for p in combinations(range(m + n), m)]
+    for d in sorted(set(every)):
+        assert drift.exact_p(d / (m * n), m, n) == pytest.approx(np.mean([e >= d for e in every]), abs=1e-12)
+
+
+def test_exact_and_asymptotic_p_values_meet(spark):
+    a, b = [float(i) for i in range(400)], [float(i) + 31.5 for i in range(400)]
+    exact = drift.ks_test(column(spark, a), column(spark, b)).first()["p_value"]
+    rough = drift.ks_test(column(spark, a), column(spark, b), exact_rows=0).first()["p_value"]
+    assert exact != rough and abs(exact - rough) < 0.02
+    assert drift.exact_p(0.0, 5, 5) == 1.0 and drift.exact_p(1.0, 2000, 2000) == pytest.approx(0.0, abs=1e-9)
+
+
+@pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [5.0] * 300 + [7.0], None])
+def test_bracketed_quantiles(spark, values):
+    from riskloom.functions.ordering import column_quantiles
+
+    rng = np.random.default_rng(1)
+    data = values or np.round(rng.exponential(3.0, 30_000), 3).tolist()
+    rows = spark.createDataFrame([(float(v), None, i % 7) for i, v in enumerate(data)], "a double, b double, c int")
+    got = {r["column"]: r for r in column_quantiles(rows, ["a", "b", "c"], {"p50": 0.5, "p95": 0.95, "p100": 1.0}, accuracy=100).collect()}
+    assert set(got) == {"a", "c"}
+    for name, q in (("p50", 0.5), ("p95", 0.95), ("p100", 1.0)):
+        assert got["a"][name] == pytest.approx(np.quantile(data, q), abs=1e-12)
