@@ -27,6 +27,10 @@ SAMPLE_ROWS = 256
 NEIGHBORS = 20
 NU = 0.5
 
+GAP = 1e-3  # duality gap, as a share of the squared length, at which the one-class fit ends
+MOST_STEPS = 500
+CELLS = 64  # of the scores around the bound of the outliers
+
 
 def average_path(n: np.ndarray | float) -> np.ndarray:
     """Mean depth of an unsuccessful search among n rows."""
@@ -176,51 +180,109 @@ def _reach_density(near: DataFrame, kdist: DataFrame) -> DataFrame:
 
 @dataclass
 class OneClassSvm:
+    """The mean of feature maps nearest to the origin in which no row weighs more than 1 / (nu n).
+
+    ``gap`` bounds how far its half squared length is from the least possible; ``steps`` passes led there.
+    """
+
     projection: np.ndarray  # width x D
     phase: np.ndarray
     weights: np.ndarray
     offset: float
+    gap: float = float("nan")
+    steps: int = 0
 
     @classmethod
     def fit(
-        cls, df: DataFrame, width: int, nu: float = NU, dims: int = 256, steps: int = 8, seed: int = 42
+        cls, df: DataFrame, width: int, nu: float = NU, dims: int = 256, tolerance: float = GAP, most: int = MOST_STEPS, seed: int = 42
     ) -> "OneClassSvm":
+        """Conditional gradients with away steps, one pass over the rows a step, until the duality gap is at most
+        ``tolerance`` of the squared length. ``most`` steps without that are an error, not a result.
+        """
         rng = np.random.default_rng(seed)
         gamma = 1.0 / width
         projection = rng.normal(0.0, np.sqrt(2.0 * gamma), (width, dims))
         phase = rng.uniform(0.0, 2.0 * np.pi, dims)
-        weights = cls._mean(df, projection, phase, None, 0.0)
-        for t in range(1, steps + 1):
-            model = cls(projection, phase, weights, 0.0)
-            offset = cls._offset(df, model, nu)
-            # The rows of the lowest nu share of scores pull the weights towards themselves.
-            target = cls._mean(df, projection, phase, weights, offset)
-            weights = weights + (2.0 / (t + 2.0)) * (target - weights)
-        model = cls(projection, phase, weights, 0.0)
-        return cls(projection, phase, weights, cls._offset(df, model, nu))
+        zone = (-np.inf, np.inf)
+        mean, n = cls._sums(df, projection, phase, None, zone)[:2]
+        atoms, shares = [mean / n], [1.0]
+        for step in range(1, most + 1):
+            weights = np.array(shares) @ np.array(atoms)
+            # The rows of the lowest nu share of scores are the vertex that pulls the weights furthest.
+            target, offset, slack, zone = cls._lowest(df, projection, phase, weights, zone, nu * n)
+            gap = float(weights @ (weights - target)) + slack
+            if gap <= tolerance * float(weights @ weights):
+                return cls(projection, phase, weights, float(offset), gap, step)
+            away = int(np.argmax([a @ weights for a in atoms]))
+            back = atoms[away] - weights
+            if float(weights @ back) > gap - slack and shares[away] < 1.0:
+                direction, longest = -back, shares[away] / (1.0 - shares[away])
+            else:
+                away, direction, longest = -1, target - weights, 1.0
+            length = float(direction @ direction)
+            move = min(longest, max(0.0, -float(weights @ direction) / length)) if length > 0 else 0.0
+            if away < 0:
+                shares = [x * (1.0 - move) for x in shares] + [move]
+                atoms.append(target)
+            else:
+                shares = [x * (1.0 + move) for x in shares]
+                shares[away] -= move
+            kept = [i for i, x in enumerate(shares) if x > 1e-12]
+            atoms, shares = [atoms[i] for i in kept], [shares[i] for i in kept]
+        raise ArithmeticError(f"the duality gap is still {gap:.3g} after {most} steps")
 
-    @staticmethod
-    def _offset(df: DataFrame, model: "OneClassSvm", nu: float) -> float:
-        scores = df.select((-model.scorer()(F.col("features"))).alias("s"))
-        return float(scores.agg(F.percentile_approx("s", nu, 10_000)).first()[0])
+    @classmethod
+    def _lowest(cls, df: DataFrame, projection, phase, weights, zone: tuple[float, float], wanted: float) -> tuple[np.ndarray, float, float, tuple[float, float]]:
+        """Mean map of the ``wanted`` rows of lowest score, the score that bounds them, how much lower the mean score
+        could be with the rows of the last cell in order, and where to look next.
+
+        Rows below the zone are summed as one, those inside it in cells; a pass whose zone turns out not to hold the
+        bound is followed by one over all scores.
+        """
+        reach = np.sqrt(2.0) * float(np.sqrt(weights @ weights))  # no map is longer than the root of two
+        low, high = max(zone[0], -reach), min(zone[1], reach)
+        for low, high in ((low, high), (-reach, reach)):
+            below, n, cells, counts = cls._sums(df, projection, phase, weights, (low, high))
+            held = n + np.cumsum(counts)
+            if n <= wanted <= held[-1]:
+                break
+        at = int(np.searchsorted(held, wanted))
+        before = n + (counts[:at].sum() if at else 0)
+        part = (wanted - before) / counts[at] if counts[at] else 0.0  # all rows of the last cell weigh alike
+        total = below + cells[:at].sum(0) + part * cells[at]
+        size = (high - low) / len(counts)
+        offset = low + (at + part) * size
+        near = (offset - 8 * size, offset + 8 * size) if size > 1e-6 * reach else (low, high)
+        return total / wanted, offset, size * counts[at] / wanted, near
 
     @staticmethod
-    def _mean(df: DataFrame, projection, phase, weights, offset: float) -> np.ndarray:
-        """Mean feature map of the rows scoring at most ``offset`` (all rows without weights)."""
-        dims = len(phase)
+    def _sums(df: DataFrame, projection, phase, weights, zone: tuple[float, float]):
+        """Sum and number of the maps below the zone (all, without weights), and both for each cell of it."""
+        dims, (low, high) = len(phase), zone
 
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, n = np.zeros(dims), 0
+            total, n = np.zeros((CELLS + 1, dims)), np.zeros(CELLS + 1, np.int64)
             for b in batches:
                 z = np.sqrt(2.0 / dims) * np.cos(_matrix(b["features"], projection.shape[0]) @ projection + phase)
-                if weights is not None:
-                    z = z[z @ weights <= offset]
-                total, n = total + z.sum(0), n + len(z)
-            yield pd.DataFrame({"dim": np.arange(dims), "s": total, "n": n})
-
-        parts = df.select("features").mapInPandas(sums, "dim int, s double, n bigint")
-        rows = parts.groupBy("dim").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).orderBy("dim").toPandas()
-        return rows["s"].to_numpy() / np.maximum(rows["n"].to_numpy(), 1)
+                if weights is None:
+                    cell = np.zeros(len(z), np.int64)
+                else:
+                    cell = np.floor((z @ weights - low) / (high - low) * CELLS).astype(np.int64) + 1
+                    z, cell = z[cell <= CELLS], np.maximum(cell[cell <= CELLS], 0)
+                order = np.argsort(cell, kind="stable")
+                some, first = np.unique(cell[order], return_index=True)
+                if len(some):
+                    total[some] += np.add.reduceat(z[order], first, 0)
+                n += np.bincount(cell, minlength=CELLS + 1)
+            for c in np.flatnonzero(n):
+                yield pd.DataFrame({"cell": c, "dim": np.arange(dims), "s": total[c], "n": n[c]})
+
+        parts = df.select("features").mapInPandas(sums, "cell int, dim int, s double, n bigint")
+        rows = parts.groupBy("cell", "dim").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).toPandas()  # (CELLS + 1) * dims at most
+        total, n = np.zeros((CELLS + 1, dims)), np.zeros(CELLS + 1, np.int64)
+        total[rows["cell"], rows["dim"]] = rows["s"]
+        n[rows["cell"]] = rows["n"]
+        return total[0], int(n[0]), total[1:], n[1:]
 
     def scorer(self):
         """Column function over ``features``: offset minus score, higher is more anomalous."""

@@ -250,3 +250,23 @@ def test_neighbours_at_one_distance_go_by_id(spark):
     rows = spark.createDataFrame(data, "id bigint, features array<double>")
     found = knn_join(rows.filter("id < 20"), rows, 5, leaf_rows=50).collect()
     assert {(r["query_id"], r["rank"], r["neighbor_id"]) for r in found} == {(q, k + 1, k) for q in range(20) for k in range(5)}
+
+
+def test_one_class_fit_ends_at_a_small_gap(spark, normal):
+    from riskloom.operators.anomaly import GAP, OneClassSvm
+
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.standard_normal((600, 3)), rng.uniform(-6, 6, (30, 3))])
+    df = points(spark, x).repartition(3)
+    for nu in (0.5, 0.1):
+        model = OneClassSvm.fit(df, 3, nu=nu)
+        length = float(model.weights @ model.weights)
+        assert 0 <= model.gap <= GAP * length and model.steps < 200
+        score = df.select(model.scorer()("features").alias("s")).toPandas().s
+        assert abs((score > 0).mean() - nu) < 0.02
+        # The optimum lies between the gap below and the value reached: no mean that is allowed comes nearer to the origin.
+        z = np.sqrt(2.0 / len(model.phase)) * np.cos(x @ model.projection + model.phase)
+        lowest = np.sort(z @ model.weights)[: int(nu * len(x))].mean()
+        assert lowest >= length * (1 - 3 * GAP)
+    with pytest.raises(ArithmeticError):
+        OneClassSvm.fit(df, 3, tolerance=0.0, most=3)
