@@ -6,8 +6,11 @@ run per session and folder serves all of them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riskloom.catalog.base import TXN, scratch, with_sql
 from riskloom.operators.anomaly import IsolationForest, LocalOutlierFactor, OneClassSvm, anomaly_label, composite
@@ -15,11 +18,13 @@ from riskloom.operators.ensemble import MEMBERS, soft_vote
 from riskloom.operators.features import FeatureBuilder
 from riskloom.operators.sampling import smote, stratified_split, with_folds
 from riskloom.operators.scaling import Scaler, normalise, score_range
-from riskloom.plans.scoring import responses
+from riskloom.plans.scoring import recent_history, responses, score_batch
 from riskloom.plans.training import RiskModels, TrainingPlan, TrainingRun
 from riskloom.schema import AUGMENTED_COLUMNS
 from riskloom.session import pin
 from riskloom.sources.transactions import read_transactions
+from riskloom.streaming.micro_batch import against_history, run_batches, with_models
+from riskloom.streaming.windows import stream_source
 
 COLUMNS = ["amount", "account_age_days", "credit_utilization", "prior_fraud_count", "merchant_id"]
 _RUNS: dict[tuple[str, str], TrainingRun] = {}
@@ -80,6 +85,26 @@ def transaction_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return LocalOutlierFactor.fit(rows).score(rows).select(F.col("id").alias("transaction_id"), "s_lof")
 
 
+def outliers_rounded(spark: SparkSession, sf: str) -> DataFrame:
+    out = transaction_outliers(spark, sf)
+    return out.select("transaction_id", F.round("s_lof", 4).alias("s_lof"))
+
+
+_GAP = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in COLUMNS)
+OUTLIERS_SQL = with_sql(TXN, f""", x AS MATERIALIZED (
+  SELECT transaction_id, {", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in COLUMNS)} FROM txn
+), near AS MATERIALIZED (
+  SELECT a.transaction_id AS i, min({{'d': sqrt({_GAP}), 'j': b.transaction_id}}, 21) AS l FROM x a CROSS JOIN x b GROUP BY 1
+), fit AS (SELECT i, list_filter(l, lambda e: e.j <> i)[1:20] AS l FROM near
+), kd AS (SELECT i AS j, l[20].d AS kdist FROM fit
+), pairs AS (SELECT i, unnest(l, recursive := true) FROM fit
+), lrd AS (SELECT i, 1 / (avg(greatest(d, kdist)) + 1e-10) AS lrd FROM pairs JOIN kd USING (j) GROUP BY 1
+), seen AS (SELECT i, unnest(l[1:20], recursive := true) FROM near
+), own AS (SELECT i, 1 / (avg(greatest(d, kdist)) + 1e-10) AS own FROM seen JOIN kd USING (j) GROUP BY 1
+), around AS (SELECT seen.i, avg(lrd) AS around FROM seen JOIN lrd ON lrd.i = seen.j GROUP BY 1)
+SELECT i AS transaction_id, round(around / own, 4) AS s_lof FROM own JOIN around USING (i)""")
+
+
 def one_class(spark: SparkSession, sf: str) -> DataFrame:
     rows = pin(scaled(spark, sf))
     svm = OneClassSvm.fit(rows, len(COLUMNS))
@@ -200,6 +225,62 @@ def saved_models(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def scored_rows(spark: SparkSession, sf: str) -> DataFrame:
+    run = training_run(spark, sf)
+    return run.train.unionByName(run.validation)
+
+
+def label_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """Every transaction has one score, a share, and the label that the score says."""
+    score = F.col("fraud_score")
+    kept = score.between(0.0, 1.0) & (F.col("fraud_label") == (score >= 0.5).cast("int")) & F.col("anomaly_score").between(0.0, 1.0)
+    return scored_rows(spark, sf).select("transaction_id", kept.cast("int").alias("holds"))
+
+
+def additive_contributions(spark: SparkSession, sf: str) -> DataFrame:
+    """Contributions and base value add up to the log-odds of the explained model on every row."""
+    e = training_run(spark, sf).models.ensemble
+    out = e.explain(e.member_scores(scored_rows(spark, sf)), max_display=len(AUGMENTED_COLUMNS))
+    total = F.aggregate(F.map_values("contributions"), F.col("base_value"), lambda a, x: a + x)
+    return out.select("transaction_id", (F.abs(1 / (1 + F.exp(-total)) - F.col("boosted_0")) < 1e-9).cast("int").alias("holds"))
+
+
+def metrics_again(spark: SparkSession, sf: str) -> DataFrame:
+    """The metrics of the run against those of windows over all scores at once."""
+    run = training_run(spark, sf)
+    told = {r["metric"]: r["value"] for r in run.metrics.collect()}
+    out = []
+    for part, rows in (("train", run.train), ("val", run.validation)):
+        by = rows.groupBy("fraud_score").agg(F.sum("is_fraud").alias("pos"), F.count("*").alias("n"))
+        up, down = Window.orderBy("fraud_score"), Window.orderBy(F.col("fraud_score").desc())
+        by = by.withColumns({"neg": F.col("n") - F.col("pos"), "below": F.sum(F.col("n") - F.col("pos")).over(up), "tp": F.sum("pos").over(down), "seen": F.sum("n").over(down)})
+        pairs = F.sum("pos").cast("double") * F.sum("neg")
+        auc = F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2)) / pairs
+        ap = F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / F.sum("pos")
+        for name, value in (("auc_roc", auc), ("avg_precision", ap)):
+            gap = F.abs(value - F.lit(told[f"{part}_{name}"])) < 1e-9
+            out.append(by.agg(gap.cast("int").alias("holds")).select(F.lit(f"{part}_{name}").alias("metric"), "holds"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def streamed_models(spark: SparkSession, sf: str) -> DataFrame:
+    """The last days scored by the models as a stream of batches, each against all before it, and again as tables."""
+    run, rows = training_run(spark, sf), read_transactions(spark, sf)
+    source, path, store, state = (scratch(spark, f"models-{n}") for n in ("source", "out", "store", "state"))
+    days = [F.lit(d).cast("timestamp_ntz") for d in ("2024-01-22", "2024-01-26", "9999-01-01")]
+    handle = against_history(with_models(run.models), path, store, rows.filter(F.col("ts") < days[0]))
+    again = []
+    for first, last in zip(days, days[1:]):
+        batch = rows.filter((F.col("ts") >= first) & (F.col("ts") < last))
+        batch.write.mode("append").parquet(source)
+        run_batches(stream_source(spark, source, rows.schema), handle, state, available_now=True).awaitTermination()
+        again.append(responses(score_batch(run.models, batch, recent_history(rows.filter(F.col("ts") < first), batch))))
+    told = spark.read.parquet(path).select("transaction_id", F.col("fraud_score").alias("streamed"))
+    both = reduce(DataFrame.unionByName, again).join(told, "transaction_id", "full")
+    same = F.coalesce(F.abs(F.col("fraud_score") - F.col("streamed")) < 2e-6, F.lit(False))
+    return both.select("transaction_id", same.cast("int").alias("holds"))
+
+
 def fit_then_transform(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics learned on the first half of the month, applied to the second."""
     rows = read_transactions(spark, sf).select("transaction_id", "ts", "amount", "merchant_category")
@@ -221,6 +302,7 @@ QUERIES = {
     "g02_isolation_forest": (isolation_forest, None),
     "g03_local_outlier_factor": (local_outliers, LOF_SQL),
     "g03_transaction_outliers": (transaction_outliers, None),
+    "g03_outliers_rounded": (outliers_rounded, OUTLIERS_SQL),
     "g04_one_class": (one_class, None),
     "g05_fixed_range": (
         normalised,
@@ -257,7 +339,14 @@ UNION ALL SELECT CAST(1 AS INT), CAST(greatest(n1, floor(n0 * CAST(0.1 AS DOUBLE
     ),
     "g15_folds": (fold_parts, with_sql(TXN + _PLACED, "SELECT transaction_id, CAST(place % 3 AS INT) AS fold FROM placed")),
     "g16_predictions": (predictions, None),
+    "g16_label_rule": (label_rule, with_sql(TXN, "SELECT transaction_id, CAST(1 AS INT) AS holds FROM txn")),
     "g17_contributions": (contributions, None),
+    "g17_additivity": (additive_contributions, with_sql(TXN, "SELECT transaction_id, CAST(1 AS INT) AS holds FROM txn")),
+    "g18_metrics_again": (
+        metrics_again,
+        "SELECT metric, CAST(1 AS INT) AS holds FROM (VALUES ('train_auc_roc'), ('train_avg_precision'), ('val_auc_roc'), ('val_avg_precision')) AS m(metric)",
+    ),
+    "j02_streamed_models": (streamed_models, with_sql(TXN, "SELECT transaction_id, CAST(1 AS INT) AS holds FROM txn WHERE ts >= TIMESTAMP '2024-01-22'")),
     "g18_metrics": (metrics, None),
     "g19_e04_augmented_features": (augmented, None),
     "g20_fit_then_transform": (
@@ -269,5 +358,5 @@ SELECT transaction_id, round((amount - mean) / std, 6) AS amount_zscore, CAST(am
   CAST(amount > p99 AS INT) AS amount_above_p99, round(coalesce(freq, 0), 6) AS merchant_category_freq
 FROM txn CROSS JOIN s LEFT JOIN f USING (merchant_category) WHERE ts >= TIMESTAMP '2024-01-16'"""),
     ),
-    "a10_saved_models": (saved_models, None),
+    "a10_saved_models": (saved_models, with_sql(TXN, "SELECT transaction_id, CAST(1 AS INT) AS same FROM txn")),
 }

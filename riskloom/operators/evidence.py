@@ -90,7 +90,7 @@ def flagged_first(df: DataFrame, threshold: float = 0.5, limit: int = 50, score:
     return df.filter(F.col(score) >= threshold).orderBy(F.col(score).desc(), "transaction_id").limit(limit)
 
 
-def attach_explanations(df: DataFrame, explanations: DataFrame) -> DataFrame:
-    """Explanation text by transaction id, empty where there is none."""
-    out = df.join(explanations.select("transaction_id", "explanation"), "transaction_id", "left")
+def attach_explanations(df: DataFrame, explanations: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """Explanation text by transaction id, or by another key that both have; empty where there is none."""
+    out = df.join(explanations.select(key, "explanation"), key, "left")
     return out.withColumn("explanation", F.coalesce("explanation", F.lit("")))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from riskloom.plans.scoring import recent_history, responses, score_and_explain, score_batch
+from riskloom.plans.training import RiskModels
+
 CADENCE = "15 minutes"
 
 
@@ -49,6 +52,19 @@ def run_batches(
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=cadence)).start()
 
 
+def with_models(models: RiskModels, explain: bool = False) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A score for ``against_history``: fitted models over each batch, with the past of its users as history.
+
+    Gives the responses of a batch run; ``explain`` adds the explanation of flagged rows.
+    """
+
+    def score(batch: DataFrame, past: DataFrame) -> DataFrame:
+        history = recent_history(past, batch)
+        return score_and_explain(models, batch, history) if explain else responses(score_batch(models, batch, history))
+
+    return score
+
+
 def score_stream(
     source: DataFrame,
     score: Callable[[DataFrame], DataFrame],
