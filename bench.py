@@ -16,7 +16,7 @@ HEADLINE = [
     "b00_feature_table", "d01_d02_velocity", "c01_line_stats", "c03_c07_user_profile", "c07_customer_medians", "c12_roc_auc",
     "f02_ks_lines", "f03_ks_moved", "i01_amount_velocity", "i03_cross_border", "i05_round_run", "i07_session_addresses",
     "h03_chunks", "h05_text_matches", "h05_nearest_vectors", "g02_isolation_forest", "g10_oversampled_counts",
-    "j04_tier_windows",
+    "j04_tier_windows", "f03_user_drift", "h05_term_matches",
 ]
 
 

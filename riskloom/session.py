@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _heap_gb() -> int:
+    """Half of the memory this process may use, 16 GB at most: Python workers need the rest."""
+    have = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    limit = Path("/sys/fs/cgroup/memory.max")
+    if limit.exists() and (told := limit.read_text().strip()).isdigit():
+        have = min(have, int(told))
+    return max(1, min(16, have >> 31))
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "riskloom") -> SparkSession:
     """A single-machine session; on a cluster the caller brings its own."""
     return (
@@ -18,7 +29,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ris
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", f"{_heap_gb()}g")
         .getOrCreate()
     )
 
