@@ -9,6 +9,7 @@ a spanning set of links leave a task, never all pairs.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -19,10 +20,12 @@ from riskloom.llm.base import OWN, map_arrow
 from riskloom.llm.components import components
 from riskloom.session import pin
 
-PIVOTS = 128
+PIVOTS = 128  # reference points of up to PIVOTS_FOR vectors; they grow with the cube root of the number beyond it
+PIVOTS_FOR = 1 << 20
+PIVOTS_MOST = 1024
 PREFIX = 6  # nearest reference points that describe a vector
 SHARED = 3  # of them that two vectors must share to be compared
-SAMPLE = 2048  # distinct vectors from which reference points are taken
+SAMPLE = 16  # distinct vectors for each reference point from which they are taken
 APART = 0.6  # cosine above which two reference points are too alike
 LIST_BLOCK = 1024  # vectors of a list compared with each other in one task
 
@@ -36,13 +39,18 @@ def _unit(column) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def choose_pivots(classes: DataFrame) -> np.ndarray:
-    """Up to ``PIVOTS`` reference points from the ``SAMPLE`` vectors of smallest hash, none too alike."""
-    sample = classes.orderBy("node").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+def pivot_count(n: int) -> int:
+    """Enough reference points that the inverted lists of ``n`` vectors keep their length."""
+    return min(PIVOTS_MOST, max(PIVOTS, round(PIVOTS * (n / PIVOTS_FOR) ** (1 / 3))))
+
+
+def choose_pivots(classes: DataFrame, most: int = PIVOTS) -> np.ndarray:
+    """Up to ``most`` reference points from the ``SAMPLE * most`` vectors of smallest hash, none too alike."""
+    sample = classes.orderBy("node").limit(SAMPLE * most).select("v").toArrow().column("v").combine_chunks()
     rows = _unit(sample) if len(sample) else np.zeros((0, 1))
     kept: list[np.ndarray] = []
     for row in rows:
-        if len(kept) < PIVOTS and (not kept or (np.array(kept) @ row).max() < APART):
+        if len(kept) < most and (not kept or (np.array(kept) @ row).max() < APART):
             kept.append(row)
     return np.array(kept)
 
@@ -154,28 +162,9 @@ def _compare(pivots: int, threshold: float):
     return run
 
 
-def near_vectors(rows: DataFrame, id_column: str = "vec_id", vector: str = "embedding", threshold: float = 0.95) -> DataFrame:
-    """All columns of ``rows`` with ``n_links`` and ``component_id`` under the prefix ``base.OWN``.
-
-    Vectors link at a cosine, in double precision, of ``threshold`` or more; pairs are found if their
-    descriptions share ``SHARED`` points and always verified. ``n_links`` counts other rows, copies
-    included. The component is the smallest non-null id reachable. Vectors that are null, empty,
-    zero, or hold null or non-finite components, and those of another length than most, link with
-    nothing and are their own component. Equal vectors are compared once.
-    """
-    v = F.col(f"`{vector}`")
-    node = f"{OWN}node"
-    sound = F.size(v) > 0
-    sound = sound & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    marked = rows.withColumn(node, F.when(F.coalesce(sound, F.lit(False)), F.xxhash64(v)))
-    usable = marked.where(F.col(node).isNotNull())
-    widths = usable.groupBy(F.size(v).alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = widths["w"] if widths else 0
-    classes = pin(
-        usable.where(F.size(v) == width).groupBy(F.col(node).alias("node"))
-        .agg(F.first(v).alias("v"), F.count("*").alias("times"), F.min(f"`{id_column}`").alias("first"))
-    )
-    pivots = choose_pivots(classes)
+def _met(classes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Counts of links (a, links) and edges that keep all connections (a, b) among vectors of one length."""
+    pivots = choose_pivots(classes, pivot_count(n))
     kind = dict(classes.dtypes)["v"]
     described = pin(map_arrow(
         classes.select("node", "times", "v"), _describe(pivots),
@@ -193,10 +182,36 @@ def near_vectors(rows: DataFrame, id_column: str = "vec_id", vector: str = "embe
     filed = filed.select(
         "list", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "times", "v", "cell"
     )
-    met = pin(map_arrow(
+    return pin(map_arrow(
         filed.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j"), _compare(len(pivots), threshold),
         "a bigint, b bigint, links bigint",
     ))
+
+
+def near_vectors(rows: DataFrame, id_column: str = "vec_id", vector: str = "embedding", threshold: float = 0.95) -> DataFrame:
+    """All columns of ``rows`` with ``n_links`` and ``component_id`` under the prefix ``base.OWN``.
+
+    Vectors link at a cosine, in double precision, of ``threshold`` or more; pairs are found if their
+    descriptions share ``SHARED`` points and always verified. ``n_links`` counts other rows, copies
+    included. The component is the smallest non-null id reachable. Vectors that are null, empty,
+    zero, or hold null or non-finite components link with nothing and are their own component; those of
+    different lengths do not link with each other. Equal vectors are compared once.
+    """
+    v = F.col(f"`{vector}`")
+    node = f"{OWN}node"
+    sound = F.size(v) > 0
+    sound = sound & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    marked = rows.withColumn(node, F.when(F.coalesce(sound, F.lit(False)), F.xxhash64(v)))
+    usable = marked.where(F.col(node).isNotNull())
+    classes = pin(
+        usable.groupBy(F.col(node).alias("node"))
+        .agg(F.first(v).alias("v"), F.count("*").alias("times"), F.min(f"`{id_column}`").alias("first"))
+    )
+    # Vectors of one length are compared with each other; a length that has one vector needs no comparison.
+    widths = classes.groupBy(F.size("v").alias("w")).count().where("count > 1").collect()
+    met = [_met(classes.where(F.size("v") == r["w"]), r["count"], threshold) for r in widths]
+    none = rows.sparkSession.createDataFrame([], "a bigint, b bigint, links bigint")
+    met = reduce(DataFrame.union, met, none)
     counted = met.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(met.where("b is not null"))
     rooted = classes.select("node", "times", "first").join(counted, "node", "left").join(roots, "node", "left")
