@@ -47,12 +47,6 @@ def _least(grams: Column) -> Column:
     )
 
 
-def _windows(found: Column, at: Column, before: int, after: int) -> Column:
-    """Words from ``at`` - ``before`` to ``at`` + ``after``; the empty text stands for words beyond the ends."""
-    pad = F.array_repeat(F.lit(""), before), F.array_repeat(F.lit(""), after)
-    return F.slice(F.concat(pad[0], found, pad[1]), at + 1, before + after + 1)
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """All columns of ``docs`` but the text, with the contamination of each row under the prefix ``base.OWN``.
 
@@ -68,14 +62,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
     grams = _grams(F.col("iw"), F.col("il"), GRAM)
     picked = settled(settled(item.where(F.col("il") >= WINDOW), "g", grams), "p", _least(F.col("g")))
-    spots = F.filter(F.transform(F.col("g"), lambda h, i: F.struct(i.alias("q"), h.alias("gram"))), lambda x: F.array_contains(F.col("p"), x["gram"]))
-    marks = picked.select("item", "il", "iw", F.explode(spots).alias("s")).select(
-        F.lit(GRAM).alias("span"), "s.gram", "item", "il", "s.q", _windows(F.col("iw"), F.col("s.q"), PICK - 1, WINDOW - 1).alias("near")
-    )
-    brief = item.where(F.col("il") < WINDOW).select(
-        F.col("il").alias("span"), F.xxhash64("iw").alias("gram"), "item", "il", F.lit(0).alias("q"), F.col("iw").alias("near")
-    )
-    marks = pin(marks.union(brief))
+    brief = item.where(F.col("il") < WINDOW)
+    marks = picked.select(F.explode("p").alias("gram")).union(brief.select(F.xxhash64("iw").alias("gram"))).distinct()
+    # Every window of the items, each once for an item that repeats it.
+    each = F.transform(F.sequence(F.lit(1), F.col("il") - WINDOW + 1), lambda i: F.slice("iw", i, WINDOW))
+    windows = item.where(F.col("il") >= WINDOW).select("item", F.explode(F.array_distinct(each)).alias("words"))
+    windows = windows.union(brief.select("item", F.col("iw").alias("words"))).distinct()
+    windows = pin(windows.withColumns({"span": F.size("words"), "window": F.xxhash64("words")}))
 
     body = F.coalesce(docs[f"`{text}`"].cast("string"), F.lit(""))
     given = settled(docs.withColumns(text_key(body)), f"{OWN}words", words(body)).withColumn(f"{OWN}n_words", F.size(f"{OWN}words"))
@@ -85,38 +78,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     kept = [c for c in docs.columns if c != text]
     rows = pin(given.select(*[F.col(f"`{c}`") for c in kept], *KEY, f"{OWN}n_words", prints.alias(f"{OWN}prints")))
 
-    shared = rows.select(*KEY, F.explode(f"{OWN}prints").alias("gram")).join(marks.select("gram").distinct(), "gram")
+    shared = rows.select(*KEY, F.explode(f"{OWN}prints").alias("gram")).join(marks, "gram")
     shared = pin(shared.groupBy(*KEY).agg(F.collect_set("gram").alias("grams")))
     # One row for each text: copies have the same words.
     hit = docs.select(body.alias("body")).withColumns(text_key(F.col("body"))).join(shared, KEY)
     hit = hit.groupBy(*KEY).agg(F.first("body").alias("body"), F.first("grams").alias("grams"))
     hit = settled(hit, "w", words(F.col("body"))).drop("body").withColumn("n", F.size("w"))
-    def shared_grams(size: int) -> Column:
-        named = F.transform(_grams(F.col("w"), F.col("n"), size), lambda h, i: F.struct(F.lit(size).alias("span"), i.alias("p"), h.alias("gram")))
-        return F.filter(named, lambda x: F.array_contains(F.col("grams"), x["gram"]))
-
-    steps = [shared_grams(size) for size in [GRAM, *short]]
-    at = hit.select(*KEY, "n", "w", F.explode(F.array_distinct(F.concat(*steps))).alias("h"))
-    around = F.when(F.col("h.span") == GRAM, _windows(F.col("w"), F.col("h.p"), PICK - 1, WINDOW - 1)).otherwise(F.array().cast("array<string>"))
-    exact = F.slice(F.col("w"), F.col("h.p") + 1, F.col("h.span"))
-    at = at.select(*KEY, "n", "h.span", "h.p", "h.gram", around.alias("dw"), exact.alias("dx"))
-    met = at.join(marks, ["span", "gram"])
-    # Starts of windows around the gram, relative to it, that agree word by word and lie inside both.
-    inside = lambda s: (
-        (F.col("q") + s >= 0) & (F.col("q") + s + WINDOW <= F.col("il")) & (F.col("p") + s >= 0) & (F.col("p") + s + WINDOW <= F.col("n"))
-        & (F.slice("dw", s + PICK, WINDOW) == F.slice("near", s + PICK, WINDOW))
-    )
-    starts = F.when(
-        F.col("il") >= WINDOW, F.filter(F.sequence(F.lit(1 - PICK), F.lit(0)), inside)
-    ).otherwise(F.when(F.col("dx") == F.col("near"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
-    runs = met.select(*KEY, "item", F.explode(starts).alias("s"), "p", F.least("il", F.lit(WINDOW)).alias("len"))
-    covered = runs.select(*KEY, "item", (F.col("p") + F.col("s")).alias("start"), "len").distinct()
-    result = covered.groupBy(*KEY).agg(
-        F.collect_set(F.struct("start", "len")).alias("spans"), F.array_sort(F.collect_set("item")).alias(f"{OWN}items")
-    ).select(
-        *KEY, f"{OWN}items",
-        F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1))))).alias(f"{OWN}n_hit"),
+    # Windows of the text around each shared gram, as (start, hash, words): made before rows multiply, so that they stay short.
+    at = F.filter(
+        F.transform(_grams(F.col("w"), F.col("n"), GRAM), lambda h, i: F.when(F.array_contains(F.col("grams"), h), i)), lambda i: i.isNotNull()
     )
+    first = lambda i: F.greatest(i - PICK + 1, F.lit(0))
+    starts = F.flatten(F.transform(F.filter(at, lambda i: first(i) <= F.least(i, F.col("n") - WINDOW)), lambda i: F.sequence(first(i), F.least(i, F.col("n") - WINDOW))))
+    hit = settled(hit, "starts", F.array_distinct(starts))
+    spans = [F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("w", s + 1, WINDOW).alias("words")))]
+
+    def whole(size: int) -> Column:
+        piece = lambda i: F.struct(i.alias("start"), F.slice("w", i + 1, size).alias("words"))
+        found = F.transform(_grams(F.col("w"), F.col("n"), size), lambda h, i: F.when(F.array_contains(F.col("grams"), h), piece(i)))
+        return F.filter(found, lambda x: x.isNotNull())
+
+    spans += [whole(size) for size in short]
+    found_at = hit.select(*KEY, F.explode(F.concat(*spans)).alias("x")).select(*KEY, "x.start", "x.words", F.size("x.words").alias("span"), F.xxhash64("x.words").alias("window"))
+    # Joined by hash and compared word by word. A place is kept once however many items have its window, and an item
+    # once however many places: positions of a text and of an item never multiply.
+    known = windows.select("span", "window", "words").distinct()
+    covered = pin(found_at.join(known, ["span", "window", "words"], "left_semi"))
+    named = covered.select(*KEY, "span", "window", "words").distinct().join(windows, ["span", "window", "words"])
+    named = named.select(*KEY, "item").distinct().groupBy(*KEY).agg(F.array_sort(F.collect_set("item")).alias(f"{OWN}items"))
+    words_hit = F.flatten(F.transform("spans", lambda x: F.sequence(x["start"], x["start"] + x["span"] - 1)))
+    result = covered.groupBy(*KEY).agg(F.collect_set(F.struct("start", "span")).alias("spans"))
+    result = result.select(*KEY, F.size(F.array_distinct(words_hit)).alias(f"{OWN}n_hit")).join(named, KEY, "left")
     out = rows.drop(f"{OWN}prints").join(result, KEY, "left").drop(*KEY)
     none = F.array().cast("array<string>")
     out = out.withColumns({
