@@ -23,6 +23,7 @@ from riskloom.session import checkpoint_root, pin
 
 SHARED_BYTES = 1000  # payloads from this size on are stored once
 ARCHIVE_BYTES = 1 << 28  # compressed size at which a task begins another file
+MOST_TASKS = 100_000  # that read at once; beyond it a task reads several files
 CHUNK = 1 << 16
 LEVEL = 3
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -105,13 +106,15 @@ def read_records(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
         while line := members.line():
             name, _, value = line.decode().partition(":")
             fields[name.strip().lower()] = value.strip()
+        if lacks := [n for n in ("content-length", "warc-record-id", "warc-type", "warc-block-digest") if n not in fields]:
+            raise ValueError(f"a record's header lacks {', '.join(lacks)}")
         block = members.take(int(fields["content-length"]))
         if members.take(4) != b"\r\n\r\n":
             raise ValueError("a record is longer than its content length")
         if f"sha1:{hashlib.sha1(block).hexdigest()}" != fields["warc-block-digest"]:
             raise ValueError(f"block digest of {fields['warc-record-id']} differs")
         payload = block.partition(b"\r\n\r\n")[2]
-        if fields["warc-type"] == "response" and f"sha1:{hashlib.sha1(payload).hexdigest()}" != fields["warc-payload-digest"]:
+        if fields["warc-type"] == "response" and f"sha1:{hashlib.sha1(payload).hexdigest()}" != fields.get("warc-payload-digest"):
             raise ValueError(f"payload digest of {fields['warc-record-id']} differs")
         yield fields, payload
 
@@ -195,7 +198,9 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield dict(zip(names, map(list, zip(*rows))))
 
-    return map_arrow(archives.repartition("archive"), run, schema)
+    # A task for each file: a repartition by name alone would be merged into few tasks, as names are small.
+    tasks = max(1, min(archives.count(), MOST_TASKS))
+    return map_arrow(archives.repartition(tasks), run, schema)
 
 
 def archive_folder(df: DataFrame) -> str:
