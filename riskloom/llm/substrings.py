@@ -322,7 +322,7 @@ def _cut(with_kept: bool):
     def run(batches):
         for batch in batches:
             removed, spans, digests, kept = [], [], [], []
-            for t, flat in zip(_bytes(batch, f"{OWN}text"), batch.column("ranges").to_pylist()):
+            for t, flat in zip(_bytes(batch, f"{OWN}text"), batch.column(f"{OWN}ranges").to_pylist()):
                 runs = merge_ranges(flat)
                 removed.append(sum(hi - lo for lo, hi in runs))
                 spans.append(len(runs))
@@ -350,7 +350,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, with_
     """
     body = F.coalesce(docs[f"`{text}`"].cast("string"), F.lit(""))
     keyed = docs.withColumns({f"{OWN}text": body, **text_key(body)}).drop(text)
-    joined = keyed.join(repeated_ranges(keyed, length), KEY, "left")
+    joined = keyed.join(repeated_ranges(keyed, length).withColumnRenamed("ranges", f"{OWN}ranges"), KEY, "left")
     own = f"{OWN}removed bigint, {OWN}spans bigint, {OWN}sha string, {OWN}kept binary"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("ranges", f"{OWN}text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in (f"{OWN}ranges", f"{OWN}text"))
     return map_arrow(joined, _cut(with_kept), f"{schema}, {own}").drop(KEY[0])
