@@ -1,12 +1,14 @@
 """Licence scan by canonical digests; DataFrame functions only.
 
-A whole text is reduced to a canonical form: lines that only claim copyright go, case, punctuation
-and white space no longer count, and spellings that mean the same become one. Texts are joined to
-known licences by the digest of that form.
+A whole text is reduced to a canonical form: lines that only claim copyright or name a short licence go, as does
+"all rights reserved"; case, punctuation and white space no longer count, and spellings that mean the same become
+one. Texts are joined to known licences by the digest of that form, so neither wrapping nor a heading matters.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,18 @@ from riskloom.llm.winnow import BREAKS, LOWER, UPPER
 
 # --- fixed values: typographic signs and their plain forms, spellings that count as equal, licence texts ---
 SIGNS, PLAIN = "‘’“”–—", "''\"\"--"
-CLAIM = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+# A claim begins a line with the word and a sign, a year or "by" and a name, or with a sign and a year; forms to fill in,
+# text about claims and the claim that is part of a licence of its own are none.
+CLAIM = r"^[ \t*#;/]*(copyright[ ,]*(\(c\)|©|[12][0-9]{3}|by [^ ])|(\(c\)|©) *[12][0-9]{3})"
+NO_CLAIM = r"free software|[<\[{]|yy|year|notice|holder|owner|law"
+TITLES = [
+    "mit license", "the mit license", "the mit license (mit)", "mit license (mit)", "mit licence", "the mit licence", "expat license", "isc license",
+    "the isc license", "isc license (isc)", "bsd license", "the bsd license", "bsd 2-clause license", "bsd 3-clause license",
+    "the 2-clause bsd license", "the 3-clause bsd license", "2-clause bsd license", "3-clause bsd license", 'bsd 2-clause "simplified" license',
+    'bsd 3-clause "new" or "revised" license', "simplified bsd license", "new bsd license", "revised bsd license", "modified bsd license",
+]
+RESERVED = "all rights reserved"
+TEXTS = Path(__file__).parent / "licence_texts"  # whole texts, a file each
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("cancelled", "canceled"), ("centre", "center"), ("copyright holder", "copyright owner"),
     ("copyright holders", "copyright owners"), ("favour", "favor"), ("fulfil", "fulfill"), ("https", "http"), ("judgement", "judgment"),
@@ -58,26 +71,33 @@ _ISC = (
     "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
     "SOFTWARE."
 )
-LICENCES = {
-    "BSD-2-Clause": _BSD + _BSD_END, "BSD-3-Clause": _BSD + _BSD_THIRD + _BSD_END, "ISC": _ISC, "ISC (titled)": "ISC License\n" + _ISC,
-    "MIT": _MIT, "MIT (titled)": "MIT License\n" + _MIT,
-}
+LICENCES = {"BSD-2-Clause": _BSD + _BSD_END, "BSD-3-Clause": _BSD + _BSD_THIRD + _BSD_END, "ISC": _ISC, "MIT": _MIT}
+
+
+def known_texts() -> dict[str, str]:
+    """Name and text of every known licence: the short ones above and the files beside this module."""
+    return LICENCES | {p.stem: p.read_text(encoding="utf-8") for p in sorted(TEXTS.glob("*.txt"))}
 
 
 def canonical(text: Column) -> Column:
     """Words of the canonical form with one space between them; empty for a null."""
     plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER + SIGNS, LOWER + PLAIN)
-    words = F.trim(F.regexp_replace(F.regexp_replace(plain, CLAIM, "\n"), BREAKS, " "))
+
+    def claims(line: Column) -> Column:
+        return F.rlike(line, F.lit(CLAIM)) & ~F.rlike(line, F.lit(NO_CLAIM))
+
+    lines = F.filter(F.split(plain, "\n"), lambda x: ~(claims(x) | F.trim(F.translate(x, "\t\r", "  ")).isin(TITLES)))
+    words = F.trim(F.regexp_replace(F.array_join(lines, "\n"), BREAKS, " "))
     # Every word gets two spaces of its own, so that neighbours can both be replaced.
     padded = F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" "))
-    for old, new in SPELLINGS:
-        padded = F.replace(padded, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
-    return F.trim(F.replace(padded, F.lit("  "), F.lit(" ")))
+    for old, new in [(RESERVED, ""), *SPELLINGS]:
+        padded = F.replace(padded, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} " if new else " "))
+    return F.trim(F.regexp_replace(padded, " +", " "))
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(k).alias("licence"), F.lit(v).alias("text")) for k, v in LICENCES.items()])
-    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
+    """(licence, text) of ``known_texts``: some twenty rows."""
+    return spark.createDataFrame([*known_texts().items()], "licence string, text string")
 
 
 def scan_licences(docs: DataFrame, known: DataFrame | None = None, text: str = "text") -> DataFrame:

@@ -88,24 +88,42 @@ def op5_licence_digests(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", F.col(f"{OWN}digest").alias("digest"), F.col(f"{OWN}licence").alias("licence"))
 
 
-def _canonical_sql(text: str) -> str:
+# The canonical form once more, written for itself: lines that go, then single words, then spellings.
+_LICENCE_WORDS = r"""trim(regexp_replace(array_to_string(list_filter(
+  string_split(translate(lower_ascii, '‘’“”–—', $$''""--$$), chr(10)),
+  lambda x: NOT (regexp_matches(x, '^[ \t*#;/]*(copyright[ ,]*(\(c\)|©|[12]\d\d\d|by [^ ])|(\(c\)|©) *[12]\d\d\d)')
+      AND NOT regexp_matches(x, 'free software|[<\[{]|yy|year|notice|holder|owner|law'))
+    AND NOT regexp_full_match(trim(translate(x, chr(9) || chr(13), '  ')),
+      '(the )?mit licen[sc]e|(the )?mit license \(mit\)|expat license|(the )?isc license|isc license \(isc\)|(the )?bsd license|bsd [23]-clause license|(the )?[23]-clause bsd license|bsd 2-clause "simplified" license|bsd 3-clause "new" or "revised" license|(simplified|new|revised|modified) bsd license')
+  ), chr(10)), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"""
+_SAME = {
+    "acknowledgement": "acknowledgment", "analogue": "analog", "cancelled": "canceled", "centre": "center", "favour": "favor", "fulfil": "fulfill",
+    "https": "http", "judgement": "judgment", "labour": "labor", "licence": "license", "licenced": "licensed", "organisation": "organization",
+    "whilst": "while", "wilful": "willful", "copyright holder": "copyright owner", "copyright holders": "copyright owners",
+    "non commercial": "noncommercial", "per cent": "percent", "sub license": "sublicense",
+}
+
+
+def _licence_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    plain = f"translate(coalesce({text}, ''), {quoted(licences.UPPER + licences.SIGNS)}, {quoted(licences.LOWER + licences.PLAIN)})"
-    words = f"trim(regexp_replace(regexp_replace({plain}, {quoted(licences.CLAIM)}, chr(10), 'g'), {quoted(licences.BREAKS)}, ' ', 'g'))"
-    padded = f"(' ' || replace({words}, ' ', '  ') || ' ')"
-    for old, new in licences.SPELLINGS:
-        padded = f"replace({padded}, {quoted(' ' + old.replace(' ', '  ') + ' ')}, {quoted(' ' + new.replace(' ', '  ') + ' ')})"
-    return f"trim(replace({padded}, '  ', ' '))"
-
-
-_KNOWN = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in licences.LICENCES.items())
-OP5_SQL = f"""
-WITH k AS (SELECT sha256({_canonical_sql('t')}) AS digest, min(l) AS licence FROM (VALUES {_KNOWN}) AS v(l, t) GROUP BY 1
-), d AS (SELECT doc_id, sha256({_canonical_sql('text')}) AS digest FROM documents)
-SELECT doc_id, digest, licence FROM d LEFT JOIN k USING (digest)
+    known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in licences.known_texts().items())
+    padded = "' ' || replace(w, ' ', '  ') || ' '"
+    for old, new in [("all rights reserved", ""), *sorted(_SAME.items(), key=lambda x: licences.SPELLINGS.index(x))]:
+        padded = f"replace({padded}, {quoted(' ' + old.replace(' ', '  ') + ' ')}, {quoted(' ' + new.replace(' ', '  ') + ' ' if new else ' ')})"
+    return f"""
+WITH given AS (
+  SELECT NULL AS doc_id, l AS licence, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM (VALUES {known}) AS v(l, t)
+  UNION ALL SELECT doc_id, NULL, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM documents
+), words AS (SELECT doc_id, licence, {_LICENCE_WORDS} AS w FROM given
+), form AS (SELECT doc_id, licence, sha256(trim(regexp_replace({padded}, ' +', ' ', 'g'))) AS digest FROM words
+), k AS (SELECT digest, min(licence) AS licence FROM form WHERE licence IS NOT NULL GROUP BY 1)
+SELECT d.doc_id, d.digest, k.licence FROM form d LEFT JOIN k USING (digest) WHERE d.licence IS NULL
 """
 
 
+OP5_SQL = _licence_sql()
+
+
 def op6_byte_network(spark: SparkSession, sf: str) -> DataFrame:
     held_out = folds(F.col("doc_id"), 4) == 2
     out = predict_language(table(spark, sf, "documents").select("doc_id", "text", "lang"), ~held_out)
