@@ -61,6 +61,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?", re.I)
 
 
+DEEPEST = 150  # elements inside each other that have nodes of their own
+
+
 class Node:
     __slots__ = ("label", "off", "children", "texts")
 
@@ -138,7 +141,9 @@ def parse(page: str) -> tuple[Node, list[tuple[str, str, str, bool, bool]]]:
         label, off, bound = _kind(tag, m[3] or "")
         _, parent, p_off, p_bound, p_header = stack[-1]
         last = parent.children[-1] if parent.children else None
-        if last is not None and last.label == label:
+        if len(stack) > DEEPEST:  # what lies deeper keeps its blocks, but its node is that of its ancestor here
+            node = parent
+        elif last is not None and last.label == label:
             node = last
         else:
             node = Node(label, off)

@@ -21,3 +21,14 @@ def test_boilerplate_among_many_paragraphs(spark, monkeypatch, held):
         lines = r[f"{OWN}text"].split("\n")
         assert ("Always here" in lines) == ("copies" in r["url"]), r["url"]
         assert sum(x.startswith("Story") for x in lines) == {"a": 2, "b": 8, "c": 17, "d": 30, "e": 17, "f": 1, "copies": 20}[r["url"].split("/")[2]]
+
+
+def test_pages_of_any_depth():
+    """5,000 elements inside each other: all their blocks stay, in page order, and no walk recurses that deep."""
+    from riskloom.llm import wrappers
+
+    page = "<body>" + "".join(f"<div>t{i}" for i in range(5000)) + "</div>" * 5000 + "<p>end</p></body>"
+    root, blocks = wrappers.parse(page)
+    assert [b[1] for b in blocks] == [f"t{i}" for i in range(5000)] + ["end"]
+    tree = wrappers._wrap(root)
+    assert wrappers.merge(tree, wrappers._wrap(wrappers.parse(page)[0]))[1] == 2
