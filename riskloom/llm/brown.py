@@ -1,10 +1,11 @@
 """Class-based bigram scores of texts: words in classes by exchange, transitions between classes.
 
 The log probability of a text is the sum over its tokens of log P(class | class before) and
-log P(word | class). Frequent words get their class by exchange clustering of the class bigrams of
-all training texts; every other word has a fixed class by the band of its length and last letter,
-known from the word alone, and its own corpus count. Word counts are a plain word count over the
-corpus, and the counts of rare words reach the texts by a join, so nothing grows on the driver.
+log P(word | class). Words seen often enough get their class by exchange on the class bigrams of all training texts:
+the most frequent ones one after the other, then all of them at once, each choosing its best class from its own counts of
+classes before and after it, in parts that run side by side. Every other word has a fixed class by the band of its
+length and last letter, known from the word alone, and its own corpus count. Word counts are a plain word count
+over the corpus, and the counts of rare words reach the texts by a join, so nothing grows on the driver.
 """
 
 from __future__ import annotations
@@ -19,13 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.base import OWN, map_arrow
+from riskloom.llm.wordstream import texts_of
 from riskloom.session import pin
 
-FREQUENT = 2000  # words that exchange clustering places one by one
-CLASSES = 48  # classes of frequent words
+PLACED = 10  # occurrences from which a word gets a class by exchange
+CORE = 2000  # most frequent words that are placed one after the other, which gives the classes
+ROUNDS = 2  # times that all placed words choose their class side by side
+PART = 1024  # words of a part that chooses
+CLASSES = 48  # classes of placed words
 SHAPES = 16  # classes of all other words
 SWEEPS = 4  # passes of the exchange
-KNOWN = 200_000  # most frequent words whose counts every task holds; the others are joined
+KNOWN = 200_000  # words whose counts and classes every task holds, at most; the counts of all others are joined
+CONTEXTS = 1_000_000  # tokens whose neighbours' classes are counted at once
 END = b"\n"  # the end token, which no word equals
 FLUSH = 400_000  # distinct words or pairs held before a task hands them on
 
@@ -61,21 +67,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 class Lexicon:
-    """The ``KNOWN`` most frequent words with their counts and symbols.
+    """The most frequent words, ``KNOWN`` at most, with their counts and symbols.
 
-    Symbols number the ``FREQUENT`` first of them and the end, then the shapes of all other words.
+    Symbols number the end and the words seen ``PLACED`` times, then the shapes of all other words.
     """
 
     def __init__(self, words: list[bytes], counts: list[int]) -> None:
-        top = words[:FREQUENT]
-        self.placed = top if END in top else [*top, END]
+        self.placed = [END, *(w for w, n in zip(words, counts) if n >= PLACED and w != END)]
+        self.core = min(len(self.placed), CORE + 1)
         self.base = len(self.placed)
         self.size = self.base + SHAPES
         number = {w: i for i, w in enumerate(self.placed)}
         self.index = {w: i for i, w in enumerate(words)}
         self.symbol = np.array([number[w] if w in number else self.base + shape(w) for w in words], np.int64)
         self.counts = np.array(counts, np.int64)
-        self.end = number[END]
+        self.end = 0
+        # The symbols of a smaller lexicon of the core words and the shapes of all others.
+        shapes = [self.core + shape(w) for w in self.placed[self.core :]]
+        self.to_core = np.concatenate([np.arange(self.core), shapes, self.core + np.arange(SHAPES)]).astype(np.int64)
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, list[int], np.ndarray]:
         """Places in the lexicon, the positions of words not in it, and the symbols of all."""
@@ -88,8 +97,9 @@ class Lexicon:
         return at, missing, symbols
 
 
-def _bigrams(lexicon: Lexicon):
-    """Pairs of neighbouring symbols; the end of a text also stands before its first word."""
+def _bigrams(lexicon: Lexicon, kinds: np.ndarray, size: int):
+    """Pairs of neighbouring ``kinds`` of symbols; the end of a text also stands before its first word."""
+    start = kinds[lexicon.end]
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -100,10 +110,10 @@ def _bigrams(lexicon: Lexicon):
             return {"pair": pair, "n": n}
 
         for batch in batches:
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                symbols = lexicon.read(tokens(text))[2]
-                held.append(np.append(lexicon.end, symbols[:-1]) * lexicon.size + symbols)
-                total += len(symbols)
+            for text in texts_of(batch.column("text")):
+                found = kinds[lexicon.read(tokens(text))[2]]
+                held.append(np.append(start, found[:-1]) * size + found)
+                total += len(found)
                 if total > 4_000_000:
                     yield flush()
                     held, total = [], 0
@@ -113,6 +123,110 @@ def _bigrams(lexicon: Lexicon):
     return run
 
 
+def _contexts(lexicon: Lexicon, label: np.ndarray, classes: int):
+    """How often each placed word stands before and after each class, by parts of ``PART`` words; behind it, with itself."""
+    width = 2 * classes + 1
+
+    def flush(held: list[np.ndarray]) -> dict:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        part = key // (PART * width)
+        ends = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        pieces = list(zip(ends, ends[1:]))
+        return {
+            "part": [int(part[i]) for i, _ in pieces], "key": [(key[i:j] % (PART * width)).astype(np.int32).tobytes() for i, j in pieces],
+            "n": [n[i:j].astype(np.int32).tobytes() for i, j in pieces],
+        }
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        total = 0
+        for batch in batches:
+            for text in texts_of(batch.column("text")):
+                symbols = np.append(lexicon.end, lexicon.read(tokens(text))[2])
+                kinds = label[symbols]
+                first, second = symbols[:-1], symbols[1:]
+                after, before = first < lexicon.base, second < lexicon.base
+                same = after & (first == second)
+                held.append(np.concatenate([
+                    first[after] * width + kinds[1:][after], second[before] * width + classes + kinds[:-1][before], first[same] * width + 2 * classes,
+                ]))
+                total += len(symbols)
+                if total >= CONTEXTS:
+                    yield flush(held)
+                    held, total = [], 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def _choose(label: np.ndarray, table: np.ndarray, k: int, placed: int):
+    """The best class of each word of a part, all other words staying where they are."""
+    classes = len(table)
+    width = 2 * classes + 1
+
+    def close(part: int, counts: np.ndarray) -> dict:
+        words = np.flatnonzero(counts.any(1))
+        words = words[part * PART + words < placed]
+        found = []
+        for w in words.tolist():
+            row, own = counts[w].astype(np.float64), int(label[part * PART + w])
+            found.append(best_class(table, own, row[:classes], row[classes : 2 * classes], row[-1], k)[0])
+        return {"symbol": part * PART + words, "class": found}
+
+    def run(batches):
+        at, counts = None, np.zeros((PART, width), np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part, key, n = (batch.column(c)[i].as_py() for c in ("part", "key", "n"))
+                if part != at and at is not None:
+                    yield close(at, counts)
+                    counts[:] = 0
+                at = part
+                counts.ravel()[np.frombuffer(key, np.int32)] += np.frombuffer(n, np.int32)  # a key once a row
+        if at is not None:
+            yield close(at, counts)
+
+    return run
+
+
+def _gain(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+
+def best_class(table: np.ndarray, a: int, out_w: np.ndarray, in_w: np.ndarray, self_pairs: float, k: int) -> tuple[int, np.ndarray]:
+    """The class below ``k`` that most raises the class bigram likelihood for a word now in ``a``, and the table without it.
+
+    ``out_w`` and ``in_w`` count the classes after and before the word, itself in its class included. Ties stay where they are.
+    """
+    out_w, in_w = out_w.copy(), in_w.copy()
+    out_w[a] -= self_pairs
+    in_w[a] -= self_pairs
+    base = table.copy()
+    base[a] -= out_w
+    base[:, a] -= in_w
+    base[a, a] -= self_pairs
+    # What the word adds as a neighbour of a class does not depend on its own class.
+    rows, cols = base.sum(axis=1) + in_w, base.sum(axis=0) + out_w
+    choice = np.append(np.arange(k), a) if a >= k else np.arange(k)
+    cells = _gain(base)
+    # Likelihood: cells minus row and column totals; only row, column and corner of the target change.
+    with_row = _gain(base[choice] + out_w[None, :]) - cells[choice]
+    with_col = (_gain(base[:, choice] + in_w[:, None]) - cells[:, choice]).T
+    span = np.arange(len(choice))
+    corner = _gain(base[choice, choice] + out_w[choice] + in_w[choice] + self_pairs) - cells[choice, choice]
+    score = with_row.sum(axis=1) + with_col.sum(axis=1) + corner - with_row[span, choice] - with_col[span, choice]
+    score -= _gain(rows[choice] + out_w.sum() + self_pairs) - _gain(rows[choice])
+    score -= _gain(cols[choice] + in_w.sum() + self_pairs) - _gain(cols[choice])
+    b = int(np.argmax(score > score.max() - 1e-9))
+    own = int(np.flatnonzero(choice == a)[0])
+    best = a if score[b] <= score[own] + 1e-9 else int(choice[b])
+    base[best] += out_w
+    base[:, best] += in_w
+    base[best, best] += self_pairs
+    return best, base
+
+
 def exchange(pairs: np.ndarray, counts: np.ndarray, frequent: int, size: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of each symbol: frequent ones move to the class that most raises the class bigram likelihood.
 
@@ -130,38 +244,11 @@ def exchange(pairs: np.ndarray, counts: np.ndarray, frequent: int, size: int, cl
     table = hot.T @ own @ hot
     right, left = own @ hot, own.T @ hot  # bigrams of each symbol with each class after and before it
 
-    def gain(x: np.ndarray) -> np.ndarray:
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
-
     for _ in range(sweeps):
         moved = 0
         for w in np.argsort(-total[:frequent], kind="stable"):
-            a, self_pairs = label[w], own[w, w]
-            out_w, in_w = right[w].copy(), left[w].copy()
-            out_w[a] -= self_pairs
-            in_w[a] -= self_pairs
-            base = table.copy()
-            base[a] -= out_w
-            base[:, a] -= in_w
-            base[a, a] -= self_pairs
-            # What the word adds as a neighbour of a class does not depend on its own class.
-            rows, cols = base.sum(axis=1) + in_w, base.sum(axis=0) + out_w
-            cells = gain(base)
-            # Likelihood: cells minus row and column totals; only row, column and corner of the target change.
-            with_row = gain(base[:k] + out_w[None, :]) - cells[:k]
-            with_col = (gain(base[:, :k] + in_w[:, None]) - cells[:, :k]).T
-            span = np.arange(k)
-            corner = gain(base[span, span] + out_w[:k] + in_w[:k] + self_pairs) - cells[span, span]
-            score = with_row.sum(axis=1) + with_col.sum(axis=1) + corner - with_row[span, span] - with_col[span, span]
-            score -= gain(rows[:k] + out_w.sum() + self_pairs) - gain(rows[:k])
-            score -= gain(cols[:k] + in_w.sum() + self_pairs) - gain(cols[:k])
-            b = int(np.argmax(score > score.max() - 1e-9))
-            if score[b] <= score[a] + 1e-9:
-                b = a
-            table = base
-            table[b] += out_w
-            table[:, b] += in_w
-            table[b, b] += self_pairs
+            a = label[w]
+            b, table = best_class(table, a, right[w], left[w], own[w, w], k)
             if b != a:
                 moved += 1
                 label[w] = b
@@ -174,19 +261,43 @@ def exchange(pairs: np.ndarray, counts: np.ndarray, frequent: int, size: int, cl
     return label
 
 
+def _frequent(counts: DataFrame) -> tuple[list[bytes], list[int]]:
+    """The words of the largest counts, most frequent first: whole bands of equal counts, as many as ``KNOWN`` holds.
+
+    The least count is found from the number of words in each band of a sixty-fourth of a power of two.
+    """
+    band = F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int")
+    taken, least = 0, None
+    for r in sorted(counts.groupBy(band.alias("b")).agg(F.count("*").alias("w"), F.min("n").alias("n")).collect(), reverse=True):
+        taken += r["w"]
+        if taken > KNOWN:
+            break
+        least = r["n"]
+    if least is None:
+        return [], []
+    head = counts.where(F.col("n") >= least).toArrow()
+    pairs = sorted(zip(head.column("n").to_pylist(), map(bytes, head.column("word").to_pylist())), key=lambda x: (-x[0], x[1]))
+    return [w for _, w in pairs], [n for n, _ in pairs]
+
+
 class ClassModel:
     """Classes, transitions and class sizes: bounded by ``KNOWN``, ``CLASSES`` and ``SHAPES``."""
 
     def __init__(self, counts: DataFrame, training: DataFrame) -> None:
-        head = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toArrow()
-        lexicon = Lexicon([bytes(w) for w in head.column("word").to_pylist()], head.column("n").to_pylist())
-        seen = map_arrow(training, _bigrams(lexicon), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-        pairs, n = (seen.column(c).to_numpy() for c in ("pair", "n"))
-        size, base = lexicon.size, lexicon.base
-        label = exchange(pairs, n, base, size)
-        classes = int(label.max()) + 1
-        table = np.zeros((classes, classes))
-        np.add.at(table, (label[pairs // size], label[pairs % size]), n)
+        lexicon = Lexicon(*_frequent(counts))
+        core, base = lexicon.core, lexicon.base
+        pairs, n = self._pairs(training, lexicon, lexicon.to_core, core + SHAPES)
+        small = exchange(pairs, n, core, core + SHAPES)
+        k = int(small[:core].max()) + 1
+        classes = k + SHAPES
+        small = np.concatenate([small[:core], k + np.arange(SHAPES)])
+        label = small[lexicon.to_core]  # words beyond the core begin with their shape
+        table = self._table(training, lexicon, label, classes)
+        for _ in range(ROUNDS if base > core else 0):
+            seen = map_arrow(training, _contexts(lexicon, label, classes), "part bigint, key binary, n binary")
+            chosen = map_arrow(seen.repartition("part").sortWithinPartitions("part"), _choose(label, table, k, base), "symbol bigint, class bigint").toArrow()
+            label[chosen.column("symbol").to_numpy()] = chosen.column("class").to_numpy()
+            table = self._table(training, lexicon, label, classes)
         # Distinct words by shape over the corpus; placed words count in their own class instead.
         last = F.conv(F.hex(F.substring("word", -1, 1)), 16, 10).cast("int").bitwiseAND(3)
         band = F.floor(F.least(F.octet_length("word"), F.lit(15)) / 4).cast("int")
@@ -204,6 +315,19 @@ class ClassModel:
         self.log_count = np.log10(lexicon.counts + 1)
 
 
+    @staticmethod
+    def _pairs(training: DataFrame, lexicon: Lexicon, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        seen = map_arrow(training, _bigrams(lexicon, kinds, size), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+        return seen.column("pair").to_numpy(), seen.column("n").to_numpy()
+
+    def _table(self, training: DataFrame, lexicon: Lexicon, label: np.ndarray, classes: int) -> np.ndarray:
+        """Class bigrams of the training texts."""
+        pairs, n = self._pairs(training, lexicon, label, classes)
+        table = np.zeros((classes, classes))
+        table[pairs // classes, pairs % classes] = n
+        return table
+
+
 def _score(model: ClassModel):
     """Per text: the parts of its score known here, and the words whose counts are elsewhere."""
     lexicon, label = model.lexicon, model.label
@@ -253,14 +377,14 @@ def class_scores(docs: DataFrame, training: Column, text: str = "text") -> DataF
     rare = parts.select(f"{OWN}row", zipped.alias("z")).select(f"{OWN}row", "z.rare", "z.times")
     named = counts.select(F.xxhash64("word").alias("rare"), F.log10(F.col("n") + 1).alias("log"))
     joined = rare.join(named, "rare").groupBy(f"{OWN}row").agg(
-        F.sum(F.col("times") * F.col("log")).alias("more_logs"), F.sum("times").alias("more_hits")
+        F.sum(F.col("times") * F.col("log")).alias(f"{OWN}more_logs"), F.sum("times").alias(f"{OWN}more_hits")
     )
     out = parts.join(joined, f"{OWN}row", "left")
-    logs = F.col(f"{OWN}logs") + F.coalesce("more_logs", F.lit(0.0))
+    logs = F.col(f"{OWN}logs") + F.coalesce(f"{OWN}more_logs", F.lit(0.0))
     return out.withColumns({
         f"{OWN}n_tokens": F.col(f"{OWN}n"),
-        f"{OWN}n_known": F.col(f"{OWN}hits") + F.coalesce("more_hits", F.lit(0)),
+        f"{OWN}n_known": F.col(f"{OWN}hits") + F.coalesce(f"{OWN}more_hits", F.lit(0)),
         f"{OWN}train_tokens": F.lit(n).cast("long"),
         f"{OWN}base_score": logs - F.col(f"{OWN}n") * F.log10(F.lit(float(n + v + 1))),
         f"{OWN}score": logs + F.col(f"{OWN}path"),
-    }).drop(*[f"{OWN}{c}" for c in ("row", "n", "hits", "logs", "path", "rare", "times")], "more_logs", "more_hits")
+    }).drop(*[f"{OWN}{c}" for c in ("row", "n", "hits", "logs", "path", "rare", "times")], f"{OWN}more_logs", f"{OWN}more_hits")

@@ -132,7 +132,8 @@ def test_contamination(spark, docs):
 
 def test_class_scores(docs, monkeypatch):
     monkeypatch.setattr(brown, "KNOWN", 20)  # most words come by the join
-    monkeypatch.setattr(brown, "FREQUENT", 10)
+    monkeypatch.setattr(brown, "PLACED", 2)
+    monkeypatch.setattr(brown, "CORE", 5)
     held = folds(F.col("doc_id"), 7) == 2
     got = brown.class_scores(docs, ~held).collect()
     split = [(brown.tokens((t or "").encode()), zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2) for i, t in TEXTS]
