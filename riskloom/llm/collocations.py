@@ -1,11 +1,12 @@
 """Phrases that occur together more often than their parts, from sorted streams of counts.
 
-Counting goes level by level: words, pairs, then phrases of three and four, each only where all shorter parts may
-be frequent. What may be frequent is a bitmap of fixed size, so it only saves work; counts are exact. The frequent
-phrases are then laid out as streams in two orders. Sorted by their words from the last to the first, every phrase follows
-the phrases that it ends with; sorted from the first to the last, those that it begins with. One pass over each
-stream, with at most four open phrases, merges the levels in lockstep: it hands every phrase the counts of its
-parts and every part the largest count among its extensions by one word.
+Texts are turned once into slices of numbered words. What may be frequent is found level by level, words first, by
+counts of digests, and told to the tasks as bitmaps of fixed size; that only saves work, since whatever may be
+frequent is then counted as strings. The frequent phrases are then laid out as
+streams in two orders. Sorted by their words from the last to the first, every phrase follows the phrases that it ends
+with; sorted from the first to the last, those that it begins with. One pass over each stream, with at most four open
+phrases, merges the levels in lockstep: it hands every phrase the counts of its parts and every part the largest
+count among its extensions by one word.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.llm.base import OWN, map_arrow
+from riskloom.llm.base import map_arrow, small_batches
 from riskloom.llm.squares import mix
 from riskloom.llm.wordstream import SLICE, numbered, texts_of
 from riskloom.session import pin
@@ -31,6 +32,8 @@ UNKNOWN = "und"
 BITS_LEAST, BITS_MOST = 1 << 18, 1 << 27  # of the bitmap: 32 kB to 16 MB
 BITS_EACH = 16
 SALTS = 64
+FLUSH = 1 << 20  # digests a task holds before it hands them on
+PART = 1 << 22  # words for each part in which digests are counted
 WORDS = [f"w{k}" for k in range(1, MAX_WORDS + 1)]
 
 _CUT = b"\xff"  # no byte of UTF-8
@@ -45,42 +48,137 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).replace(_CUT, b" \xff ").split()
 
 
-class _Bitmap:
-    """Tells by hash whether a phrase may be frequent; never says no to one that is."""
+# A slice: its languages, its words one after the other, for each number the places of its language and its word, its
+# digest and its count, and the numbers of all words in their order, -1 wherever a piece or text ends.
+_SLICES = "langs array<string>, words binary, lang_at binary, word_at binary, digests binary, counts binary, ids binary"
+
+
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def slice_of(parts: list[tuple[bytes, list[bytes]]]) -> dict:
+        langs = [*dict.fromkeys(lang for lang, _ in parts)]
+        seeds = [xxhash.xxh32_intdigest(x) for x in langs]
+        code, table = {x: i for i, x in enumerate(langs)}, {_CUT: 0}
+        ids = np.concatenate([numbered([*w, _CUT], table) for _, w in parts])
+        lang = np.repeat([code[x] for x, _ in parts], [len(w) + 1 for _, w in parts])
+        words = [*table]
+        keys, names = np.unique(lang * len(words) + ids, return_inverse=True)
+        lang_at, word_at = np.divmod(keys, len(words))
+        digests = [xxhash.xxh64_intdigest(words[w], seeds[x]) for x, w in zip(lang_at.tolist(), word_at.tolist())]
+        names[word_at[names] == 0] = -1
+        return {
+            "langs": [[x.decode() for x in langs]], "words": [b" ".join(words)], "lang_at": [lang_at.astype(np.int32).tobytes()],
+            "word_at": [word_at.astype(np.int32).tobytes()], "digests": [np.array(digests, np.uint64).tobytes()],
+            "counts": [np.bincount(names[names >= 0], minlength=len(keys)).astype(np.int32).tobytes()], "ids": [names.astype(np.int32).tobytes()],
+        }
 
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
+    parts, held = [], 0
+    for batch in batches:
+        langs = batch.column("lang").cast(pa.binary()).to_pylist()
+        for lang, text in zip(langs, texts_of(batch.column("text"))):
+            parts.append((lang, words_of(text)))
+            held += len(text)
+            if held >= SLICE:
+                yield slice_of(parts)
+                parts, held = [], 0
+    if parts:
+        yield slice_of(parts)
 
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes & self.mask
-        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for langs, at, counts in zip(*(batch.column(c).to_pylist() for c in ("langs", "lang_at", "counts"))):
+            n = np.bincount(np.frombuffer(at, np.int32), np.frombuffer(counts, np.int32), len(langs))
+            yield {"lang": langs, "n": n.astype(np.int64)}
 
-def _word_hash(lang: bytes, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, xxhash.xxh32_intdigest(lang))
 
+def _word_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            counts = np.frombuffer(batch.column("counts")[i].as_py(), np.int32).astype(np.int64)
+            yield np.frombuffer(batch.column("digests")[i].as_py(), np.uint64)[counts > 0], counts[counts > 0]
 
-def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+
+def _pair_digest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mix(a * _PAIR + b)
 
 
-def _bitmap(frequent: DataFrame, order: int) -> np.ndarray:
-    """The bitmap of frequent words or pairs. Its size follows their number up to ``BITS_MOST`` and is bounded by it."""
-    count = frequent.count()
-    size = min(BITS_MOST, max(BITS_LEAST, 1 << (count * BITS_EACH).bit_length()))
+def _may(bits: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """Whether what has these digests may be frequent; never no for what is."""
+    at = digests & np.uint64(len(bits) * 8 - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _packed(parts: int, held: list[tuple[np.ndarray, np.ndarray]], min_count: int) -> dict:
+    """Digests cut to 32 bits and a part, each once with its count; counts beyond ``min_count`` say no more than it does."""
+    digests = np.concatenate([d for d, _ in held]) & np.uint64((parts << 32) - 1)
+    order = np.argsort(digests)
+    digests, counts = digests[order], np.concatenate([c for _, c in held])[order]
+    first = np.flatnonzero(np.concatenate([[True], digests[1:] != digests[:-1]]))
+    digests, counts = digests[first], np.minimum(np.add.reduceat(counts, first), min_count).astype(np.uint32)
+    part = digests >> np.uint64(32)
+    ends = [*(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    low, columns, at = digests.astype(np.uint32), {"part": [], "low": [], "counts": []}, 0
+    for end in ends:
+        columns["part"].append(int(part[at]))
+        columns["low"].append(low[at:end].tobytes())
+        columns["counts"].append(counts[at:end].tobytes())
+        at = end
+    return columns
+
+
+def _often(min_count: int):
+    """Frequent digests of a stream sorted by part."""
+
+    def close(part: int, low: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
+        digests = np.concatenate(low)
+        order = np.argsort(digests)
+        digests = digests[order]
+        first = np.flatnonzero(np.concatenate([[True], digests[1:] != digests[:-1]]))
+        total = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), first)
+        return (np.int64(part) << np.int64(32)) + digests[first[total >= min_count]].astype(np.int64)
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        at, low, counts = None, [], []
         for batch in batches:
-            langs = batch.column("lang").cast(pa.binary()).to_pylist()
-            hashes = [
-                np.array([_word_hash(x, w) for x, w in zip(langs, batch.column(c).cast(pa.binary()).to_pylist())], np.uint64)
-                for c in WORDS[:order]
-            ]
-            found = hashes[0] if order == 1 else _pair_hash(*hashes)
-            yield {"at": np.unique(found & np.uint64(size - 1)).astype(np.int64)}
-
-    at = map_arrow(frequent.select("lang", *WORDS[:order]), places, "at bigint")
+            for i in range(batch.num_rows):
+                part, a, c = (batch.column(n)[i].as_py() for n in ("part", "low", "counts"))
+                if part != at and low:
+                    yield {"digest": close(at, low, counts)}
+                    low, counts = [], []
+                at = part
+                low.append(np.frombuffer(a, np.uint32))
+                counts.append(np.frombuffer(c, np.uint32))
+        if low:
+            yield {"digest": close(at, low, counts)}
+
+    return run
+
+
+def _bitmap(slices: DataFrame, columns: list[str], digests, total: int, min_count: int) -> np.ndarray:
+    """The bitmap of the frequent among the digests that ``digests`` gives for slices.
+
+    Its size follows their number up to ``BITS_MOST`` and is bounded by it. Digests are counted in parts, whose number
+    follows that of all words, so that a part has some ``PART`` entries at most; a digest that shares its bits with
+    another may pass as frequent, which costs work and no result.
+    """
+    parts = 1 << max(0, (total // PART).bit_length())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held, size = [], 0
+        for found in digests(batches):
+            held.append(found)
+            size += len(found[0])
+            if size >= FLUSH:
+                yield _packed(parts, held, min_count)
+                held, size = [], 0
+        if size:
+            yield _packed(parts, held, min_count)
+
+    counted = map_arrow(slices.select(*columns), scan, "part bigint, low binary, counts binary")
+    often = pin(map_arrow(counted.repartition("part").sortWithinPartitions("part"), _often(min_count), "digest bigint"))
+    size = min(BITS_MOST, max(BITS_LEAST, 1 << (often.count() * BITS_EACH).bit_length()), parts << 32)
+    at = often.select(F.col("digest").bitwiseAND(size - 1).alias("at"))
     chunks = at.groupBy(F.shiftright("at", 15).alias("chunk")).agg(F.expr("bitmap_construct_agg(at & 32767)").alias("bits"))
     bits = np.zeros(size // 8, np.uint8)
     for row in chunks.collect():  # BITS_MOST at most
@@ -89,93 +187,68 @@ def _bitmap(frequent: DataFrame, order: int) -> np.ndarray:
     return bits
 
 
-class _Slice:
-    """Words of some texts as numbers with the language of each; number 0 ends pieces and texts."""
-
-    def __init__(self, parts: list[tuple[bytes, list[bytes]]]):
-        self.langs = [*dict.fromkeys(lang for lang, _ in parts)]
-        code = {x: i for i, x in enumerate(self.langs)}
-        table = {_CUT: 0}
-        self.ids = np.concatenate([numbered([*w, _CUT], table) for _, w in parts])
-        self.lang = np.concatenate([np.full(len(w) + 1, code[x]) for x, w in parts])
-        self.words = [*table]
-
-    def named(self) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        """A number for each (language, word) of the slice, by place, and what each number stands for; cuts are -1."""
-        keys, names = np.unique(self.lang * len(self.words) + self.ids, return_inverse=True)
-        pairs = [divmod(k, len(self.words)) for k in keys.tolist()]
-        cut = np.array([w == 0 for _, w in pairs])
-        return np.where(cut[names], -1, names), pairs
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Slice]:
-    parts, held = [], 0
-    for batch in batches:
-        langs = batch.column("lang").cast(pa.binary()).to_pylist()
-        for lang, text in zip(langs, texts_of(batch.column("text"))):
-            words = words_of(text)
-            parts.append((lang, words))
-            held += len(text)
-            if held >= SLICE:
-                yield _Slice(parts)
-                parts, held = [], 0
-    if parts:
-        yield _Slice(parts)
-
+def _levels(digests: np.ndarray, ids: np.ndarray, bitmaps: list[np.ndarray], top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For phrases of 1 to ``top`` words: where they start and their digests, wherever both phrases of one word less may be frequent."""
+    word = np.append(digests, np.uint64(0))[ids]  # a cut takes the last
+    live, at, here = ids >= 0, np.flatnonzero(ids >= 0), word
+    for order in range(1, top + 1):
+        if order > 1:
+            at = np.flatnonzero(live[:-1] & live[1:])
+            longer = np.zeros(len(ids), np.uint64)
+            longer[at] = _pair_digest(here[at], word[at + order - 1])
+            here = longer
+        yield order, at, here[at]
+        if order <= len(bitmaps):
+            live = np.zeros(len(ids), bool)
+            live[at[_may(bitmaps[order - 1], here[at])]] = True
 
-def _counted(slice_: _Slice, pairs: list[tuple[int, int]], grams: np.ndarray) -> dict:
-    """Columns of the distinct rows of ``grams``, which are numbers of ``pairs`` with -1 behind shorter ones."""
-    if len(grams):
-        name = grams[:, 0] + 1
-        for column in grams.T[1:]:  # names of ever longer heads stay small
-            name = np.unique(name * (len(pairs) + 1) + column + 1, return_inverse=True)[1]
-        _, first, counts = np.unique(name, return_index=True, return_counts=True)
-        grams = grams[first]
-    else:
-        counts = np.zeros(0, np.int64)
-    words = [slice_.words[w] for _, w in pairs]
-    langs = [slice_.langs[x] for x, _ in pairs]
-    columns = {"lang": [langs[i] for i in grams[:, 0].tolist()]}
-    for k, c in enumerate(WORDS):
-        columns[c] = [words[i] if i >= 0 else None for i in grams[:, k].tolist()] if k < grams.shape[1] else [None] * len(grams)
-    columns = {c: pa.array(x, pa.binary()).cast(pa.string()) for c, x in columns.items()}
-    return columns | {"c": counts.astype(np.int64)}
 
+def _level_digests(sent, order: int):
+    """Digests of the phrases of ``order`` words, with their counts by slice."""
 
-_COUNTS = f"lang string, {', '.join(f'{w} string' for w in WORDS)}, c bigint"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                digests = np.frombuffer(batch.column("digests")[i].as_py(), np.uint64)
+                ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int32)
+                *_, (_, _, found) = _levels(digests, ids, sent.value, order)
+                if len(found):
+                    yield np.unique(found, return_counts=True)
 
+    return run
 
-def _counts(texts: DataFrame, order: int, known: np.ndarray | None) -> DataFrame:
-    """Counts of phrases: of words for order 1, of pairs for 2, of three and four words for 3.
 
-    ``known`` is the bitmap of the frequent phrases one word (order 3: of pairs) shorter.
-    """
-    sent = texts.sparkSession.sparkContext.broadcast(known)
+def _phrases(slices: DataFrame, bitmaps: list[np.ndarray]) -> DataFrame:
+    """Counts of the phrases of one to ``MAX_WORDS`` words that may be frequent."""
+    sent = slices.sparkSession.sparkContext.broadcast(bitmaps)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        may = None if order == 1 else _Bitmap(sent.value)
-        for part in _slices(batches):
-            ids, pairs = part.named()
-            if order == 1:
-                yield _counted(part, pairs, ids[ids >= 0][:, None])
-                continue
-            hashes = np.array([_word_hash(part.langs[x], part.words[w]) for x, w in pairs], np.uint64)
-            here = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-            if order == 2:
-                good = may(hashes)
-                here = here[good[ids[here]] & good[ids[here + 1]]]
-                yield _counted(part, pairs, np.stack([ids[here], ids[here + 1]], 1))
-                continue
-            # Pairs that may be frequent, one after the other.
-            follows = np.zeros(len(ids) + 2, bool)
-            follows[here] = may(_pair_hash(hashes[ids[here]], hashes[ids[here + 1]]))
-            three = np.flatnonzero(follows[:-1] & follows[1:])
-            yield _counted(part, pairs, ids[three[:, None] + np.arange(3)])
-            four = three[follows[three + 2]]
-            yield _counted(part, pairs, ids[four[:, None] + np.arange(4)])
-
-    found = map_arrow(texts, scan, _COUNTS)
-    return found.groupBy("lang", *WORDS).agg(F.sum("c").alias("f"))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                names, digests, ids = row["words"].split(b" "), np.frombuffer(row["digests"], np.uint64), np.frombuffer(row["ids"], np.int32)
+                lang_at = np.frombuffer(row["lang_at"], np.int32)
+                word = [names[w] for w in np.frombuffer(row["word_at"], np.int32).tolist()]
+                for order, at, found in _levels(digests, ids, sent.value, MAX_WORDS):
+                    at = at[_may(sent.value[order - 1], found)]
+                    grams = ids[at[:, None] + np.arange(order)].astype(np.int64)
+                    key = grams[:, 0]
+                    for column in grams.T[1:]:  # numbers of ever longer heads stay small
+                        key = np.unique(key * len(word) + column, return_inverse=True)[1]
+                    _, first, times = np.unique(key, return_index=True, return_counts=True)
+                    yield _strings(row["langs"], word, lang_at, grams[first], times)
+
+    found = map_arrow(slices, scan, "lang string, phrase string, c bigint")
+    counted = found.groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
+    parts = F.split("phrase", " ")
+    return counted.select("lang", *[F.get(parts, F.lit(i)).alias(w) for i, w in enumerate(WORDS)], "f")
+
+
+def _strings(langs: list[str], word: list[bytes], lang_at: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> dict:
+    columns = [[word[i] for i in column.tolist()] for column in grams.T]
+    joined = columns[0] if len(columns) == 1 else [b" ".join(x) for x in zip(*columns)]
+    lang = [langs[i] for i in lang_at[grams[:, 0]].tolist()]
+    return {"lang": lang, "phrase": pa.array(joined, pa.binary()).cast(pa.string()), "c": counts.astype(np.int64)}
 
 
 # A phrase on its way through the streams: its count, the counts of the phrases it ends and begins with (by their
@@ -289,12 +362,16 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
     """
     texts = docs.select(F.coalesce(docs[f"`{lang}`"].cast("string"), F.lit(UNKNOWN)).alias("lang"), docs[f"`{text}`"].cast("string").alias("text"))
     often = F.col("f") >= min_count
-    words = pin(_counts(texts, 1, None))
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    one = words.where(often)
-    two = pin(_counts(texts, 2, _bitmap(one, 1)).where(often))
-    more = pin(_counts(texts, 3, _bitmap(two, 2)).where(often))
-    counts = one.unionByName(two).unionByName(more)
+    with small_batches(docs.sparkSession):
+        slices = pin(map_arrow(texts, _encode, _SLICES))
+        totals = map_arrow(slices.select("langs", "lang_at", "counts"), _totals, "lang string, n bigint")
+        totals = pin(totals.groupBy("lang").agg(F.sum("n").alias("n")))
+        total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        bitmaps = [_bitmap(slices, ["digests", "counts"], _word_digests, total, min_count)]
+        for order in range(2, MAX_WORDS + 1):
+            sent = docs.sparkSession.sparkContext.broadcast(bitmaps)
+            bitmaps = [*bitmaps, _bitmap(slices, ["digests", "ids"], _level_digests(sent, order), total, min_count)]
+        counts = pin(_phrases(slices, bitmaps).where(often))
     none = F.lit(None).cast("bigint")
     stream = counts.select(*_KEY, "f", *[none.alias(p) for p in _PARTS], none.alias("ext"), F.lit(False).alias("note"))
     out = _along(_along(stream, counts, True), counts, False)

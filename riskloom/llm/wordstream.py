@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 4 << 20  # bytes of text whose words are held at once; a longer text is a slice of its own
+SLICE = 1 << 20  # bytes of text whose words are held at once; a longer text is a slice of its own
 
 
 def texts_of(column: pa.Array) -> Iterator[bytes]:
