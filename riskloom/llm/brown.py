@@ -292,7 +292,8 @@ class ClassModel:
         classes = k + SHAPES
         small = np.concatenate([small[:core], k + np.arange(SHAPES)])
         label = small[lexicon.to_core]  # words beyond the core begin with their shape
-        table = self._table(training, lexicon, label, classes)
+        table = np.zeros((classes, classes))  # of these labels, without another pass
+        np.add.at(table, (small[pairs // (core + SHAPES)], small[pairs % (core + SHAPES)]), n)
         for _ in range(ROUNDS if base > core else 0):
             seen = map_arrow(training, _contexts(lexicon, label, classes), "part bigint, key binary, n binary")
             chosen = map_arrow(seen.repartition("part").sortWithinPartitions("part"), _choose(label, table, k, base), "symbol bigint, class bigint").toArrow()
