@@ -48,27 +48,53 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).replace(_CUT, b" \xff ").split()
 
 
-# A slice: its languages, its words one after the other, for each number the places of its language and its word, its
-# digest and its count, and the numbers of all words in their order, -1 wherever a piece or text ends.
-_SLICES = "langs array<string>, words binary, lang_at binary, word_at binary, digests binary, counts binary, ids binary"
+# A slice: its languages, its words one after the other, for each number the places of its language and its word and its
+# count, and the numbers of all words in their order, one more than they are and 0 wherever a piece or text ends.
+_SLICES = "langs array<string>, words binary, lang_at binary, word_at binary, counts binary, ids binary"
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers of 32 bits as their lowest bytes, then the next ones …: bytes that hardly change lie together and pack well."""
+    return np.ascontiguousarray(values.astype(np.uint32)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    flat = np.frombuffer(planes, np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(flat.T).view(np.uint32).ravel()
+
+
+def _digests(langs: list[str], words: list[bytes], lang_at: np.ndarray, word_at: np.ndarray) -> np.ndarray:
+    seeds = [xxhash.xxh32_intdigest(x.encode()) for x in langs]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(words[w], seeds[x]) for x, w in zip(lang_at.tolist(), word_at.tolist())], np.uint64)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Slices as numbers: ``digests`` of all of theirs, ``ids`` with -1 for ends, and the plain columns."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+            row |= {c: _numbers(row[c]).astype(np.int64) for c in ("lang_at", "word_at", "counts", "ids") if c in row}
+            row["words"] = row["words"].split(b" ")
+            row["digests"] = _digests(row["langs"], row["words"], row["lang_at"], row["word_at"])
+            if "ids" in row:
+                row["ids"] -= 1
+            yield row
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     def slice_of(parts: list[tuple[bytes, list[bytes]]]) -> dict:
         langs = [*dict.fromkeys(lang for lang, _ in parts)]
-        seeds = [xxhash.xxh32_intdigest(x) for x in langs]
         code, table = {x: i for i, x in enumerate(langs)}, {_CUT: 0}
         ids = np.concatenate([numbered([*w, _CUT], table) for _, w in parts])
         lang = np.repeat([code[x] for x, _ in parts], [len(w) + 1 for _, w in parts])
         words = [*table]
         keys, names = np.unique(lang * len(words) + ids, return_inverse=True)
         lang_at, word_at = np.divmod(keys, len(words))
-        digests = [xxhash.xxh64_intdigest(words[w], seeds[x]) for x, w in zip(lang_at.tolist(), word_at.tolist())]
         names[word_at[names] == 0] = -1
         return {
-            "langs": [[x.decode() for x in langs]], "words": [b" ".join(words)], "lang_at": [lang_at.astype(np.int32).tobytes()],
-            "word_at": [word_at.astype(np.int32).tobytes()], "digests": [np.array(digests, np.uint64).tobytes()],
-            "counts": [np.bincount(names[names >= 0], minlength=len(keys)).astype(np.int32).tobytes()], "ids": [names.astype(np.int32).tobytes()],
+            "langs": [[x.decode() for x in langs]], "words": [b" ".join(words)], "lang_at": [_planes(lang_at)], "word_at": [_planes(word_at)],
+            "counts": [_planes(np.bincount(names[names >= 0], minlength=len(keys)))], "ids": [_planes(names + 1)],
         }
 
     parts, held = [], 0
@@ -87,15 +113,14 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for langs, at, counts in zip(*(batch.column(c).to_pylist() for c in ("langs", "lang_at", "counts"))):
-            n = np.bincount(np.frombuffer(at, np.int32), np.frombuffer(counts, np.int32), len(langs))
+            n = np.bincount(_numbers(at), _numbers(counts), len(langs))
             yield {"lang": langs, "n": n.astype(np.int64)}
 
 
 def _word_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            counts = np.frombuffer(batch.column("counts")[i].as_py(), np.int32).astype(np.int64)
-            yield np.frombuffer(batch.column("digests")[i].as_py(), np.uint64)[counts > 0], counts[counts > 0]
+    for row in _read(batches):
+        some = row["counts"] > 0
+        yield row["digests"][some], row["counts"][some]
 
 
 def _pair_digest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,8 +146,8 @@ def _packed(parts: int, held: list[tuple[np.ndarray, np.ndarray]], min_count: in
     low, columns, at = digests.astype(np.uint32), {"part": [], "low": [], "counts": []}, 0
     for end in ends:
         columns["part"].append(int(part[at]))
-        columns["low"].append(low[at:end].tobytes())
-        columns["counts"].append(counts[at:end].tobytes())
+        columns["low"].append(_planes(low[at:end]))
+        columns["counts"].append(_planes(counts[at:end]))
         at = end
     return columns
 
@@ -147,15 +172,15 @@ def _often(min_count: int):
                     yield {"digest": close(at, low, counts)}
                     low, counts = [], []
                 at = part
-                low.append(np.frombuffer(a, np.uint32))
-                counts.append(np.frombuffer(c, np.uint32))
+                low.append(_numbers(a))
+                counts.append(_numbers(c))
         if low:
             yield {"digest": close(at, low, counts)}
 
     return run
 
 
-def _bitmap(slices: DataFrame, columns: list[str], digests, total: int, min_count: int) -> np.ndarray:
+def _bitmap(slices: DataFrame, digests, total: int, min_count: int) -> np.ndarray:
     """The bitmap of the frequent among the digests that ``digests`` gives for slices.
 
     Its size follows their number up to ``BITS_MOST`` and is bounded by it. Digests are counted in parts, whose number
@@ -175,7 +200,7 @@ def _bitmap(slices: DataFrame, columns: list[str], digests, total: int, min_coun
         if size:
             yield _packed(parts, held, min_count)
 
-    counted = map_arrow(slices.select(*columns), scan, "part bigint, low binary, counts binary")
+    counted = map_arrow(slices, scan, "part bigint, low binary, counts binary")
     often = pin(map_arrow(counted.repartition("part").sortWithinPartitions("part"), _often(min_count), "digest bigint"))
     size = min(BITS_MOST, max(BITS_LEAST, 1 << (often.count() * BITS_EACH).bit_length()), parts << 32)
     at = often.select(F.col("digest").bitwiseAND(size - 1).alias("at"))
@@ -207,13 +232,10 @@ def _level_digests(sent, order: int):
     """Digests of the phrases of ``order`` words, with their counts by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                digests = np.frombuffer(batch.column("digests")[i].as_py(), np.uint64)
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int32)
-                *_, (_, _, found) = _levels(digests, ids, sent.value, order)
-                if len(found):
-                    yield np.unique(found, return_counts=True)
+        for row in _read(batches):
+            *_, (_, _, found) = _levels(row["digests"], row["ids"], sent.value, order)
+            if len(found):
+                yield np.unique(found, return_counts=True)
 
     return run
 
@@ -223,32 +245,31 @@ def _phrases(slices: DataFrame, bitmaps: list[np.ndarray]) -> DataFrame:
     sent = slices.sparkSession.sparkContext.broadcast(bitmaps)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                names, digests, ids = row["words"].split(b" "), np.frombuffer(row["digests"], np.uint64), np.frombuffer(row["ids"], np.int32)
-                lang_at = np.frombuffer(row["lang_at"], np.int32)
-                word = [names[w] for w in np.frombuffer(row["word_at"], np.int32).tolist()]
-                for order, at, found in _levels(digests, ids, sent.value, MAX_WORDS):
-                    at = at[_may(sent.value[order - 1], found)]
-                    grams = ids[at[:, None] + np.arange(order)].astype(np.int64)
-                    key = grams[:, 0]
-                    for column in grams.T[1:]:  # numbers of ever longer heads stay small
-                        key = np.unique(key * len(word) + column, return_inverse=True)[1]
-                    _, first, times = np.unique(key, return_index=True, return_counts=True)
-                    yield _strings(row["langs"], word, lang_at, grams[first], times)
-
-    found = map_arrow(slices, scan, "lang string, phrase string, c bigint")
-    counted = found.groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
-    parts = F.split("phrase", " ")
-    return counted.select("lang", *[F.get(parts, F.lit(i)).alias(w) for i, w in enumerate(WORDS)], "f")
+        for row in _read(batches):
+            ids, word = row["ids"], [row["words"][w] for w in row["word_at"].tolist()]
+            for order, at, found in _levels(row["digests"], ids, sent.value, MAX_WORDS):
+                at = at[_may(sent.value[order - 1], found)]
+                grams = ids[at[:, None] + np.arange(order)]
+                key = grams[:, 0]
+                for column in grams.T[1:]:  # numbers of ever longer heads stay small
+                    key = np.unique(key * len(word) + column, return_inverse=True)[1]
+                _, first, times = np.unique(key, return_index=True, return_counts=True)
+                yield _strings(row["langs"], word, row["lang_at"], grams[first], times)
+
+    # Language and phrase are one key; no word has a line break.
+    counted = map_arrow(slices, scan, "phrase string, c bigint").groupBy("phrase").agg(F.sum("c").alias("f"))
+    phrase = F.substring_index("phrase", "\n", -1)
+    lang = F.expr("left(phrase, length(phrase) - length(substring_index(phrase, '\n', -1)) - 1)")
+    parts = F.split(phrase, " ")
+    return counted.select(lang.alias("lang"), *[F.get(parts, F.lit(i)).alias(w) for i, w in enumerate(WORDS)], "f")
 
 
 def _strings(langs: list[str], word: list[bytes], lang_at: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> dict:
+    heads = [x.encode() + b"\n" for x in langs]
     columns = [[word[i] for i in column.tolist()] for column in grams.T]
     joined = columns[0] if len(columns) == 1 else [b" ".join(x) for x in zip(*columns)]
-    lang = [langs[i] for i in lang_at[grams[:, 0]].tolist()]
-    return {"lang": lang, "phrase": pa.array(joined, pa.binary()).cast(pa.string()), "c": counts.astype(np.int64)}
+    joined = [heads[x] + p for x, p in zip(lang_at[grams[:, 0]].tolist(), joined)]
+    return {"phrase": pa.array(joined, pa.binary()).cast(pa.string()), "c": counts.astype(np.int64)}
 
 
 # A phrase on its way through the streams: its count, the counts of the phrases it ends and begins with (by their
@@ -367,11 +388,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
         totals = map_arrow(slices.select("langs", "lang_at", "counts"), _totals, "lang string, n bigint")
         totals = pin(totals.groupBy("lang").agg(F.sum("n").alias("n")))
         total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        bitmaps = [_bitmap(slices, ["digests", "counts"], _word_digests, total, min_count)]
+        bitmaps = [_bitmap(slices.drop("ids"), _word_digests, total, min_count)]
         for order in range(2, MAX_WORDS + 1):
             sent = docs.sparkSession.sparkContext.broadcast(bitmaps)
-            bitmaps = [*bitmaps, _bitmap(slices, ["digests", "ids"], _level_digests(sent, order), total, min_count)]
-        counts = pin(_phrases(slices, bitmaps).where(often))
+            bitmaps = [*bitmaps, _bitmap(slices.drop("counts"), _level_digests(sent, order), total, min_count)]
+        counts = pin(_phrases(slices.drop("counts"), bitmaps).where(often))
     none = F.lit(None).cast("bigint")
     stream = counts.select(*_KEY, "f", *[none.alias(p) for p in _PARTS], none.alias("ext"), F.lit(False).alias("note"))
     out = _along(_along(stream, counts, True), counts, False)
