@@ -1,6 +1,7 @@
-"""Groups of texts that share most of their word shingles: min-hash bands find pairs, exact sets verify them.
+"""Groups of texts that share most of their word shingles: SimHash and min-hash bands find pairs, exact sets verify them.
 
-Texts are filed under every band of ``ROWS`` min-hashes of their shingles. In each file all texts are first verified
+Texts that the fingerprints of ``simhash`` link are verified against one of their group. Three differing bits reach only
+texts that are almost the same, so bands find what else is similar enough. Texts are filed under every band of ``ROWS`` min-hashes of their shingles. In each file all texts are first verified
 against one of them; what that joins needs no further look. A pair of exactly ``SIMILAR`` shares none of the bands
 with probability (1 - 0.8 ** 5) ** 24 = 0.00007, a nearer one more rarely. The texts of files that are not joined yet
 are compared by their rarest shingles: two sets that are similar enough share one of the rarest fifth of each, so
@@ -20,6 +21,7 @@ from pyspark.sql.window import Window
 
 from riskloom.llm.base import OWN, map_arrow, small_batches
 from riskloom.llm.components import components
+from riskloom.llm.simhash import fingerprint, near_edges
 from riskloom.llm.wordstream import texts_of
 from riskloom.session import pin
 
@@ -74,13 +76,14 @@ def _words(batch: pa.RecordBatch, name: str) -> Iterator[list[bytes]]:
 
 def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        fp, size, keys = [], [], []
+        fp, size, keys, sim = [], [], [], []
         for words in _words(batch, f"{OWN}text"):
             values = shingles(words)
             fp.append(_name(words))
             size.append(len(values))
             keys.append(bands(values))
-        yield {n: batch.column(n) for n in batch.schema.names} | {f"{OWN}fp": fp, f"{OWN}size": size, f"{OWN}keys": keys}
+            sim.append(fingerprint(b" ".join(words), SHINGLE))
+        yield {n: batch.column(n) for n in batch.schema.names} | {f"{OWN}fp": fp, f"{OWN}size": size, f"{OWN}keys": keys, f"{OWN}sim": sim}
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -151,6 +154,17 @@ def _near() -> Column:
     return F.least("size_a", "size_b") >= SIMILAR * F.greatest("size_a", "size_b") - 1e-9
 
 
+def _linked(named: DataFrame) -> DataFrame:
+    """Pairs of texts (fp, size, sim) to verify: one of each group that SimHash links, with every other of near size."""
+    named = pin(named.distinct())
+    roots = components(near_edges(named.select(F.col("sim").alias("fp")).distinct()))
+    grouped = pin(named.join(roots, named["sim"] == roots["node"], "left").select("fp", "size", F.coalesce("root", "sim").alias("root")))
+    hubs = grouped.groupBy("root").agg(F.min(F.struct("fp", "size")).alias("h"), F.max("fp").alias("last")).where("h.fp < last")
+    pairs = grouped.join(hubs.select("root", "h"), "root").where("fp <> h.fp")
+    pairs = pairs.select(F.col("h.fp").alias("a"), F.col("h.size").alias("size_a"), F.col("fp").alias("b"), F.col("size").alias("size_b"))
+    return pairs.where(_near()).select("a", "b")
+
+
 def similar_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``fp`` and ``component`` under the prefix ``base.OWN``.
 
@@ -166,15 +180,16 @@ def _grouped(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     fp = f"{OWN}fp"
     given = docs.withColumn(f"{OWN}text", docs[f"`{text}`"].cast("string")).drop(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != f"{OWN}text")
-    rows = pin(map_arrow(given, _file, f"{schema}, {fp} bigint, {OWN}size int, {OWN}keys array<bigint>"))
+    rows = pin(map_arrow(given, _file, f"{schema}, {fp} bigint, {OWN}size int, {OWN}keys array<bigint>, {OWN}sim bigint"))
+    linked = pin(_linked(rows.select(F.col(fp).alias("fp"), F.col(f"{OWN}size").alias("size"), F.col(f"{OWN}sim").alias("sim"))))
     filed = rows.select(F.col(fp).alias("fp"), F.col(f"{OWN}size").alias("size"), F.explode(f"{OWN}keys").alias("key")).distinct()
     shared = filed.groupBy("key").agg(F.min(F.struct("fp", "size")).alias("h"), F.max("fp").alias("last")).where("h.fp < last")
     filed = pin(filed.join(shared.select("key", "h"), "key"))
-    named = filed.select("fp").distinct()
+    named = filed.select("fp").union(linked.select("a")).union(linked.select("b")).distinct()
     sets = map_arrow(docs.select(docs[f"`{text}`"].cast("string").alias("text")), _sets, "fp bigint, shingles binary")
     sets = pin(sets.join(named, "fp", "left_semi").dropDuplicates(["fp"]))
     stars = filed.where("fp <> h.fp").select(F.col("h.fp").alias("a"), F.col("h.size").alias("size_a"), F.col("fp").alias("b"), F.col("size").alias("size_b"))
-    stars = pin(stars.where(_near()).select("a", "b").distinct())
+    stars = pin(stars.where(_near()).select("a", "b").union(linked).distinct())
     edges = _verified(stars, sets)
     roots = components(edges).withColumnRenamed("node", "fp")
     rooted = filed.join(roots, "fp", "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root"))
@@ -187,4 +202,4 @@ def _grouped(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     rooted = pin(groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("first").alias(f"{OWN}component"))
     names = rooted.join(smallest, "root").select(F.col("fp").alias(fp), F.col("root").alias(f"{OWN}root"), f"{OWN}component")
-    return rows.drop(f"{OWN}size", f"{OWN}keys").join(names, fp)
+    return rows.drop(f"{OWN}size", f"{OWN}keys", f"{OWN}sim").join(names, fp)

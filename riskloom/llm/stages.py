@@ -23,7 +23,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate group: that of the smallest id, and of rows repeating it the first by content.
 
-    Texts are near from a similarity of 0.8 of their shingles of five words. A group without any id keeps
+    Pairs come from SimHash fingerprints of shingles of five words and, where those reach too little, from bands; texts
+    are near from an exact similarity of 0.8 of these shingles. A group without any id keeps
     its first row by content. Other columns are not looked at.
     """
     row = f"{OWN}row"

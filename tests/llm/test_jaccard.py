@@ -60,5 +60,21 @@ def test_stage_keeps_one_of_near_copies(spark):
     assert sorted(((r["doc_id"] or 0) for r in out.collect())) == [0, 1, 2]
 
 
+def test_stage_verifies_what_simhash_links(spark, monkeypatch):
+    """Every text's fingerprint is linked by the operator, and one row of what is linked and similar stays."""
+    words = [f"w{i}" for i in range(600)]
+    near = " ".join([*words, "end"])
+    texts = [" ".join(words), near, "one text of its own", None]
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    given, linked = [], []
+    edges, verified = jaccard.near_edges, jaccard._verified
+    monkeypatch.setattr(jaccard, "near_edges", lambda values: given.extend(r[0] for r in values.collect()) or edges(values))
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, sets: linked.append(pairs.count()) or verified(pairs, sets))
+    out = one_of_each_group(spark, rows, "")
+    assert sorted(given) == sorted(jaccard.fingerprint((t or "").encode(), 5) for t in texts)
+    assert linked[0] == 1
+    assert sorted(r["doc_id"] for r in out.collect()) == [0, 2, 3]
+
+
 def test_empty_table(spark):
     assert jaccard.similar_texts(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
