@@ -302,6 +302,16 @@ def knn_join(
 QUERY_LIMIT = 4_096
 
 
+def largest(scores: np.ndarray, ids: np.ndarray, take: int) -> np.ndarray:
+    """Positions of the ``take`` largest of each row, ties by id: only what reaches the last place is put in order."""
+    last = np.partition(-scores, take - 1, axis=1)[:, take - 1]
+    out = np.empty((len(scores), take), np.int64)
+    for i, row in enumerate(scores):
+        some = np.flatnonzero(~(-row > last[i]))  # not a number comes last, but is not left out
+        out[i] = some[np.lexsort((ids[some], -row[some]))[:take]]
+    return out
+
+
 def inner_product_top_k(
     queries: DataFrame, corpus: DataFrame, k: int = 3, id_col: str = "id", vec_col: str = "features",
     query_limit: int = QUERY_LIMIT,
@@ -335,7 +345,9 @@ def inner_product_top_k(
             ids = b["cid"].to_numpy()
             scores = q @ _matrix(b["cvec"], q.shape[1]).T
             take = min(k, len(ids))
-            order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :take]
+            if take == 0:
+                continue
+            order = largest(scores, ids, take)
             new = pd.DataFrame(
                 {
                     "query_id": np.repeat(q_ids, take),
