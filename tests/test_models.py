@@ -270,3 +270,33 @@ def test_one_class_fit_ends_at_a_small_gap(spark, normal):
         assert lowest >= length * (1 - 3 * GAP)
     with pytest.raises(ArithmeticError):
         OneClassSvm.fit(df, 3, tolerance=0.0, most=3)
+
+
+def test_no_vector_goes_to_every_leaf(spark, monkeypatch):
+    """In many dimensions every leaf is in reach: vectors are looked up in their own leaf alone, and results stay exact."""
+    from riskloom.operators.neighbors import NeighborIndex
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((400, 24))
+    x[300:350] = x[:50]
+    rows, visits, look = points(spark, x), [], NeighborIndex._look
+    monkeypatch.setattr(NeighborIndex, "_look", lambda self, asked, *a: visits.append(asked.count()) or look(self, asked, *a))
+    got = knn_join(rows, rows, 4, exclude_self=True, leaf_rows=20).toPandas()
+    assert sum(visits) <= 400
+    order, dist = brute(x, x, 4, True)
+    for i, (_, g) in enumerate(got.groupby("query_id")):
+        g = g.sort_values("rank")
+        assert np.allclose(g.distance, dist[i], atol=1e-9) and (dist[i][0] == 0 or list(g.neighbor_id) == [f"r{j:04d}" for j in order[i]])
+
+
+def test_outliers_look_for_fitted_rows_once(spark, monkeypatch):
+    from riskloom.operators.neighbors import NeighborIndex
+
+    rng = np.random.default_rng(6)
+    rows, asked, look = points(spark, rng.standard_normal((90, 3))), [], NeighborIndex._look
+    lof = LocalOutlierFactor.fit(rows, 5)
+    monkeypatch.setattr(NeighborIndex, "_look", lambda self, visits, *a: asked.append(visits.select("q").distinct().count()) or look(self, visits, *a))
+    assert lof.score(rows).count() == 90 and not asked
+    new = points(spark, rng.standard_normal((4, 3)))
+    assert lof.score(rows.unionByName(new.selectExpr("concat('n', id) AS id", "features"))).count() == 94
+    assert asked and max(asked) <= 4
