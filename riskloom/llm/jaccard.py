@@ -137,6 +137,9 @@ def _by_rarest(texts: DataFrame, sets: DataFrame) -> DataFrame:
 
     Sets of sizes m and n that reach ``SIMILAR`` have at least ``SIMILAR`` of the larger one in common, so they meet
     among the rarest m - ceil(SIMILAR m) + 1 of the one and n - ceil(SIMILAR n) + 1 of the other, in any one order.
+    Where they meet first, at places i and j, they have no more in common than that shingle and the fewer of the m - i and
+    n - j after it; a pair that can reach too little that way is not formed, so texts of a template that differ in more than
+    a ninth of their shingles do not meet by what some of them share beside it.
     """
     tokens = pin(map_arrow(texts.join(sets, "fp"), _tokens, "fp bigint, size int, root bigint, token bigint"))
     often = tokens.groupBy("token").agg(F.count("*").alias("n"))
@@ -144,9 +147,11 @@ def _by_rarest(texts: DataFrame, sets: DataFrame) -> DataFrame:
     least = F.ceil(F.col("size") * SIMILAR - 1e-9)
     rare = tokens.join(often, "token").withColumn("rank", rank).where((F.col("rank") <= F.col("size") - least + 1) & (F.col("n") > 1))
     open_ = rare.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("token")
-    rare = pin(rare.join(open_, "token").select("token", "fp", "size", "root"))
-    left, right = (rare.select("token", F.col("fp").alias(x), F.col("size").alias(f"size_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
-    both = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _near())
+    rare = pin(rare.join(open_, "token").select("token", "fp", "size", "root", "rank"))
+    left, right = (rare.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("size", "root", "rank")], F.col("fp").alias(x)) for x in "ab")
+    rest = F.least(F.col("size_a") - F.col("rank_a"), F.col("size_b") - F.col("rank_b")) + 1
+    reach = rest * (1 + SIMILAR) >= SIMILAR * (F.col("size_a") + F.col("size_b")) - 1e-9
+    both = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _near() & reach)
     return both.select("a", "b").distinct()
 
 

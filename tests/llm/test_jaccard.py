@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from riskloom.llm import jaccard
 from riskloom.llm.base import OWN
 from riskloom.llm.stages import one_of_each_group
@@ -78,3 +80,18 @@ def test_stage_verifies_what_simhash_links(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert jaccard.similar_texts(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_texts_of_a_template_do_not_meet_by_what_some_share(spark):
+    """Sixteen of a hundred shingles are beside the template, each in several texts: no pair can reach 0.8."""
+    sets = []
+    for i in range(60):
+        own = [10_000 + 100 * (i // 4) + j for j in range(4)] + [20_000 + 100 * i + j for j in range(12)]
+        sets.append((i, np.unique(np.array([*range(84), *own], np.uint64)).tobytes()))
+    table = spark.createDataFrame(sets, "fp bigint, shingles binary")
+    texts = spark.createDataFrame([(i, 100, i) for i in range(60)], "fp bigint, size int, root bigint")
+    assert jaccard._by_rarest(texts, table).count() == 0
+    near = [(i, np.array([*range(i, i + 100)], np.uint64).tobytes()) for i in range(0, 33, 11)]  # 89 of 111 in common: 0.8018
+    table = spark.createDataFrame(near, "fp bigint, shingles binary")
+    texts = spark.createDataFrame([(i, 100, i) for i, _ in near], "fp bigint, size int, root bigint")
+    assert {tuple(r) for r in jaccard._by_rarest(texts, table).collect()} == {(0, 11), (11, 22)}
