@@ -6,6 +6,9 @@ the most frequent ones one after the other, then all of them at once, each choos
 classes before and after it, in parts that run side by side. Every other word has a fixed class by the band of its
 length and last letter, known from the word alone, and its own corpus count. Word counts are a plain word count
 over the corpus, and the counts of rare words reach the texts by a join, so nothing grows on the driver.
+
+Texts are read twice: to count their words, and to write them as symbols. All passes after that read symbols. Every text
+ends with the end, which also stands before every first word, so symbols of many texts are one stream.
 """
 
 from __future__ import annotations
@@ -97,28 +100,35 @@ class Lexicon:
         return at, missing, symbols
 
 
+def _packed(symbols: np.ndarray, size: int) -> bytes:
+    return symbols.astype(np.uint16 if size <= 1 << 16 else np.uint32).tobytes()
+
+
+def _streams(lexicon: Lexicon, batches: Iterator[pa.RecordBatch], most: int) -> Iterator[np.ndarray]:
+    """The symbols of whole texts one after the other, the end before them; some ``most`` at once, a longer text alone."""
+    kind = np.uint16 if lexicon.size <= 1 << 16 else np.uint32
+    held, total = [np.array([lexicon.end], kind)], 0
+    for batch in batches:
+        for raw in batch.column(f"{OWN}symbols"):
+            found = np.frombuffer(raw.as_py(), kind)
+            held.append(found)
+            total += len(found)
+            if total >= most:
+                yield np.concatenate(held).astype(np.int64)
+                held, total = held[:1], 0
+    if total:
+        yield np.concatenate(held).astype(np.int64)
+
+
 def _bigrams(lexicon: Lexicon, kinds: np.ndarray, size: int):
     """Pairs of neighbouring ``kinds`` of symbols; the end of a text also stands before its first word."""
-    start = kinds[lexicon.end]
 
     def run(batches):
-        held: list[np.ndarray] = []
-        total = 0
-
-        def flush():
-            pair, n = np.unique(np.concatenate(held), return_counts=True)
-            return {"pair": pair, "n": n}
-
-        for batch in batches:
-            for text in texts_of(batch.column("text")):
-                found = kinds[lexicon.read(tokens(text))[2]]
-                held.append(np.append(start, found[:-1]) * size + found)
-                total += len(found)
-                if total > 4_000_000:
-                    yield flush()
-                    held, total = [], 0
-        if held:
-            yield flush()
+        for stream in _streams(lexicon, batches, 4_000_000):
+            found = kinds[stream]
+            n = np.bincount(found[:-1] * size + found[1:])  # (CORE + SHAPES + 1) ** 2 cells at most
+            pair = np.flatnonzero(n)
+            yield {"pair": pair, "n": n[pair]}
 
     return run
 
@@ -127,8 +137,9 @@ def _contexts(lexicon: Lexicon, label: np.ndarray, classes: int):
     """How often each placed word stands before and after each class, by parts of ``PART`` words; behind it, with itself."""
     width = 2 * classes + 1
 
-    def flush(held: list[np.ndarray]) -> dict:
-        key, n = np.unique(np.concatenate(held), return_counts=True)
+    def flush(keys: np.ndarray) -> dict:
+        key, n = np.unique(keys.astype(np.int32) if lexicon.base * width < 1 << 31 else keys, return_counts=True)
+        key = key.astype(np.int64)
         part = key // (PART * width)
         ends = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
         pieces = list(zip(ends, ends[1:]))
@@ -138,24 +149,14 @@ def _contexts(lexicon: Lexicon, label: np.ndarray, classes: int):
         }
 
     def run(batches):
-        held: list[np.ndarray] = []
-        total = 0
-        for batch in batches:
-            for text in texts_of(batch.column("text")):
-                symbols = np.append(lexicon.end, lexicon.read(tokens(text))[2])
-                kinds = label[symbols]
-                first, second = symbols[:-1], symbols[1:]
-                after, before = first < lexicon.base, second < lexicon.base
-                same = after & (first == second)
-                held.append(np.concatenate([
-                    first[after] * width + kinds[1:][after], second[before] * width + classes + kinds[:-1][before], first[same] * width + 2 * classes,
-                ]))
-                total += len(symbols)
-                if total >= CONTEXTS:
-                    yield flush(held)
-                    held, total = [], 0
-        if held:
-            yield flush(held)
+        for symbols in _streams(lexicon, batches, CONTEXTS):
+            kinds = label[symbols]
+            first, second = symbols[:-1], symbols[1:]
+            after, before = first < lexicon.base, second < lexicon.base
+            same = after & (first == second)
+            yield flush(np.concatenate([
+                first[after] * width + kinds[1:][after], second[before] * width + classes + kinds[:-1][before], first[same] * width + 2 * classes,
+            ]))
 
     return run
 
@@ -283,8 +284,12 @@ def _frequent(counts: DataFrame) -> tuple[list[bytes], list[int]]:
 class ClassModel:
     """Classes, transitions and class sizes: bounded by ``KNOWN``, ``CLASSES`` and ``SHAPES``."""
 
-    def __init__(self, counts: DataFrame, training: DataFrame) -> None:
-        lexicon = Lexicon(*_frequent(counts))
+    def __init__(self, counts: DataFrame, training: DataFrame, lexicon: Lexicon | None = None) -> None:
+        """``training`` holds texts, or, with the ``lexicon`` of their symbols, what ``_encode`` made of them."""
+        if lexicon is None:
+            lexicon = Lexicon(*_frequent(counts))
+            texts = training.select(F.col("text").alias(f"{OWN}text"))
+            training = pin(map_arrow(texts, _encode(lexicon), _CODES).select(f"{OWN}symbols"))
         core, base = lexicon.core, lexicon.base
         pairs, n = self._pairs(training, lexicon, lexicon.to_core, core + SHAPES)
         small = exchange(pairs, n, core, core + SHAPES)
@@ -313,8 +318,6 @@ class ClassModel:
         # Add-one: every transition has a probability, and every class room for one unseen word.
         self.log_move = np.log10((table + 1) / (table.sum(axis=1, keepdims=True) + classes))
         self.log_class = np.log10(table.sum(axis=0) + distinct + 1)
-        self.log_count = np.log10(lexicon.counts + 1)
-
 
     @staticmethod
     def _pairs(training: DataFrame, lexicon: Lexicon, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -329,31 +332,47 @@ class ClassModel:
         return table
 
 
-def _score(model: ClassModel):
-    """Per text: the parts of its score known here, and the words whose counts are elsewhere."""
-    lexicon, label = model.lexicon, model.label
-    start = label[lexicon.end]
+_CODES = f"{OWN}n bigint, {OWN}hits bigint, {OWN}logs double, {OWN}rare array<bigint>, {OWN}times array<bigint>, {OWN}symbols binary"
+
+
+def _encode(lexicon: Lexicon):
+    """Per text: its symbols, the part of its base score known here, and the words whose counts are elsewhere."""
+    log_count = np.log10(lexicon.counts + 1)
 
     def run(batches):
         for batch in batches:
-            out = {c: [] for c in ("n", "hits", "logs", "path", "rare", "times")}
-            for text in batch.column(f"{OWN}text").cast(pa.binary()).to_pylist():
-                words = tokens(text or b"")
+            out = {c: [] for c in ("n", "hits", "logs", "rare", "times", "symbols")}
+            for text in texts_of(batch.column(f"{OWN}text")):
+                words = tokens(text)
                 at, missing, symbols = lexicon.read(words)
-                kinds = label[symbols]
-                before = np.append(start, kinds[:-1])
                 rare = Counter([word_name(words[i]) for i in missing])
                 out["n"].append(len(words))
                 out["hits"].append(len(words) - len(missing))
-                out["logs"].append(float(model.log_count[at[at >= 0]].sum()))
-                out["path"].append(float((model.log_move[before, kinds] - model.log_class[kinds]).sum()))
+                out["logs"].append(float(log_count[at[at >= 0]].sum()))
                 out["rare"].append([*rare])
                 out["times"].append([*rare.values()])
+                out["symbols"].append(_packed(symbols, lexicon.size))
             yield {n: batch.column(n) for n in batch.schema.names if n != f"{OWN}text"} | {f"{OWN}{k}": v for k, v in out.items()}
 
     return run
 
 
+def _score(model: ClassModel):
+    """Per text of symbols: the log probability of its classes, and of each word within its class but for the word's count."""
+    label, start = model.label, model.lexicon.end
+    kind = np.uint16 if model.lexicon.size <= 1 << 16 else np.uint32
+
+    def run(batches):
+        for batch in batches:
+            path = []
+            for raw in batch.column(f"{OWN}symbols"):
+                kinds = label[np.append(start, np.frombuffer(raw.as_py(), kind)).astype(np.int64)]
+                path.append(float((model.log_move[kinds[:-1], kinds[1:]] - model.log_class[kinds[1:]]).sum()))
+            yield {n: batch.column(n) for n in batch.schema.names if n != f"{OWN}symbols"} | {f"{OWN}path": path}
+
+    return run
+
+
 def class_scores(docs: DataFrame, training: Column, text: str = "text") -> DataFrame:
     """``docs`` without the text, with its token counts and scores under the prefix ``base.OWN``.
 
@@ -366,16 +385,17 @@ def class_scores(docs: DataFrame, training: Column, text: str = "text") -> DataF
     learn = docs.where(training).select(body.alias("text"))
     counts = pin(map_arrow(learn, _count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = ClassModel(counts, learn)
-    given = docs.withColumn(f"{OWN}text", body).drop(text).withColumn(f"{OWN}row", F.monotonically_increasing_id())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != f"{OWN}text")
+    lexicon = Lexicon(*_frequent(counts))
+    marked = docs.withColumns({f"{OWN}text": body, f"{OWN}learn": F.coalesce(training, F.lit(False))})
+    given = marked.drop(text).withColumn(f"{OWN}row", F.monotonically_increasing_id())
+    fields = lambda df, *off: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in off)
     # Pinned, so that row numbers are given once.
-    parts = pin(map_arrow(
-        given, _score(model),
-        f"{schema}, {OWN}n bigint, {OWN}hits bigint, {OWN}logs double, {OWN}path double, {OWN}rare array<bigint>, {OWN}times array<bigint>",
-    ))
+    coded = pin(map_arrow(given, _encode(lexicon), f"{fields(given, f'{OWN}text')}, {_CODES}"))
+    model = ClassModel(counts, coded.where(f"{OWN}learn").select(f"{OWN}symbols"), lexicon)
+    scored = coded.drop(f"{OWN}learn", f"{OWN}rare", f"{OWN}times")
+    parts = map_arrow(scored, _score(model), f"{fields(scored, f'{OWN}symbols')}, {OWN}path double")
     zipped = F.explode(F.arrays_zip(F.col(f"{OWN}rare").alias("rare"), F.col(f"{OWN}times").alias("times")))
-    rare = parts.select(f"{OWN}row", zipped.alias("z")).select(f"{OWN}row", "z.rare", "z.times")
+    rare = coded.select(f"{OWN}row", zipped.alias("z")).select(f"{OWN}row", "z.rare", "z.times")
     named = counts.select(F.xxhash64("word").alias("rare"), F.log10(F.col("n") + 1).alias("log"))
     joined = rare.join(named, "rare").groupBy(f"{OWN}row").agg(
         F.sum(F.col("times") * F.col("log")).alias(f"{OWN}more_logs"), F.sum("times").alias(f"{OWN}more_hits")
@@ -388,4 +408,4 @@ def class_scores(docs: DataFrame, training: Column, text: str = "text") -> DataF
         f"{OWN}train_tokens": F.lit(n).cast("long"),
         f"{OWN}base_score": logs - F.col(f"{OWN}n") * F.log10(F.lit(float(n + v + 1))),
         f"{OWN}score": logs + F.col(f"{OWN}path"),
-    }).drop(*[f"{OWN}{c}" for c in ("row", "n", "hits", "logs", "path", "rare", "times")], f"{OWN}more_logs", f"{OWN}more_hits")
+    }).drop(*[f"{OWN}{c}" for c in ("row", "n", "hits", "logs", "path")], f"{OWN}more_logs", f"{OWN}more_hits")

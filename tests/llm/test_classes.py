@@ -78,3 +78,13 @@ def test_a_word_stays_where_no_class_is_better():
         assert after.sum() == pytest.approx(table.sum())
         fit = lambda t: (t * np.log(np.maximum(t, 1e-300))).sum() - sum((x * np.log(np.maximum(x, 1e-300))).sum() for x in (t.sum(0), t.sum(1)))
         assert fit(after) >= fit(table) - 1e-9
+
+
+def test_texts_are_read_twice(spark, families, monkeypatch):
+    """To count the words and to write their symbols; every other pass reads symbols."""
+    monkeypatch.setattr(brown, "CORE", 12)
+    read, plain = [], brown.map_arrow
+    monkeypatch.setattr(brown, "map_arrow", lambda df, *a: read.append([c for c in df.columns if c.endswith("text")]) or plain(df, *a))
+    docs = spark.createDataFrame([*enumerate(families)], "doc_id bigint, text string").repartition(3)
+    assert brown.class_scores(docs, F.col("doc_id") % 3 != 0).count() == len(families)
+    assert len(read) > 5 and sum(map(len, read)) == 2
