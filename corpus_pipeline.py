@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm.base import table
+from riskloom.llm.base import small_batches, table
 from riskloom.llm.stages import known_language, mixed, one_of_each_group, uncontaminated, without_repeats
 from riskloom.session import checkpoint_root
 
@@ -28,6 +28,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_root(spark)}/corpus-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with small_batches(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.base import KEY, OWN, map_arrow, text_key
+from riskloom.llm.base import KEY, OWN, map_arrow, small_batches, text_key
 from riskloom.llm.sorting import common_prefix, suffix_array
 from riskloom.session import pin
 
@@ -30,7 +30,7 @@ GRAM = 24  # bytes of the hashed grams
 CROWDED = {4_096: 32, 32_768: 8, 1_048_576: 1}
 HELD_BYTES = 1 << 25  # distinct segments held by a task before it hands them on
 SORT_SYMBOLS = 1 << 19  # symbols sorted at once
-BLOCK_BYTES = 1 << 22  # bytes hashed at once, unless one text is longer
+BLOCK_BYTES = 1 << 20  # bytes hashed at once, unless one text is longer; their hashes take some 60 times as much
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -284,7 +284,8 @@ def repeated_ranges(keyed: DataFrame, length: int = 200) -> DataFrame:
         raise ValueError(f"length must be {GRAM + 8} at least")
     key = f"{KEY[0]} bigint, {KEY[1]} bigint"
     long_enough = keyed.where(F.col(KEY[1]) >= length)
-    chosen = pin(map_arrow(long_enough.select(*KEY, f"{OWN}text"), _choose(length), f"gram bigint, {key}, times int"))
+    with small_batches(keyed.sparkSession):
+        chosen = pin(map_arrow(long_enough.select(*KEY, f"{OWN}text"), _choose(length), f"gram bigint, {key}, times int"))
     often = chosen.groupBy("gram").agg(F.sum("times").alias("places")).where("places > 1")
     split = F.lit(0)
     for places, windows in sorted(CROWDED.items()):

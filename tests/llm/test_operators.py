@@ -3,16 +3,19 @@
 import hashlib
 import io
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from riskloom.llm import brown, langid, pivots, raking, simhash, sorting, substrings, warc, winnow, wrappers
-from riskloom.llm.base import OWN, folds
+from riskloom.llm.base import BATCH_BYTES, KEY, OWN, folds
 
 LONG = " ".join(f"w{i % 997}x{i}" for i in range(6000))
 PASSAGE = " ".join(f"shared{i}" for i in range(60))
@@ -38,6 +41,32 @@ def test_suffix_array_orders_suffixes():
             assert sorting.suffix_array(text, n + 1).tolist() == sorted(range(n), key=lambda i: text[i:].tolist())
 
 
+def test_hashing_holds_little_at_once():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 123, 2_000).astype(np.uint8).tobytes().decode() for _ in range(4_000)]
+    numbers = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([numbers, numbers, pa.array(texts)], names=[*KEY, f"{OWN}text"])
+    tracemalloc.start()
+    try:
+        found = [len(x["gram"]) for x in substrings._choose(200)([batch])]
+        assert sum(found) > len(texts) and tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_pipeline_stages_read_small_batches(spark, small, monkeypatch):
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    corpus_pipeline.run(spark, small)
+    assert seen == [str(BATCH_BYTES)] * 2 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def brute_removed(texts, length):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     for t in texts:
