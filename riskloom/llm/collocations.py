@@ -11,6 +11,8 @@ count among its extensions by one word.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,9 +33,12 @@ COVERED = 80  # per cent of a phrase's occurrences inside a longer one that drop
 UNKNOWN = "und"
 BITS_LEAST, BITS_MOST = 1 << 18, 1 << 27  # of the bitmap: 32 kB to 16 MB
 BITS_EACH = 16
+PROBES = 3  # bits of the bitmap that all must be set for a digest
+LOW = 24  # bits of a digest that are kept beside its part
 SALTS = 64
 FLUSH = 1 << 20  # digests a task holds before it hands them on
-PART = 1 << 22  # words for each part in which digests are counted
+HELD = 1 << 18  # phrases a task holds before it hands them on
+PART = 1 << 22  # words for each part in which digests and phrases are counted
 WORDS = [f"w{k}" for k in range(1, MAX_WORDS + 1)]
 
 _CUT = b"\xff"  # no byte of UTF-8
@@ -53,14 +58,15 @@ def words_of(text: bytes) -> list[bytes]:
 _SLICES = "langs array<string>, words binary, lang_at binary, word_at binary, counts binary, ids binary"
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Numbers of 32 bits as their lowest bytes, then the next ones …: bytes that hardly change lie together and pack well."""
-    return np.ascontiguousarray(values.astype(np.uint32)).view(np.uint8).reshape(-1, 4).T.tobytes()
+def _planes(values: np.ndarray, width: int = 4) -> bytes:
+    """Numbers of ``width`` bytes as their lowest bytes, then the next ones …: bytes that hardly change lie together and pack well."""
+    return np.ascontiguousarray(values.astype(np.uint32)).view(np.uint8).reshape(-1, 4).T[:width].tobytes()
 
 
-def _numbers(planes: bytes) -> np.ndarray:
-    flat = np.frombuffer(planes, np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(flat.T).view(np.uint32).ravel()
+def _numbers(planes: bytes, width: int = 4) -> np.ndarray:
+    flat = np.zeros((len(planes) // width, 4), np.uint8)
+    flat[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, -1).T
+    return flat.view(np.uint32).ravel()
 
 
 def _digests(langs: list[str], words: list[bytes], lang_at: np.ndarray, word_at: np.ndarray) -> np.ndarray:
@@ -128,25 +134,40 @@ def _pair_digest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(a * _PAIR + b)
 
 
-def _may(bits: np.ndarray, digests: np.ndarray) -> np.ndarray:
+def _places(cut: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """The bits, of ``size``, of digests cut to what is counted, one probe after the other."""
+    for _ in range(PROBES):
+        cut = mix(cut)
+        yield cut & np.uint64(size - 1)
+
+
+def _may(bitmap: tuple[np.ndarray, int], digests: np.ndarray) -> np.ndarray:
     """Whether what has these digests may be frequent; never no for what is."""
-    at = digests & np.uint64(len(bits) * 8 - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    bits, kept = bitmap
+    out = np.zeros(len(digests), bool)
+    some, cut = np.arange(len(digests)), digests & np.uint64(kept)
+    for _ in range(PROBES):
+        cut = mix(cut)
+        at = cut & np.uint64(len(bits) * 8 - 1)
+        on = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        some, cut = some[on], cut[on]
+    out[some] = True
+    return out
 
 
 def _packed(parts: int, held: list[tuple[np.ndarray, np.ndarray]], min_count: int) -> dict:
-    """Digests cut to 32 bits and a part, each once with its count; counts beyond ``min_count`` say no more than it does."""
-    digests = np.concatenate([d for d, _ in held]) & np.uint64((parts << 32) - 1)
+    """Digests cut to ``LOW`` bits and a part, each once with its count; counts beyond ``min_count`` say no more than it does."""
+    digests = np.concatenate([d for d, _ in held]) & np.uint64((parts << LOW) - 1)
     order = np.argsort(digests)
     digests, counts = digests[order], np.concatenate([c for _, c in held])[order]
     first = np.flatnonzero(np.concatenate([[True], digests[1:] != digests[:-1]]))
     digests, counts = digests[first], np.minimum(np.add.reduceat(counts, first), min_count).astype(np.uint32)
-    part = digests >> np.uint64(32)
+    part = digests >> np.uint64(LOW)
     ends = [*(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
-    low, columns, at = digests.astype(np.uint32), {"part": [], "low": [], "counts": []}, 0
+    low, columns, at = digests & np.uint64((1 << LOW) - 1), {"part": [], "low": [], "counts": []}, 0
     for end in ends:
         columns["part"].append(int(part[at]))
-        columns["low"].append(_planes(low[at:end]))
+        columns["low"].append(_planes(low[at:end], LOW // 8))
         columns["counts"].append(_planes(counts[at:end]))
         at = end
     return columns
@@ -161,7 +182,7 @@ def _often(min_count: int):
         digests = digests[order]
         first = np.flatnonzero(np.concatenate([[True], digests[1:] != digests[:-1]]))
         total = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), first)
-        return (np.int64(part) << np.int64(32)) + digests[first[total >= min_count]].astype(np.int64)
+        return (np.int64(part) << np.int64(LOW)) + digests[first[total >= min_count]].astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         at, low, counts = None, [], []
@@ -172,7 +193,7 @@ def _often(min_count: int):
                     yield {"digest": close(at, low, counts)}
                     low, counts = [], []
                 at = part
-                low.append(_numbers(a))
+                low.append(_numbers(a, LOW // 8))
                 counts.append(_numbers(c))
         if low:
             yield {"digest": close(at, low, counts)}
@@ -180,12 +201,12 @@ def _often(min_count: int):
     return run
 
 
-def _bitmap(slices: DataFrame, digests, total: int, min_count: int) -> np.ndarray:
-    """The bitmap of the frequent among the digests that ``digests`` gives for slices.
+def _bitmap(slices: DataFrame, digests, total: int, min_count: int) -> tuple[np.ndarray, int]:
+    """The bitmap of the frequent among the digests that ``digests`` gives for slices, and the bits of a digest that it knows.
 
     Its size follows their number up to ``BITS_MOST`` and is bounded by it. Digests are counted in parts, whose number
-    follows that of all words, so that a part has some ``PART`` entries at most; a digest that shares its bits with
-    another may pass as frequent, which costs work and no result.
+    follows that of all words, so that a part has some ``PART`` entries at most, a quarter of what ``LOW`` bits can tell
+    apart; a digest that shares its bits with others may pass as frequent, which costs work and no result.
     """
     parts = 1 << max(0, (total // PART).bit_length())
 
@@ -202,17 +223,23 @@ def _bitmap(slices: DataFrame, digests, total: int, min_count: int) -> np.ndarra
 
     counted = map_arrow(slices, scan, "part bigint, low binary, counts binary")
     often = pin(map_arrow(counted.repartition("part").sortWithinPartitions("part"), _often(min_count), "digest bigint"))
-    size = min(BITS_MOST, max(BITS_LEAST, 1 << (often.count() * BITS_EACH).bit_length()), parts << 32)
-    at = often.select(F.col("digest").bitwiseAND(size - 1).alias("at"))
+    size = min(BITS_MOST, max(BITS_LEAST, 1 << (often.count() * BITS_EACH).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for at in _places(batch.column("digest").to_numpy().astype(np.uint64), size):
+                yield {"at": at.astype(np.int64)}
+
+    at = map_arrow(often, places, "at bigint")
     chunks = at.groupBy(F.shiftright("at", 15).alias("chunk")).agg(F.expr("bitmap_construct_agg(at & 32767)").alias("bits"))
     bits = np.zeros(size // 8, np.uint8)
     for row in chunks.collect():  # BITS_MOST at most
         part = np.frombuffer(bytes(row["bits"]), np.uint8)
         bits[row["chunk"] * 4096 : row["chunk"] * 4096 + len(part)] = part
-    return bits
+    return bits, (parts << LOW) - 1
 
 
-def _levels(digests: np.ndarray, ids: np.ndarray, bitmaps: list[np.ndarray], top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _levels(digests: np.ndarray, ids: np.ndarray, bitmaps: list[tuple[np.ndarray, int]], top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For phrases of 1 to ``top`` words: where they start and their digests, wherever both phrases of one word less may be frequent."""
     word = np.append(digests, np.uint64(0))[ids]  # a cut takes the last
     live, at, here = ids >= 0, np.flatnonzero(ids >= 0), word
@@ -240,11 +267,16 @@ def _level_digests(sent, order: int):
     return run
 
 
-def _phrases(slices: DataFrame, bitmaps: list[np.ndarray]) -> DataFrame:
-    """Counts of the phrases of one to ``MAX_WORDS`` words that may be frequent."""
+def _phrases(slices: DataFrame, bitmaps: list[tuple[np.ndarray, int]], total: int) -> DataFrame:
+    """Counts of the phrases of one to ``MAX_WORDS`` words that may be frequent.
+
+    A task adds up some slices and hands on its phrases in order, packed by part: neighbours begin alike and pack well.
+    """
     sent = slices.sparkSession.sparkContext.broadcast(bitmaps)
+    parts = 1 << max(0, (total // PART).bit_length())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: Counter = Counter()
         for row in _read(batches):
             ids, word = row["ids"], [row["words"][w] for w in row["word_at"].tolist()]
             for order, at, found in _levels(row["digests"], ids, sent.value, MAX_WORDS):
@@ -254,22 +286,59 @@ def _phrases(slices: DataFrame, bitmaps: list[np.ndarray]) -> DataFrame:
                 for column in grams.T[1:]:  # numbers of ever longer heads stay small
                     key = np.unique(key * len(word) + column, return_inverse=True)[1]
                 _, first, times = np.unique(key, return_index=True, return_counts=True)
-                yield _strings(row["langs"], word, row["lang_at"], grams[first], times)
-
+                for phrase, n in zip(_strings(row["langs"], word, row["lang_at"], grams[first]), times.tolist()):
+                    held[phrase] += n
+            if len(held) >= HELD:
+                yield _parted(held, parts)
+                held = Counter()
+        if held:
+            yield _parted(held, parts)
+
+    counted = map_arrow(slices, scan, "part bigint, phrases binary, counts binary")
+    counted = map_arrow(counted.repartition("part").sortWithinPartitions("part"), _added, "phrase string, f bigint")
     # Language and phrase are one key; no word has a line break.
-    counted = map_arrow(slices, scan, "phrase string, c bigint").groupBy("phrase").agg(F.sum("c").alias("f"))
     phrase = F.substring_index("phrase", "\n", -1)
     lang = F.expr("left(phrase, length(phrase) - length(substring_index(phrase, '\n', -1)) - 1)")
-    parts = F.split(phrase, " ")
-    return counted.select(lang.alias("lang"), *[F.get(parts, F.lit(i)).alias(w) for i, w in enumerate(WORDS)], "f")
+    words = F.split(phrase, " ")
+    return counted.select(lang.alias("lang"), *[F.get(words, F.lit(i)).alias(w) for i, w in enumerate(WORDS)], "f")
 
 
-def _strings(langs: list[str], word: list[bytes], lang_at: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> dict:
+def _strings(langs: list[str], word: list[bytes], lang_at: np.ndarray, grams: np.ndarray) -> list[bytes]:
     heads = [x.encode() + b"\n" for x in langs]
     columns = [[word[i] for i in column.tolist()] for column in grams.T]
     joined = columns[0] if len(columns) == 1 else [b" ".join(x) for x in zip(*columns)]
-    joined = [heads[x] + p for x, p in zip(lang_at[grams[:, 0]].tolist(), joined)]
-    return {"phrase": pa.array(joined, pa.binary()).cast(pa.string()), "c": counts.astype(np.int64)}
+    return [heads[x] + p for x, p in zip(lang_at[grams[:, 0]].tolist(), joined)]
+
+
+def _parted(held: Counter, parts: int) -> dict:
+    """Phrases in their order and their counts, a row for each part that has some."""
+    dealt: dict[int, list[bytes]] = {}
+    for phrase in sorted(held):
+        dealt.setdefault(xxhash.xxh32_intdigest(phrase) & (parts - 1), []).append(phrase)
+    return {
+        "part": [*dealt], "phrases": [zlib.compress(_CUT.join(x), 1) for x in dealt.values()],
+        "counts": [np.array([held[p] for p in x], np.int64).tobytes() for x in dealt.values()],
+    }
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Phrases and their sums, of a stream sorted by part."""
+    at, held = None, Counter()
+    for batch in batches:
+        for i in range(batch.num_rows):
+            part, phrases, counts = (batch.column(n)[i].as_py() for n in ("part", "phrases", "counts"))
+            if part != at and held:
+                yield _summed(held)
+                held = Counter()
+            at = part
+            for phrase, n in zip(zlib.decompress(phrases).split(_CUT), np.frombuffer(counts, np.int64).tolist()):
+                held[phrase] += n
+    if held:
+        yield _summed(held)
+
+
+def _summed(held: Counter) -> dict:
+    return {"phrase": pa.array([*held], pa.binary()).cast(pa.string()), "f": [*held.values()]}
 
 
 # A phrase on its way through the streams: its count, the counts of the phrases it ends and begins with (by their
@@ -392,7 +461,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
         for order in range(2, MAX_WORDS + 1):
             sent = docs.sparkSession.sparkContext.broadcast(bitmaps)
             bitmaps = [*bitmaps, _bitmap(slices.drop("counts"), _level_digests(sent, order), total, min_count)]
-        counts = pin(_phrases(slices.drop("counts"), bitmaps).where(often))
+        counts = pin(_phrases(slices.drop("counts"), bitmaps, total).where(often))
     none = F.lit(None).cast("bigint")
     stream = counts.select(*_KEY, "f", *[none.alias(p) for p in _PARTS], none.alias("ext"), F.lit(False).alias("note"))
     out = _along(_along(stream, counts, True), counts, False)

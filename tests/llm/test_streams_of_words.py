@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from riskloom.llm import collocations as collocation_steps
 from riskloom.llm.base import OWN
 from riskloom.llm.collocations import collocations
 from riskloom.llm.squares import FIELDS, SquareCatcher, periodic_runs
@@ -178,6 +179,19 @@ def test_collocations_of_nothing(spark):
     assert out.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and out.count() == 0
 
 
+def test_few_rare_phrases_are_counted_as_strings(spark, monkeypatch):
+    rng, counted = random.Random(5), []
+    words = [f"w{i}" for i in range(400)]
+    fixed = [f"w{i} w{(i * 7 + k) % 400}" for i in range(400) for k in (1, 2, 3)]
+    rows = [("en", " ".join(rng.choices(words, k=60))) for _ in range(1000)] + [("en", ". ".join(fixed))] * 30
+    phrases = collocation_steps._phrases
+    monkeypatch.setattr(collocation_steps, "BITS_LEAST", 1 << 15)
+    monkeypatch.setattr(collocation_steps, "_phrases", lambda *a: counted.append(phrases(*a)) or counted[0])
+    got = sorted(tuple(r) for r in collocations(spark.createDataFrame(rows, "lang string, text string")).collect())
+    assert got == brute_phrases(rows, 30, 2000) and len(got) >= 1200
+    assert counted[0].where("f < 30").count() * 4 < counted[0].where("f >= 30").count()
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
