@@ -156,7 +156,10 @@ def _may(bitmap: tuple[np.ndarray, int], digests: np.ndarray) -> np.ndarray:
 
 
 def _packed(parts: int, held: list[tuple[np.ndarray, np.ndarray]], min_count: int) -> dict:
-    """Digests cut to ``LOW`` bits and a part, each once with its count; counts beyond ``min_count`` say no more than it does."""
+    """Digests cut to ``LOW`` bits and a part, each once with its count; counts beyond ``min_count`` say no more than it does.
+
+    The digests of a part are told by their steps, which are small.
+    """
     digests = np.concatenate([d for d, _ in held]) & np.uint64((parts << LOW) - 1)
     order = np.argsort(digests)
     digests, counts = digests[order], np.concatenate([c for _, c in held])[order]
@@ -167,8 +170,8 @@ def _packed(parts: int, held: list[tuple[np.ndarray, np.ndarray]], min_count: in
     low, columns, at = digests & np.uint64((1 << LOW) - 1), {"part": [], "low": [], "counts": []}, 0
     for end in ends:
         columns["part"].append(int(part[at]))
-        columns["low"].append(_planes(low[at:end], LOW // 8))
-        columns["counts"].append(_planes(counts[at:end]))
+        columns["low"].append(zlib.compress(_planes(np.diff(low[at:end], prepend=np.uint64(0)), LOW // 8), 1))
+        columns["counts"].append(zlib.compress(_planes(counts[at:end]), 1))
         at = end
     return columns
 
@@ -193,8 +196,8 @@ def _often(min_count: int):
                     yield {"digest": close(at, low, counts)}
                     low, counts = [], []
                 at = part
-                low.append(_numbers(a, LOW // 8))
-                counts.append(_numbers(c))
+                low.append(np.cumsum(_numbers(zlib.decompress(a), LOW // 8), dtype=np.uint32))
+                counts.append(_numbers(zlib.decompress(c)))
         if low:
             yield {"digest": close(at, low, counts)}
 
