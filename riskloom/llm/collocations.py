@@ -37,7 +37,7 @@ PROBES = 3  # bits of the bitmap that all must be set for a digest
 LOW = 24  # bits of a digest that are kept beside its part
 SALTS = 64
 FLUSH = 1 << 20  # digests a task holds before it hands them on
-HELD = 1 << 18  # phrases a task holds before it hands them on
+HELD = 1 << 19  # phrases a task holds before it hands them on
 PART = 1 << 22  # words for each part in which digests and phrases are counted
 WORDS = [f"w{k}" for k in range(1, MAX_WORDS + 1)]
 
@@ -320,7 +320,7 @@ def _parted(held: Counter, parts: int) -> dict:
         dealt.setdefault(xxhash.xxh32_intdigest(phrase) & (parts - 1), []).append(phrase)
     return {
         "part": [*dealt], "phrases": [zlib.compress(_CUT.join(x), 1) for x in dealt.values()],
-        "counts": [np.array([held[p] for p in x], np.int64).tobytes() for x in dealt.values()],
+        "counts": [zlib.compress(np.array([held[p] for p in x], np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1) for x in dealt.values()],
     }
 
 
@@ -334,7 +334,8 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
                 yield _summed(held)
                 held = Counter()
             at = part
-            for phrase, n in zip(zlib.decompress(phrases).split(_CUT), np.frombuffer(counts, np.int64).tolist()):
+            times = np.ascontiguousarray(np.frombuffer(zlib.decompress(counts), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+            for phrase, n in zip(zlib.decompress(phrases).split(_CUT), times.tolist()):
                 held[phrase] += n
     if held:
         yield _summed(held)
