@@ -5,12 +5,14 @@ texts that are almost the same, so bands find what else is similar enough. Texts
 against one of them; what that joins needs no further look. A pair of exactly ``SIMILAR`` shares none of the bands
 with probability (1 - 0.8 ** 5) ** 24 = 0.00007, a nearer one more rarely. The texts of files that are not joined yet
 are compared by their rarest shingles: two sets that are similar enough share one of the rarest fifth of each, so
-texts that have a template in common but not enough else never meet.
+texts that have a template in common but not enough else never meet. Texts that meet are first compared with a few others
+in rounds, since a few links join a large family; only pairs that are not joined by then are all looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ SIMILAR = 0.8
 ROWS, BANDS = 5, 24
 PIECE = 1024  # shingles hashed at once
 CUT = 256  # texts that are compared with one copy of a set
+AHEAD = (4, 16, 64)  # texts beside it that a text is compared with in each round, before all pairs that are left
 _DRAWS = np.random.default_rng(42).integers(0, 1 << 64, (2, ROWS * BANDS), np.uint64)
 _FLIPS, _FACTORS = _DRAWS[0], _DRAWS[1] | np.uint64(1)
 
@@ -132,22 +135,82 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {"fp": same("fp"), "size": same("size").astype(np.int32), "root": same("root"), "token": values}
 
 
-def _by_rarest(texts: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of texts (fp, size, root) of different roots that share one of the rarest shingles of both.
+def _rarest(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rarest shingles of texts (fp, size, root), with their place by rarity as ``rank``: a file for each shingle.
 
     Sets of sizes m and n that reach ``SIMILAR`` have at least ``SIMILAR`` of the larger one in common, so they meet
     among the rarest m - ceil(SIMILAR m) + 1 of the one and n - ceil(SIMILAR n) + 1 of the other, in any one order.
-    Where they meet first, at places i and j, they have no more in common than that shingle and the fewer of the m - i and
-    n - j after it; a pair that can reach too little that way is not formed, so texts of a template that differ in more than
-    a ninth of their shingles do not meet by what some of them share beside it.
     """
     tokens = pin(map_arrow(texts.join(sets, "fp"), _tokens, "fp bigint, size int, root bigint, token bigint"))
     often = tokens.groupBy("token").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("fp").orderBy("n", "token"))
     least = F.ceil(F.col("size") * SIMILAR - 1e-9)
-    rare = tokens.join(often, "token").withColumn("rank", rank).where((F.col("rank") <= F.col("size") - least + 1) & (F.col("n") > 1))
-    open_ = rare.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("token")
-    rare = pin(rare.join(open_, "token").select("token", "fp", "size", "root", "rank"))
+    return _open(tokens.join(often, "token").withColumn("rank", rank).where((F.col("rank") <= F.col("size") - least + 1) & (F.col("n") > 1)))
+
+
+def _open(rare: DataFrame) -> DataFrame:
+    """The files whose texts are not all of one root."""
+    parted = rare.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("token")
+    return pin(rare.join(parted, "token").select("token", "fp", "size", "root", "rank"))
+
+
+def _beside(ahead: int):
+    """Pairs of texts of different roots that lie at most ``ahead`` apart in a stream ordered by file, if they can be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held, names = None, ("token", "fp", "size", "root", "rank")
+        for batch in batches:
+            now = {c: np.asarray(batch.column(c)).astype(np.int64) for c in names}
+            old = 0 if held is None else len(held["fp"])
+            if old:
+                now = {c: np.concatenate([held[c], now[c]]) for c in names}
+            found = []
+            for step in range(1, min(ahead, len(now["fp"]) - 1) + 1):
+                b = np.arange(max(step, old), len(now["fp"]))
+                a = b - step
+                fit = (now["token"][a] == now["token"][b]) & (now["root"][a] != now["root"][b])
+                a, b = a[fit], b[fit]
+                size, other = now["size"][a], now["size"][b]
+                rest = np.minimum(size - now["rank"][a], other - now["rank"][b]) + 1
+                fit = (np.minimum(size, other) >= SIMILAR * np.maximum(size, other) - 1e-9) & (rest * (1 + SIMILAR) >= SIMILAR * (size + other) - 1e-9)
+                found.append(np.stack([now["fp"][a[fit]], now["fp"][b[fit]]], 1))
+            pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0) if found else np.zeros((0, 2), np.int64)
+            held = {c: now[c][-ahead:] for c in names}
+            yield {"a": pairs[:, 0], "b": pairs[:, 1]}
+
+    return run
+
+
+def _in_rounds(rare: DataFrame, sets: DataFrame, seen: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Similar pairs that join the texts of files, the files that stay open with their new roots, and the pairs looked at.
+
+    A text is compared with those beside it in each of its files, in an order of their own, so pairs are in proportion to
+    what is filed however many texts a file has. Texts that are joined are not compared again, so later rounds look further.
+    Nothing rests on a round: files cut between two tasks, and all that is not joined, are left to ``_pairs``.
+    """
+    found = []
+    for ahead in AHEAD:
+        order = rare.withColumn("draw", F.xxhash64("fp", "token", F.lit(ahead)))
+        order = order.repartitionByRange("token", "draw").sortWithinPartitions("token", "draw").drop("draw")
+        pairs = pin(map_arrow(order, _beside(ahead), "a bigint, b bigint").distinct().join(seen, ["a", "b"], "left_anti"))
+        near = _verified(pairs, sets)
+        seen = seen.union(pairs)
+        if near.isEmpty():
+            break
+        found.append(near)
+        known = rare.select(F.col("fp").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
+        roots = components(known.union(near)).select(F.col("node").alias("fp"), F.col("root").alias("to"))
+        rare = _open(rare.join(roots, "fp", "left").withColumn("root", F.coalesce("to", "fp")))
+    return found, rare, seen
+
+
+def _pairs(rare: DataFrame) -> DataFrame:
+    """All pairs of texts of different roots that meet in a file and can be similar.
+
+    Where two texts meet first, at places i and j of m and n, they have no more in common than that shingle and the fewer of
+    the m - i and n - j after it; a pair that can reach too little that way is not formed, so texts of a template that
+    differ in more than a ninth of their shingles do not meet by what some of them share beside it.
+    """
     left, right = (rare.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("size", "root", "rank")], F.col("fp").alias(x)) for x in "ab")
     rest = F.least(F.col("size_a") - F.col("rank_a"), F.col("size_b") - F.col("rank_b")) + 1
     reach = rest * (1 + SIMILAR) >= SIMILAR * (F.col("size_a") + F.col("size_b")) - 1e-9
@@ -155,6 +218,11 @@ def _by_rarest(texts: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b").distinct()
 
 
+def _by_rarest(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of texts (fp, size, root) of different roots that share one of the rarest shingles of both and can be similar."""
+    return _pairs(_rarest(texts, sets))
+
+
 def _near() -> Column:
     return F.least("size_a", "size_b") >= SIMILAR * F.greatest("size_a", "size_b") - 1e-9
 
@@ -201,8 +269,9 @@ def _grouped(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     # Only texts of files that are not all joined yet have pairs left to look at.
     parted = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key")
     texts = pin(rooted.join(parted, "key").select("fp", "size", "root").distinct())
-    more = _verified(pin(_by_rarest(texts, sets).join(stars, ["a", "b"], "left_anti")), sets)
-    roots = components(edges.union(more))
+    found, rare, seen = _in_rounds(_rarest(texts, sets), sets, stars)
+    found.append(_verified(pin(_pairs(rare).join(seen, ["a", "b"], "left_anti")), sets))
+    roots = components(reduce(DataFrame.union, found, edges))
     groups = rows.groupBy(F.col(fp).alias("fp")).agg(F.min(f"`{id_column}`").alias("first"))
     rooted = pin(groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("first").alias(f"{OWN}component"))

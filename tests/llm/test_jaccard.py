@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from riskloom.llm import jaccard
 from riskloom.llm.base import OWN
@@ -95,3 +96,34 @@ def test_texts_of_a_template_do_not_meet_by_what_some_share(spark):
     table = spark.createDataFrame(near, "fp bigint, shingles binary")
     texts = spark.createDataFrame([(i, 100, i) for i, _ in near], "fp bigint, size int, root bigint")
     assert {tuple(r) for r in jaccard._by_rarest(texts, table).collect()} == {(0, 11), (11, 22)}
+
+
+def test_a_family_is_joined_by_a_few_pairs_of_each_text(spark, monkeypatch):
+    """Texts that differ in a few of the same places: a sixth of the pairs reach 0.8, and those join nearly all texts."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(300):
+        words = [*base]
+        for at in rng.sample(range(5, 145, 10), 2) + [rng.choice((2, 77, 148))]:
+            words[at] = f"v{rng.randrange(3)}"
+        texts.append(" ".join(words))
+    assert len(set(texts)) > 290
+    looked, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "BANDS", 0)  # nothing is joined by files of bands
+    monkeypatch.setattr(jaccard, "bands", lambda values: [7])
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, sets: looked.append(pairs.count()) or verified(pairs, sets))
+    got = jaccard.similar_texts(spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string"))
+    assert {r["doc_id"]: r[f"{OWN}component"] for r in got.collect()} == dict(enumerate(brute(texts)))
+    assert sum(looked) < 300 * 299 / 8
+
+
+def test_pairs_beside_each_other_are_the_same_however_rows_are_batched():
+    rows = {"token": [1] * 6 + [2] * 3, "fp": [*range(9)], "size": [100] * 9, "root": [0, 0, 2, 3, 4, 5, 6, 7, 7], "rank": [1] * 9}
+    table = pa.table(rows)
+
+    def pairs(size):
+        return sorted((int(a), int(b)) for d in jaccard._beside(2)(iter(table.to_batches(size))) for a, b in zip(d["a"], d["b"]))
+
+    assert pairs(100) == [(0, 2), (1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (3, 5), (4, 5), (6, 7), (6, 8)]
+    assert pairs(1) == pairs(2) == pairs(4) == pairs(100)
