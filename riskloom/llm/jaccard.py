@@ -33,6 +33,7 @@ ROWS, BANDS = 5, 24
 PIECE = 1024  # shingles hashed at once
 CUT = 256  # texts that are compared with one copy of a set
 AHEAD = (4, 16, 64)  # texts beside it that a text is compared with in each round, before all pairs that are left
+FEW = 64  # texts of a file whose pairs are looked at without rounds
 _DRAWS = np.random.default_rng(42).integers(0, 1 << 64, (2, ROWS * BANDS), np.uint64)
 _FLIPS, _FACTORS = _DRAWS[0], _DRAWS[1] | np.uint64(1)
 
@@ -149,9 +150,9 @@ def _rarest(texts: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _open(rare: DataFrame) -> DataFrame:
-    """The files whose texts are not all of one root."""
-    parted = rare.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("token")
-    return pin(rare.join(parted, "token").select("token", "fp", "size", "root", "rank"))
+    """The files whose texts are not all of one root, with the number of their texts as ``n``."""
+    parted = rare.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("n")).where("r < s")
+    return pin(rare.drop("n").join(parted, "token").select("token", "fp", "size", "root", "rank", "n"))
 
 
 def _beside(ahead: int):
@@ -186,11 +187,15 @@ def _in_rounds(rare: DataFrame, sets: DataFrame, seen: DataFrame) -> tuple[list[
 
     A text is compared with those beside it in each of its files, in an order of their own, so pairs are in proportion to
     what is filed however many texts a file has. Texts that are joined are not compared again, so later rounds look further.
+    Files of up to ``FEW`` texts need no rounds.
     Nothing rests on a round: files cut between two tasks, and all that is not joined, are left to ``_pairs``.
     """
     found = []
     for ahead in AHEAD:
-        order = rare.withColumn("draw", F.xxhash64("fp", "token", F.lit(ahead)))
+        crowded = rare.where(F.col("n") > FEW).drop("n")
+        if crowded.isEmpty():
+            break
+        order = crowded.withColumn("draw", F.xxhash64("fp", "token", F.lit(ahead)))
         order = order.repartitionByRange("token", "draw").sortWithinPartitions("token", "draw").drop("draw")
         pairs = pin(map_arrow(order, _beside(ahead), "a bigint, b bigint").distinct().join(seen, ["a", "b"], "left_anti"))
         near = _verified(pairs, sets)
